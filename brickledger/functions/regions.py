@@ -33,6 +33,6 @@ def clean_name_sql(column: str) -> str:
 
 
 def start_rank_region_sql(rank: str) -> str:
-    # elt, not element_at: the latter is planned as never NULL over fixed values
+    # not element_at: over fixed values that is planned as never NULL
     names = ", ".join(literal(region) for region, _ in fv.POSTCODE_STARTS)
-    return f"elt({rank} + 1, {names})"
+    return f"try_element_at(array({names}), {rank} + 1)"

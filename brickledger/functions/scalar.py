@@ -29,7 +29,11 @@ def case_sql(branches: Iterable[tuple[str, object]], otherwise=None) -> str:
 
 
 def decode_sql(code: str, labels: Mapping, default=None) -> str:
-    return case_sql(((f"{code} = {literal(key)}", label) for key, label in labels.items()), default)
+    """Lookup in a constant map. A chain of string comparisons would say the
+    same, but a plan with many of them outgrows what the JVM still compiles."""
+    entries = ", ".join(f"{literal(key)}, {literal(label)}" for key, label in labels.items())
+    found = f"try_element_at(map({entries}), {code})"
+    return found if default is None else f"coalesce({found}, {literal(default)})"
 
 
 def decode(code: str, labels: Mapping, default=None) -> Column:

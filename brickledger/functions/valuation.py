@@ -2,48 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brickledger.functions import fixed_values as fv
+from brickledger.functions.regions import lookup_table
 from brickledger.functions.scalar import decode_sql
 
 _FLOOR_GBP = 50_000
 _FACTORS = (
-    ("sale_year", fv.YEAR_FACTOR), ("property_type", fv.TYPE_FACTOR), ("tenure", fv.TENURE_FACTOR),
-    ("condition", fv.CONDITION_FACTOR), ("epc_rating", fv.EPC_FACTOR), ("nearest_school_ofsted", fv.SCHOOL_FACTOR),
+    ("property_type", fv.TYPE_FACTOR), ("tenure", fv.TENURE_FACTOR), ("condition", fv.CONDITION_FACTOR),
+    ("epc_rating", fv.EPC_FACTOR), ("nearest_school_ofsted", fv.SCHOOL_FACTOR),
 )
 
 
-def _table(column: str, values: dict) -> str:
-    return decode_sql(column, {key: float(value) for key, value in values.items()})
+def price_levels(spark: SparkSession) -> DataFrame:
+    """Regional base price grown to each sale year and adjusted for it: 72 rows."""
+    regions = lookup_table(spark, "region, base, growth", [
+        (r, float(fv.BASE_PRICE[r]), fv.YEARLY_GROWTH[r]) for r in fv.REGIONS
+    ])
+    years = lookup_table(spark, "sale_year, year_factor", fv.YEAR_FACTOR.items())
+    return regions.crossJoin(F.broadcast(years)).selectExpr(
+        "region", "sale_year",
+        f"base * pow(1 + growth, sale_year - {fv.BASE_YEAR}) * year_factor AS price_level",
+    )
 
 
-def unrounded_valuation() -> Column:
-    """Regional base grown to the sale year, times one factor per attribute.
+def _factor(column: str, values: dict) -> str:
+    return decode_sql(column, {key: float(value) for key, value in values.items()})
 
-    A category outside the tables gives NULL.
-    """
+
+def attribute_factor_sql(level: str) -> str:
+    """The level times one factor per attribute; a category outside the tables gives NULL."""
     parts = [
-        _table("region", fv.BASE_PRICE),
-        f"pow(1 + {_table('region', fv.YEARLY_GROWTH)}, sale_year - {fv.BASE_YEAR})",
-        *[_table(column, values) for column, values in _FACTORS],
+        level,
+        *[_factor(column, values) for column, values in _FACTORS],
         "(1 + (bedrooms - 3) * 0.08D)",
         "(1 + (floor_area_sqm - 100) / 1000.0D)",
         "greatest(0.70D, 1 - commute_mins * 0.003D)",
         *[f"CASE WHEN {owned} = 1 THEN {factor}D ELSE 1.0D END"
           for owned, factor in (("has_garden", 1.06), ("has_parking", 1.03), ("has_garage", 1.04))],
         "(1 - crime_index * 0.001D)",
-        _table("flood_risk", fv.FLOOD_FACTOR),
+        _factor("flood_risk", fv.FLOOD_FACTOR),
         "CASE WHEN age_band = 'Pre-1900' THEN 1.04D WHEN property_age > 50 THEN 0.96D ELSE 1.0D END",
     ]
-    return F.expr(" * ".join(parts))
-
+    return " * ".join(parts)
 
-def to_sale_price(amount: Column) -> Column:
-    """Floor, then whole thousands (ties to even). NULL stays NULL."""
-    floored = F.when(amount.isNotNull(), F.greatest(F.lit(float(_FLOOR_GBP)), amount))
-    return (F.bround(floored / 1000, 0) * 1000).cast("bigint")
 
+def with_valuation(properties: DataFrame, name: str = "valuation_gbp", wobble: str = "1.0D") -> DataFrame:
+    """Attach the valuation: floored, in whole thousands (ties to even).
 
-def valuation() -> Column:
-    return to_sale_price(unrounded_valuation())
+    ``wobble`` is an SQL factor applied before rounding. A region, year or
+    category outside the tables gives NULL.
+    """
+    levels = F.broadcast(price_levels(properties.sparkSession))
+    kept = [c for c in properties.columns if c != name]
+    valued = properties.join(levels, ["region", "sale_year"], "left").selectExpr(
+        *[f"`{c}`" for c in kept], f"{attribute_factor_sql('price_level')} * {wobble} AS _value"
+    )
+    # a step of its own, so that the long product is computed once
+    price = f"CASE WHEN _value IS NOT NULL THEN CAST(bround(greatest({_FLOOR_GBP}.0D, _value) / 1000, 0) * 1000 AS BIGINT) END"
+    return valued.selectExpr(*[f"`{c}`" for c in kept], f"{price} AS `{name}`")

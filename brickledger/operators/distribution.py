@@ -62,7 +62,8 @@ def stddev_sample(value: str = PRICE) -> Column:
     square_mean = F.sum(amount * amount * F.col("n").cast("decimal(10,0)")).cast("double") / known
     plain_mean = total(value) / known
     variance = (square_mean - plain_mean * plain_mean) * known / F.nullif(known - 1, F.lit(0.0))
-    return F.sqrt(F.greatest(variance, F.lit(0.0)))
+    # rounding may leave equal prices a hair below zero; a single row has no deviation
+    return F.sqrt(F.when(variance < 0, 0.0).otherwise(variance))
 
 
 def median_by(df: DataFrame, keys: list[str], value: str = PRICE, name: str = "median_price") -> DataFrame:

@@ -1,73 +1,69 @@
-"""Model features: encodings, interactions, composites and logs."""
+"""Model features: encodings, interactions, composites and logs, as SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from brickledger.functions import fixed_values as fv
-from brickledger.functions.scalar import decode, equals_flag
+from brickledger.functions.regions import lookup_table
+from brickledger.functions.scalar import decode_sql, literal
 from brickledger.operators.distribution import PRICE, median_by
 
 REGION_INDEX = "region_price_index"
-
-
-def ordinal_scores() -> dict[str, Column]:
-    return {
-        "epc_score": decode("epc_rating", fv.EPC_SCORE),
-        "school_score": decode("nearest_school_ofsted", fv.SCHOOL_SCORE),
-        "condition_score": decode("condition", fv.CONDITION_SCORE),
-        "flood_score": decode("flood_risk", fv.FLOOD_SCORE),
-        "age_band_score": decode("age_band", fv.AGE_BAND_SCORE),
-    }
-
-
-def indicator_flags() -> dict[str, Column]:
-    names = {kind: "type_" + kind.lower().replace("-", "_") for kind in fv.PROPERTY_TYPES}
-    flags = {name: equals_flag(F.col("property_type"), kind) for kind, name in names.items()}
-    return {**flags, "is_freehold": equals_flag(F.col("tenure"), "Freehold")}
-
-
-def interactions() -> dict[str, Column]:
-    c = F.col
-    urban = equals_flag(c("density"), "urban")
-    softened_beds = c("bedrooms") + F.lit(0.1)  # never zero for real room counts
-    return {
-        "bed_area": c("bedrooms") * c("floor_area_sqm"),
-        "school_x_density": c("school_score") * urban,
-        "commute_x_urban": c("commute_mins") * urban,
-        "age_x_condition": c("property_age") * c("condition_score"),
-        "epc_x_age": c("epc_score") * c("age_band_score"),
-        "bath_bed_ratio": c("bathrooms") / softened_beds,
-        "area_per_bed": c("floor_area_sqm") / softened_beds,
-    }
-
-
-def composites() -> dict[str, Column]:
-    c = F.col
-    return {
-        "amenity_score": c("has_garden") * 3 + c("has_parking") * 2 + c("has_garage") * 2
-        + c("school_score") + c("epc_score"),
-        "location_score": c(REGION_INDEX) / 100 - c("commute_mins") / 60 - c("dist_to_centre_km") / 30
-        - c("crime_index") / 100 - c("flood_score") * F.lit(0.1),
-    }
-
-
-def logs_and_time() -> dict[str, Column]:
-    return {
-        "log_price": F.log1p(F.col(PRICE).cast("double")),
-        "log_floor_area": F.log1p(F.col("floor_area_sqm").cast("double")),
-        "log_dist_centre": F.log1p("dist_to_centre_km"),
-        "log_dist_station": F.log1p("dist_to_station_km"),
-        "years_from_2019": F.col("sale_year") - fv.BASE_YEAR,
-    }
+TARGET = "log_price"
+
+ORDINAL_SCORES = {
+    "epc_score": decode_sql("epc_rating", fv.EPC_SCORE),
+    "school_score": decode_sql("nearest_school_ofsted", fv.SCHOOL_SCORE),
+    "condition_score": decode_sql("condition", fv.CONDITION_SCORE),
+    "flood_score": decode_sql("flood_risk", fv.FLOOD_SCORE),
+    "age_band_score": decode_sql("age_band", fv.AGE_BAND_SCORE),
+}
+
+# an unknown type or tenure counts as 0
+INDICATOR_FLAGS = {
+    **{"type_" + kind.lower().replace("-", "_"): f"CAST(property_type <=> {literal(kind)} AS INT)"
+       for kind in fv.PROPERTY_TYPES},
+    "is_freehold": "CAST(tenure <=> 'Freehold' AS INT)",
+}
+
+_URBAN = "CAST(density <=> 'urban' AS INT)"
+_SOFTENED_BEDS = "(bedrooms + 0.1D)"  # never zero for real room counts
+INTERACTIONS = {
+    "bed_area": "bedrooms * floor_area_sqm",
+    "school_x_density": f"school_score * {_URBAN}",
+    "commute_x_urban": f"commute_mins * {_URBAN}",
+    "age_x_condition": "property_age * condition_score",
+    "epc_x_age": "epc_score * age_band_score",
+    "bath_bed_ratio": f"bathrooms / {_SOFTENED_BEDS}",
+    "area_per_bed": f"floor_area_sqm / {_SOFTENED_BEDS}",
+}
+
+COMPOSITES = {
+    "amenity_score": "has_garden * 3 + has_parking * 2 + has_garage * 2 + school_score + epc_score",
+    "location_score": f"{REGION_INDEX} / 100 - commute_mins / 60 - dist_to_centre_km / 30 - crime_index / 100 "
+                      "- flood_score * 0.1D",
+}
+
+LOGS_AND_TIME = {
+    TARGET: f"log1p(CAST({PRICE} AS DOUBLE))",
+    "log_floor_area": "log1p(CAST(floor_area_sqm AS DOUBLE))",
+    "log_dist_centre": "log1p(dist_to_centre_km)",
+    "log_dist_station": "log1p(dist_to_station_km)",
+    "years_from_2019": f"sale_year - {fv.BASE_YEAR}",
+}
+
+
+def _add(df: DataFrame, *groups: dict[str, str]) -> DataFrame:
+    return df.selectExpr("*", *[f"{text} AS {name}" for group in groups for name, text in group.items()])
 
 
 def region_index(fitted_on: DataFrame) -> DataFrame:
     """Median price in thousands per region, exactly one row for each of the 12
     known regions; a region without sales has a NULL index."""
-    domain = fitted_on.sparkSession.createDataFrame([(r,) for r in fv.REGIONS], "region string")
+    domain = lookup_table(fitted_on.sparkSession, "region", [(r,) for r in fv.REGIONS])
     medians = median_by(fitted_on, ["region"], name="_median")
-    return domain.join(medians, "region", "left").select("region", (F.col("_median") / 1000).alias(REGION_INDEX))
+    return domain.join(medians, "region", "left").selectExpr("region", f"_median / 1000 AS {REGION_INDEX}")
 
 
 def with_region_index(df: DataFrame, fitted_on: DataFrame | None = None) -> DataFrame:
@@ -85,12 +81,11 @@ def engineer(df: DataFrame, fitted_on: DataFrame | None = None) -> DataFrame:
     ``fitted_on`` should be the training rows; leaving it out fits the regional
     index on every row, test rows included.
     """
-    staged = with_region_index(df, fitted_on)
-    staged = staged.withColumns({**ordinal_scores(), **indicator_flags()})
-    return staged.withColumns({**interactions(), **composites(), **logs_and_time()})
+    encoded = _add(with_region_index(df, fitted_on), ORDINAL_SCORES, INDICATOR_FLAGS)
+    return _add(encoded, INTERACTIONS, COMPOSITES, LOGS_AND_TIME)
 
 
 def feature_matrix(engineered: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The features in training order as doubles; missing values become 0 here, and only here."""
-    filled = [F.coalesce(F.col(name).cast("double"), F.lit(0.0)).alias(name) for name in fv.FEATURES]
-    return engineered.select(*(keep or []), *filled)
+    filled = [f"coalesce(CAST({name} AS DOUBLE), 0.0D) AS {name}" for name in fv.FEATURES]
+    return engineered.selectExpr(*(keep or []), *filled)

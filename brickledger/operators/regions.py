@@ -39,16 +39,20 @@ def with_region(sales: DataFrame, mode: str = "area") -> DataFrame:
     if mode not in ("area", "reference"):
         raise ValueError(f"unknown region mode: {mode}")
     spark = sales.sparkSession
-    keys = {"_county_name": clean_name_sql("county"), "_district_name": clean_name_sql("district"), **_pick_keys(mode)}
-    joined = sales.selectExpr("*", *[f"{text} AS {name}" for name, text in keys.items()])
-    for name in ("_county_name", "_district_name"):
-        joined = joined.join(F.broadcast(places(spark, name, f"{name}_region")), name, "left")
-    for name in list(keys)[2:]:
-        joined = joined.join(F.broadcast(postcode_starts(spark, name, f"{name}_rank")), name, "left")
-    ranks = [f"{name}_rank" for name in list(keys)[2:]]
+    placed = sales.selectExpr(
+        "*", f"{clean_name_sql('county')} AS _county", f"{clean_name_sql('district')} AS _district")
+    for name in ("_county", "_district"):
+        placed = placed.join(F.broadcast(places(spark, name, f"{name}_region")), name, "left")
+    # most sales are placed by now: only the rest is matched on its postcode
+    keys = _pick_keys(mode)
+    placed = placed.selectExpr(
+        "*", "coalesce(_county_region, _district_region) AS _named",
+    ).selectExpr("*", *[f"CASE WHEN _named IS NULL THEN {text} END AS {name}" for name, text in keys.items()])
+    for name in keys:
+        placed = placed.join(F.broadcast(postcode_starts(spark, name, f"{name}_rank")), name, "left")
+    ranks = ", ".join(f"{name}_rank" for name in keys)
     # a district code only decides where it is listed itself (inner London);
     # otherwise its area does. Prefixes of any length compete by rank.
-    rank = f"coalesce({', '.join(ranks)})" if mode == "area" else f"least({', '.join(ranks)})"
-    region = (f"coalesce(_county_name_region, _district_name_region, {start_rank_region_sql(rank)}, "
-              f"'{fv.UNRESOLVED_REGION}') AS region")
-    return joined.selectExpr(*[f"`{c}`" for c in sales.columns if c != "region"], region)
+    rank = f"coalesce({ranks})" if mode == "area" else f"least({ranks})"
+    region = f"coalesce(_named, {start_rank_region_sql(rank)}, '{fv.UNRESOLVED_REGION}') AS region"
+    return placed.selectExpr(*[f"`{c}`" for c in sales.columns if c != "region"], region)

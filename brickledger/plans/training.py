@@ -23,7 +23,7 @@ from brickledger.operators.prediction_errors import model_measures, prediction_t
 from brickledger.operators.ranking import with_fold, with_split
 from brickledger.session import scratch_path, use_checkpoints
 
-TARGET, PREDICTION, VECTOR = "log_price", "prediction", "features"
+TARGET, PREDICTION, VECTOR = fe.TARGET, "prediction", "features"
 RIDGE, FOREST, BOOSTING = "Ridge Regression", "Random Forest", "Gradient Boosting"
 # attributes needed to report on predictions without joining back
 CARRIED = ["property_id", "region", "property_type", "sale_year", PRICE, TARGET, "is_test", "fold"]
@@ -228,9 +228,8 @@ def model_importances(model: PipelineModel, spark: SparkSession) -> DataFrame:
 
 def feature_statistics(train: DataFrame) -> DataFrame:
     """(feature, mean, std) with population deviation, from one aggregate."""
-    stats = [F.struct(F.lit(f).alias("feature"), F.avg(f).alias("mean"), F.stddev_pop(f).alias("std"))
-             for f in fv.FEATURES]
-    return train.agg(F.array(*stats).alias("s")).select(F.inline("s"))
+    stats = ", ".join(f"named_struct('feature', '{f}', 'mean', avg({f}), 'std', stddev_pop({f}))" for f in fv.FEATURES)
+    return train.agg(F.expr(f"array({stats})").alias("s")).selectExpr("inline(s)")
 
 
 def standardise(table: DataFrame, statistics: DataFrame) -> DataFrame:

@@ -16,6 +16,17 @@ DEFAULTS = {
 }
 
 
+# The JVM never compiles methods above 8,000 bytes of bytecode. Wide projections
+# fused into one method exceed that and then run interpreted, so such stages are
+# left to per-operator code generation, which splits its methods.
+METHOD_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def keep_methods_compiled(spark: SparkSession) -> None:
+    """Apply the method limit to a session built elsewhere."""
+    spark.conf.set(*METHOD_LIMIT)
+
+
 def build_session(app: str = "brickledger", master: str | None = None, conf: dict | None = None) -> SparkSession:
     """A session with adaptive execution on; ``conf`` wins over the defaults.
 
@@ -25,7 +36,7 @@ def build_session(app: str = "brickledger", master: str | None = None, conf: dic
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **(conf or {})}.items():
+    for key, value in {**DEFAULTS, METHOD_LIMIT[0]: METHOD_LIMIT[1], **(conf or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

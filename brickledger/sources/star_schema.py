@@ -46,14 +46,16 @@ INPUT_SCHEMAS = {
 
 def _pick(values: tuple, index: str) -> str:
     listed = ", ".join(literal(v) for v in values)
-    return f"elt(CAST({index} % {len(values)} + 1 AS INT), {listed})"
+    return f"try_element_at(array({listed}), CAST({index} % {len(values)} + 1 AS INT))"
 
 
 _TYPE = decode_sql("p_type", TYPE_CODE, "O")
+# amounts are never negative, so floor(x + 0.5) rounds them without the decimal
+# detour that round() takes on doubles
 TRANSACTION_COLUMNS = {
     "transaction_id": "md5(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
-                      "CAST(round(l_extendedprice * 100) AS BIGINT)))",
-    "price": "CAST(round(l_extendedprice) AS BIGINT)",
+                      "CAST(floor(l_extendedprice * 100 + 0.5D) AS BIGINT)))",
+    "price": "CAST(floor(l_extendedprice + 0.5D) AS BIGINT)",
     "date_of_transfer": f"o_orderdate + INTERVAL '{YEAR_SHIFT}' YEAR",
     "postcode": f"CASE WHEN l_suppkey % 40 <> 7 THEN concat({_pick(POSTCODE_AREAS, '(l_suppkey + l_linenumber)')}, "
                 "1 + l_partkey % 29, ' ', 1 + l_suppkey % 9, 'AB') END",
@@ -82,7 +84,7 @@ TRANSACTION_COLUMNS = {
     "commute_mins": "5 + 2 * p_size",
     "dist_to_station_km": "CAST(1 + l_partkey % 50 AS DOUBLE) / 10",
     "dist_to_centre_km": "CAST(5 + l_suppkey % 200 AS DOUBLE) / 10",
-    "crime_index": "CAST(CAST(round(l_discount * 1000) AS INT) AS DOUBLE)",
+    "crime_index": "CAST(floor(l_discount * 1000 + 0.5D) AS DOUBLE)",
 }
 
 

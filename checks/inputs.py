@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brickledger.functions import fixed_values as fv
-from brickledger.functions.scalar import digest, digest_int, half_even
-from brickledger.functions.valuation import to_sale_price, unrounded_valuation
+from brickledger.functions.scalar import digest, digest_int
+from brickledger.functions.valuation import with_valuation
 from brickledger.operators.cleaning import clean
 from brickledger.operators.features import engineer, feature_matrix
 from brickledger.operators.prediction_errors import prediction_table
@@ -56,19 +56,15 @@ def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
     The given prices do not depend on the attributes, so models and premiums
     are shown on these.
     """
-    wobble = 1 + (_draw("noise") % 12001 - 6000) / F.lit(100000.0)
-    return properties(spark, sf_dir).withColumn("price_gbp", to_sale_price(unrounded_valuation() * wobble))
+    draw = "CAST(conv(substring(md5(concat('noise-', property_id)), 1, 8), 16, 10) AS BIGINT)"
+    return with_valuation(properties(spark, sf_dir), "price_gbp", f"(1 + ({draw} % 12001 - 6000) / 100000.0D)")
 
 
 def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared correlation of each feature with log price, as importance and share of the top 20."""
-    engineered = engineer(valued(spark, sf_dir))
-    table = feature_matrix(engineered, ["log_price"])
-    strength = [
-        F.struct(F.lit(f).alias("feature"),
-                 half_even(F.coalesce(F.nanvl(F.pow(F.corr(f, "log_price"), 2), F.lit(0.0)), F.lit(0.0)), 9)
-                 .alias("importance"))
-        for f in fv.FEATURES
-    ]
-    listed = table.agg(F.array(*strength).alias("s")).select(F.inline("s"))
+    table = feature_matrix(engineer(valued(spark, sf_dir)), ["log_price"])
+    strength = ", ".join(
+        f"named_struct('feature', '{f}', 'importance', "
+        f"bround(coalesce(nanvl(pow(corr({f}, log_price), 2), 0.0D), 0.0D), 9))" for f in fv.FEATURES)
+    listed = table.agg(F.expr(f"array({strength})").alias("s")).selectExpr("inline(s)")
     return importance_shares(listed)

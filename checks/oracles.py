@@ -36,8 +36,8 @@ _YEARS = _in(fv.HPI_YEARS)
 
 RAW = f"""raw AS (
   SELECT md5(concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
-             CAST(l_suppkey AS VARCHAR), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR))) AS transaction_id,
-    CAST(round(l_extendedprice) AS BIGINT) AS price,
+             CAST(l_suppkey AS VARCHAR), CAST(CAST(floor(l_extendedprice * 100 + 0.5::DOUBLE) AS BIGINT) AS VARCHAR))) AS transaction_id,
+    CAST(floor(l_extendedprice + 0.5::DOUBLE) AS BIGINT) AS price,
     o_orderdate + INTERVAL {st.YEAR_SHIFT} YEAR AS date_of_transfer,
     CASE WHEN l_suppkey % 40 <> 7 THEN
       {_list(st.POSTCODE_AREAS)}[(l_suppkey + l_linenumber) % {len(st.POSTCODE_AREAS)} + 1]
@@ -62,7 +62,7 @@ RAW = f"""raw AS (
     CAST(5 + 2 * p_size AS INTEGER) AS commute_mins,
     CAST(1 + l_partkey % 50 AS DOUBLE) / 10 AS dist_to_station_km,
     CAST(5 + l_suppkey % 200 AS DOUBLE) / 10 AS dist_to_centre_km,
-    CAST(CAST(round(l_discount * 1000) AS INTEGER) AS DOUBLE) AS crime_index
+    CAST(CAST(floor(l_discount * 1000 + 0.5::DOUBLE) AS BIGINT) AS DOUBLE) AS crime_index
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
        JOIN customer ON o_custkey = c_custkey
   WHERE year(o_orderdate) + {st.YEAR_SHIFT} IN {_YEARS}
@@ -129,7 +129,7 @@ PREDS = PROPS + f""", fixed AS (
 ), preds AS (
   SELECT property_id, actual_price, predicted_price, region, property_type, bedrooms, floor_area_sqm, sale_year,
     predicted_price - actual_price AS error_gbp,
-    round_even(CAST(predicted_price - actual_price AS DOUBLE) / actual_price * 100, 1) AS error_pct,
+    round_even(CAST(predicted_price - actual_price AS DOUBLE) / actual_price * 100, 1) + 0.0::DOUBLE AS error_pct,
     abs(predicted_price - actual_price) AS abs_error FROM fixed
 )"""
 
@@ -195,7 +195,8 @@ TRAINING = VALUED + _engineered("valued", f"NOT ({_TEST})")
 
 
 def _six(names) -> str:
-    return ", ".join(f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in names)
+    # + 0.0 turns a negative zero into zero
+    return ", ".join(f"round(CAST({n} AS DOUBLE), 6) + 0.0::DOUBLE AS {n}" for n in names)
 
 
 def _per_feature(template: str) -> str:
@@ -324,7 +325,7 @@ def sql() -> dict[str, str]:
             FROM props GROUP BY region"""),
         "q03_epc_premium": _with(PROPS + ", base AS (SELECT avg(price_gbp) AS overall FROM props)", """
             SELECT epc_rating, count(*) AS properties, round(avg(price_gbp), 0) AS avg_price,
-            round(avg(price_gbp) / (SELECT overall FROM base) * 100 - 100, 1) AS pct_premium_vs_avg,
+            round(avg(price_gbp) / (SELECT overall FROM base) * 100 - 100, 1) + 0.0::DOUBLE AS pct_premium_vs_avg,
             round(avg(floor_area_sqm), 0) AS avg_floor_area, round(avg(commute_mins), 0) AS avg_commute_mins
             FROM props GROUP BY epc_rating"""),
         "q04_school_effect": _with(PROPS, """SELECT nearest_school_ofsted, count(*) AS properties,
@@ -340,7 +341,7 @@ def sql() -> dict[str, str]:
             round(avg(floor_area_sqm), 0) AS avg_floor_area FROM props GROUP BY commute_band"""),
         "q06_yearly_growth": _with(PROPS, """SELECT sale_year, count(*) AS transactions, round(avg(price_gbp), 0) AS avg_price,
             round(percentile_cont(0.50) WITHIN GROUP (ORDER BY price_gbp), 0) AS median_price,
-            round(avg(price_gbp) / lag(avg(price_gbp)) OVER (ORDER BY sale_year) * 100 - 100, 1) AS yoy_pct_change,
+            round(avg(price_gbp) / lag(avg(price_gbp)) OVER (ORDER BY sale_year) * 100 - 100, 1) + 0.0::DOUBLE AS yoy_pct_change,
             round(sum(price_gbp) / 1e9, 2) AS total_market_value_bn FROM props GROUP BY sale_year"""),
         "q07_bedroom_value": _with(PROPS + """, cells AS (SELECT property_type, bedrooms, round(avg(price_gbp), 0) AS avg_price,
             count(*) AS n FROM props GROUP BY property_type, bedrooms HAVING count(*) >= 10)""", """
@@ -419,7 +420,7 @@ def sql() -> dict[str, str]:
         "p17_logs_and_time": _with(ENGINEERED, "SELECT property_id, " + _six(
             ["log_price", "log_floor_area", "log_dist_centre", "log_dist_station", "years_from_2019"]) + " FROM engineered"),
         "p19_feature_matrix": _with(ENGINEERED, "SELECT property_id, " + ", ".join(
-            f"round(coalesce(CAST({f} AS DOUBLE), 0.0), 6) AS {f}" for f in fv.FEATURES) + " FROM engineered"),
+            f"round(coalesce(CAST({f} AS DOUBLE), 0.0), 6) + 0.0::DOUBLE AS {f}" for f in fv.FEATURES) + " FROM engineered"),
         "p20_price_from_log": _with(VALUED, "SELECT property_id, round(CAST(price_gbp AS DOUBLE), 2) AS price_back FROM valued"),
         "p21_residuals": _with(PREDS, "SELECT * FROM preds"),
         "p22_band_counts": _with(PREDS, f"""SELECT {_COMMUTE_BAND} AS commute_band, {_ERROR_BAND} AS error_band,
@@ -445,14 +446,14 @@ def sql() -> dict[str, str]:
         "j3_region_index_rows": _with(PROPS, """SELECT property_id, region, region_price_index FROM props JOIN
             (SELECT region, quantile_cont(price_gbp, 0.5) / 1000 AS region_price_index FROM props GROUP BY region) USING (region)"""),
         "j5_benchmark_rows": _with(VALUED + _hpi(), """SELECT property_id, benchmark_price,
-            round(CAST(price_gbp AS DOUBLE) / benchmark_price * 100 - 100, 1) AS pct_vs_benchmark
+            round(CAST(price_gbp AS DOUBLE) / benchmark_price * 100 - 100, 1) + 0.0::DOUBLE AS pct_vs_benchmark
             FROM valued LEFT JOIN hpi USING (region, sale_year)"""),
         "j5_price_index_gap": _with(VALUED + _hpi(), """SELECT region, sale_year, transactions, round(a, 0) AS avg_price,
-            benchmark_price, round(a / benchmark_price * 100 - 100, 1) AS pct_vs_benchmark FROM
+            benchmark_price, round(a / benchmark_price * 100 - 100, 1) + 0.0::DOUBLE AS pct_vs_benchmark FROM
             (SELECT region, sale_year, count(*) AS transactions, avg(price_gbp) AS a FROM valued GROUP BY ALL)
             LEFT JOIN hpi USING (region, sale_year)"""),
         "j6_school_mix_gap": _with(PROPS + _schools(), """SELECT region, nearest_school_ofsted, properties,
-            round(share, 1) AS observed_pct, published_pct, round(share - published_pct, 1) AS gap_points FROM
+            round(share, 1) AS observed_pct, published_pct, round(share - published_pct, 1) + 0.0::DOUBLE AS gap_points FROM
             (SELECT *, CAST(properties AS DOUBLE) / sum(properties) OVER (PARTITION BY region) * 100 AS share FROM
               (SELECT region, nearest_school_ofsted, count(*) AS properties FROM props GROUP BY region, nearest_school_ofsted))
             LEFT JOIN schools USING (region) WHERE band = nearest_school_ofsted"""),
@@ -510,9 +511,9 @@ def sql() -> dict[str, str]:
             {_median("region = 'North East'")} AS ne FROM valued)""", """SELECT near AS median_within_15_min,
             far AS median_beyond_75_min, ea - eg AS epc_a_minus_g, so - si AS school_best_minus_worst, td AS median_detached,
             tf AS median_flat, round(td / tf, 1) AS detached_to_flat, y22 AS median_2022,
-            round((y22 / y19 - 1) * 100, 1) AS pct_2022_vs_2019, y23 AS median_2023,
-            round((y23 / y22 - 1) * 100, 1) AS pct_2023_vs_2022, y24 AS median_2024,
-            round((y24 / y23 - 1) * 100, 1) AS pct_2024_vs_2023, li AS median_inner_london, ne AS median_north_east,
+            round((y22 / y19 - 1) * 100, 1) + 0.0::DOUBLE AS pct_2022_vs_2019, y23 AS median_2023,
+            round((y23 / y22 - 1) * 100, 1) + 0.0::DOUBLE AS pct_2023_vs_2022, y24 AS median_2024,
+            round((y24 / y23 - 1) * 100, 1) + 0.0::DOUBLE AS pct_2024_vs_2023, li AS median_inner_london, ne AS median_north_east,
             round(li / ne, 1) AS inner_london_to_north_east FROM m"""),
         "k2_ingest_summary": _with(PROPS, "SELECT *, '£' || format('{:,}', CAST(round_even(median_price, 0) AS BIGINT)) AS median_text FROM ("
                                    + _medians({"total": "'all'", "year": "sale_year", "region": "region",

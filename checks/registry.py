@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brickledger import schemas
 from brickledger.functions import fixed_values as fv, scalar as sc
-from brickledger.functions.valuation import valuation
+from brickledger.functions.valuation import with_valuation
 from brickledger.operators import benchmarking, cleaning, features as fe, prediction_errors as pe, ranking
 from brickledger.operators.distribution import median_by, price_counts, quantile, segment_medians
 from brickledger.operators.regions import with_region
 from brickledger.plans import analyses, charts, findings, results, training
-from brickledger.session import scratch_path
+from brickledger.session import keep_methods_compiled, scratch_path
 from brickledger.sources import price_paid, star_schema, tables
 from checks import inputs
 
@@ -197,12 +197,12 @@ def _engineered(spark, sf_dir) -> DataFrame:
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.select("property_id", *[F.round(c(n).cast("double"), 6).alias(n) for n in names])
+    return df.selectExpr("property_id", *[f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in names])
 
 
-def _feature_group(maker: Callable[[], dict]) -> Query:
+def _feature_group(*groups: dict) -> Query:
     def query(spark, sf_dir):
-        return _rounded(_engineered(spark, sf_dir), *maker())
+        return _rounded(_engineered(spark, sf_dir), *[name for group in groups for name in group])
     return query
 
 
@@ -269,7 +269,7 @@ def price_texts(spark, sf_dir):
 
 
 def valuations(spark, sf_dir):
-    return inputs.properties(spark, sf_dir).select("property_id", valuation().alias("valuation_gbp"))
+    return with_valuation(inputs.properties(spark, sf_dir)).select("property_id", "valuation_gbp")
 
 
 # ---- joins ---------------------------------------------------------------------
@@ -414,7 +414,18 @@ def _regional(predictions: DataFrame) -> DataFrame:
     return pe.regional_accuracy(predictions).withColumn("mae", F.round("mae", 6))
 
 
+def _prepared(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        keep_methods_compiled(spark)
+        return query(spark, sf_dir)
+    return run
+
+
 def registered() -> dict[str, Query]:
+    return {name: _prepared(query) for name, query in _queries().items()}
+
+
+def _queries() -> dict[str, Query]:
     p, v, e, i = inputs.properties, inputs.valued, inputs.predictions, inputs.importances
     return {
         # analyses
@@ -460,11 +471,11 @@ def registered() -> dict[str, Query]:
         "p9_conditions": conditions,
         "p10_amenity_flags": amenity_flags,
         "p11_serial_ids": serial_ids,
-        "p12_ordinal_scores": _feature_group(fe.ordinal_scores),
-        "p13_indicator_flags": _feature_group(fe.indicator_flags),
-        "p14_interactions": _feature_group(fe.interactions),
-        "p15_composites": _feature_group(fe.composites),
-        "p17_logs_and_time": _feature_group(fe.logs_and_time),
+        "p12_ordinal_scores": _feature_group(fe.ORDINAL_SCORES),
+        "p13_indicator_flags": _feature_group(fe.INDICATOR_FLAGS),
+        "p14_interactions": _feature_group(fe.INTERACTIONS),
+        "p15_composites": _feature_group(fe.COMPOSITES),
+        "p17_logs_and_time": _feature_group(fe.LOGS_AND_TIME),
         "p19_feature_matrix": feature_matrix,
         "p20_price_from_log": price_from_log,
         "p21_residuals": inputs.predictions,
