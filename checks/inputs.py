@@ -61,10 +61,17 @@ def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Squared correlation of each feature with log price, as importance and share of the top 20."""
+    """Squared correlation of each feature with log price, as importance and share of the top 20.
+
+    Correlations come from plain sums in one aggregate; six digits are kept.
+    """
     table = feature_matrix(engineer(valued(spark, sf_dir)), ["log_price"])
-    strength = ", ".join(
-        f"named_struct('feature', '{f}', 'importance', "
-        f"bround(coalesce(nanvl(pow(corr({f}, log_price), 2), 0.0D), 0.0D), 9))" for f in fv.FEATURES)
-    listed = table.agg(F.expr(f"array({strength})").alias("s")).selectExpr("inline(s)")
-    return importance_shares(listed)
+    sums = ["count(*) AS n", "sum(log_price) AS y", "sum(log_price * log_price) AS yy"] + [
+        text for f in fv.FEATURES
+        for text in (f"sum({f}) AS x_{f}", f"sum({f} * {f}) AS xx_{f}", f"sum({f} * log_price) AS xy_{f}")
+    ]
+    added = table.agg(*[F.expr(text) for text in sums])
+    entries = ", ".join(
+        f"named_struct('feature', '{f}', 'importance', bround(coalesce(pow(n * xy_{f} - x_{f} * y, 2) / "
+        f"nullif((n * xx_{f} - x_{f} * x_{f}) * (n * yy - y * y), 0.0D), 0.0D), 6))" for f in fv.FEATURES)
+    return importance_shares(added.selectExpr(f"inline(array({entries}))"))

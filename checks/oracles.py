@@ -204,7 +204,7 @@ def _per_feature(template: str) -> str:
 
 
 _STRENGTHS = _per_feature(
-    "SELECT '{f}' AS feature, round_even(coalesce(pow(corr(CAST({f} AS DOUBLE), log_price), 2), 0.0), 9) AS importance "
+    "SELECT '{f}' AS feature, round_even(coalesce(pow(corr(CAST({f} AS DOUBLE), log_price), 2), 0.0), 6) AS importance "
     "FROM engineered")
 SHARES = ENGINEERED + f""", strengths AS MATERIALIZED ({_STRENGTHS}), kept AS (
   SELECT * FROM strengths ORDER BY importance DESC, feature LIMIT 20
