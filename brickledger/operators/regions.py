@@ -32,11 +32,11 @@ def with_region(sales: DataFrame, mode: str = "area") -> DataFrame:
 
     Each step is a hash lookup in a fixed table of at most 121 rows, so sales
     are never shuffled and the generated code stays small. ``mode="area"``
-    reads whole postcode areas; ``mode="reference"`` keeps the ordered prefix
+    reads whole postcode areas; ``mode="prefix"`` keeps the ordered prefix
     semantics, where the earliest region with a matching start wins and a
     one-letter start also claims longer areas (NG goes to N).
     """
-    if mode not in ("area", "reference"):
+    if mode not in ("area", "prefix"):
         raise ValueError(f"unknown region mode: {mode}")
     spark = sales.sparkSession
     placed = sales.selectExpr(

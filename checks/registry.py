@@ -465,7 +465,7 @@ def _queries() -> dict[str, Query]:
         "p4_tenure_labels": tenure_labels,
         "p5_clean_names": clean_names,
         "p6_region_by_area": _regions("area"),
-        "p6_region_by_prefix": _regions("reference"),
+        "p6_region_by_prefix": _regions("prefix"),
         "p7_new_build_flag": new_build_flag,
         "p8_final_columns": final_columns,
         "p9_conditions": conditions,

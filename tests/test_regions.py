@@ -22,7 +22,7 @@ def test_county_then_district_then_postcode(spark):
     ]
     assert _resolve(spark, rows, "area") == {
         1: "London - Inner", 2: "London - Outer", 3: "Yorkshire & Humber", 4: "Other", 5: "Other", 6: "South East"}
-    prefix = _resolve(spark, rows, "reference")
+    prefix = _resolve(spark, rows, "prefix")
     assert prefix[4] == "Other" and prefix[5] == "London - Outer"
 
 
@@ -30,7 +30,7 @@ def test_prefix_mode_equals_ordered_scan(spark):
     starts = [s for _, group in fv.POSTCODE_STARTS for s in group] + ["XX", "ZE", "Q"]
     codes = [f"{s}{n} 1AB" for s in starts for n in ("1", "12")] + [" ng1 2ab", None, ""]
     rows = [(i, None, None, code) for i, code in enumerate(codes)]
-    assert _resolve(spark, rows, "reference") == {i: _first_prefix(code) for i, code in enumerate(codes)}
+    assert _resolve(spark, rows, "prefix") == {i: _first_prefix(code) for i, code in enumerate(codes)}
 
 
 def test_area_mode_reads_whole_areas(spark):
