@@ -41,11 +41,6 @@ def decode(code: str, labels: Mapping, default=None) -> Column:
     return F.expr(decode_sql(code, labels, default))
 
 
-def flag(test: Column) -> Column:
-    """0/1 with unknown counted as 0."""
-    return F.coalesce(test, F.lit(False)).cast("int")
-
-
 def equals_flag(column: Column, value) -> Column:
     return column.eqNullSafe(F.lit(value)).cast("int")
 
@@ -54,11 +49,6 @@ def clean_name(column: Column) -> Column:
     return F.upper(F.trim(column))
 
 
-def lenient_timestamp(column: Column) -> Column:
-    """Unparsable dates become NULL instead of failing the job."""
-    return F.try_to_timestamp(column)
-
-
 def clamp(column: Column, low, high) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), column))
 

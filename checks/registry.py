@@ -15,7 +15,7 @@ from brickledger.operators.distribution import median_by, price_counts, quantile
 from brickledger.operators.regions import with_region
 from brickledger.plans import analyses, charts, findings, results, training
 from brickledger.session import keep_methods_compiled, scratch_path
-from brickledger.sources import price_paid, star_schema, tables
+from brickledger.sources import price_paid, tables
 from checks import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
