@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brickledger.llm import chat_format, exact_dedup, license_digest, sharding
+from brickledger.llm import chat_format, covering_simhash, exact_dedup, license_digest, sharding
 from brickledger.llm.support import table, whole_text
 
 
@@ -56,6 +56,11 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return covering_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document under equality of whole texts."""
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
@@ -112,7 +117,7 @@ LEFT JOIN hits h ON h.doc_id IS NOT DISTINCT FROM w.doc_id AND h.canonical_sha25
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_shard, op7_exact_dedup, op9_license_lookup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_shard, op4_covering_simhash, op7_exact_dedup, op9_license_lookup)}
 
 
 def sql() -> dict[str, str]:
