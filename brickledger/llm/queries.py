@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brickledger.llm import chat_format, covering_simhash, exact_dedup, license_digest, sharding
+from brickledger.llm import bpe_stream, chat_format, covering_simhash, exact_dedup, language_crf, license_digest, sharding
 from brickledger.llm.support import table, whole_text
 
 
@@ -61,6 +62,18 @@ def op4_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covering_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the labelled rows that are not held out."""
+    found = language_crf.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", language_crf.held_out().alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
+
+
+def op6_bpe_stream(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Every document encoded and decoded again."""
+    vocabulary = bpe_stream.read_vocabulary(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe_stream.round_trip(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document under equality of whole texts."""
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
@@ -117,7 +130,9 @@ LEFT JOIN hits h ON h.doc_id IS NOT DISTINCT FROM w.doc_id AND h.canonical_sha25
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_shard, op4_covering_simhash, op7_exact_dedup, op9_license_lookup)}
+    return {f.__name__: f for f in (
+        op1_chat_format, op2_shard, op4_covering_simhash, op5_language_crf, op6_bpe_stream, op7_exact_dedup,
+        op9_license_lookup)}
 
 
 def sql() -> dict[str, str]:
