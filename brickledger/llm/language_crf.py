@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ SAMPLE_PER_LANGUAGE = 128
 SAMPLE_CHARS = 20_000
 LEXICON = 200
 CACHE = 150_000
+GRAMS = 200_000
 CHAIN = 400_000
 BLOCK = 64
 
@@ -41,14 +43,30 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed ids of a word's features; the lexicon features come first and are not hashed."""
+def features(word: str, lexicon: dict[str, int], numbers: dict[str, int]) -> list[int]:
+    """Ids of a word's features: marked prefixes and suffixes, 2- and 3-grams, and its place in the lexicon if it has one.
+
+    All but the last are hashed; ``numbers`` remembers hashes.
+    """
     marked = f"^{word}$"
-    found = [f"p{marked[:n]}" for n in (2, 3, 4)] + [f"s{marked[-n:]}" for n in (2, 3, 4)]
-    found += [marked[i:i + n] for n in (2, 3) for i in range(min(len(marked), 40) - n + 1)]
-    ids = [zlib.crc32(x.encode()) % BUCKETS for x in dict.fromkeys(found)]
+    size = min(len(marked), 42)
+    found = {marked[:2], marked[:3], marked[:4] + "+", "+" + marked[-4:]}
+    found.update([marked[i:i + 2] for i in range(size - 1)])
+    found.update([marked[i:i + 3] for i in range(size - 2)])
+    found.add(marked[-3:])
+    ids = []
+    for x in found:
+        number = numbers.get(x)
+        if number is None:
+            if len(numbers) >= GRAMS:
+                numbers.clear()
+            number = numbers[x] = zlib.crc32(x.encode()) % BUCKETS
+        ids.append(number)
+    ids.sort()  # sums do not depend on the order in which a set is read
     known = lexicon.get(word)
-    return ids if known is None else [BUCKETS + known, *ids]
+    if known is not None:
+        ids.append(BUCKETS + known)
+    return ids
 
 
 @dataclass
@@ -61,9 +79,12 @@ class Field:
     start: np.ndarray
     step: np.ndarray
 
-    def emission(self, word: str) -> np.ndarray:
-        """Scores by language; capped so that no single word can outweigh a text."""
-        return np.clip(self.weights[features(word, self.lexicon)].sum(axis=0), -12, 12)
+    def emission(self, words: list[str], numbers: dict[str, int]) -> np.ndarray:
+        """Scores by word and language; capped so that no single word can outweigh a text."""
+        found = [features(w, self.lexicon, numbers) for w in words]
+        starts = np.cumsum([0, *map(len, found[:-1])])
+        flat = np.fromiter(chain.from_iterable(found), np.int64)
+        return np.clip(np.add.reduceat(self.weights[flat], starts, axis=0), -12, 12)
 
 
 def marginals(emission: np.ndarray, first: np.ndarray, field: Field, block: int = BLOCK) -> np.ndarray:
@@ -132,23 +153,24 @@ def fit(samples: dict[str, list[str]], seed: int = 5, sequences: int = 1500, len
     k, rng = len(languages), np.random.default_rng(seed)
     frequent = {w for x in languages for w, _ in sorted(Counter(streams[x]).items(), key=lambda p: (-p[1], p[0]))[:LEXICON]}
     lexicon = {w: i for i, w in enumerate(sorted(frequent))}
-    chains, labels = [], np.empty((sequences, length), int)
+    spliced, labels = [], np.empty((sequences, length), int)
     for s in range(sequences):
-        chain: list[str] = []
-        while len(chain) < length:
+        words: list[str] = []
+        while len(words) < length:
             z = int(rng.integers(k))
-            run = min(int(rng.integers(4, 21)), length - len(chain))
+            run = min(int(rng.integers(4, 21)), length - len(words))
             stream = streams[languages[z]]
             at = int(rng.integers(max(1, len(stream) - run)))
             piece = [stream[(at + i) % len(stream)] for i in range(run)]
-            labels[s, len(chain):len(chain) + run] = z
-            chain += piece
-        chains.append(chain)
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for c in chains for w in c))}
-    known = [features(w, lexicon) for w in vocabulary]
+            labels[s, len(words):len(words) + run] = z
+            words += piece
+        spliced.append(words)
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for c in spliced for w in c))}
+    numbers: dict[str, int] = {}
+    known = [features(w, lexicon, numbers) for w in vocabulary]
     owner = np.repeat(np.arange(len(known)), [len(f) for f in known])
     flat = np.concatenate([np.array(f) for f in known])
-    ids = np.array([[vocabulary[w] for w in c] for c in chains])
+    ids = np.array([[vocabulary[w] for w in c] for c in spliced])
     field = Field(languages, lexicon, np.zeros((BUCKETS + len(lexicon), k)), np.zeros(k), np.zeros((k, k)))
     past = [np.full_like(x, 1e-6) for x in (field.weights, field.start, field.step)]
     once = np.eye(k)
@@ -207,7 +229,8 @@ def training_sample(df: DataFrame, id_col: str, text_col: str, label_col: str, p
     chosen = chosen.withColumn("has_short", F.min("rank").over(best) < F.lit(1 << 62)).where(
         ~F.col("has_short") | (F.col("rank") < F.lit(1 << 62)))
     out: dict[str, list[str]] = {}
-    picked = rows.join(chosen.select("label", "salt", "rank"), ["label", "salt", "rank"]).groupBy("label", "salt").agg(
+    # `chosen` has per_language rows for each label: safe to broadcast, and the texts are not shuffled
+    picked = rows.join(F.broadcast(chosen.select("label", "salt", "rank")), ["label", "salt", "rank"]).groupBy("label", "salt").agg(
         F.min("text").alias("text"))
     for r in picked.collect():
         out.setdefault(r.label, []).append(r.text)
@@ -224,17 +247,21 @@ class Labeller:
     def __init__(self, field: Field):
         self.field = field
         self.known: dict[str, int] = {}
+        self.numbers: dict[str, int] = {}
         self.scores = np.zeros((1024, len(field.languages)))
 
     def _ids(self, words: list[str]) -> np.ndarray:
         if len(self.known) > CACHE:
             self.known.clear()
         known = self.known
-        for w in set(words).difference(known):
-            at = known[w] = len(known)
-            if at >= len(self.scores):
+        new = list(set(words).difference(known))
+        for at in range(0, len(new), 20_000):
+            some = new[at:at + 20_000]
+            start = len(known)
+            known.update(zip(some, range(start, start + len(some))))
+            while len(known) > len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[at] = self.field.emission(w)
+            self.scores[start:len(known)] = self.field.emission(some, self.numbers)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, int, int]]:
@@ -256,7 +283,6 @@ class Labeller:
         total = int(counts.sum())
         if not total or not self.field.languages:
             return [(UNKNOWN, 0.0, int(c), 0) for c in counts]
-        emission = self.scores[:0]
         ids = self._ids([w for t in texts for w in t])
         emission = self.scores[ids]
         ends = np.cumsum(counts)
