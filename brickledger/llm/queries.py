@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brickledger.llm import bpe_stream, chat_format, covering_simhash, exact_dedup, language_crf, license_digest, sharding
+from brickledger.llm import (
+    bpe_stream, chat_format, covering_simhash, decontaminate, exact_dedup, language_crf, license_digest, pii_tagger, sharding,
+    wrapper_induction,
+)
 from brickledger.llm.support import table, whole_text
 
 
@@ -57,6 +60,11 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, by rules and the tagger."""
+    return pii_tagger.find(table(spark, sf_dir, "documents"), pii_tagger.trained_tagger())
+
+
 def op4_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return covering_simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -86,6 +94,11 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_license_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that are a whole document or one of its lines."""
     return license_digest.scan(table(spark, sf_dir, "documents"), license_digest.known_table(spark))
@@ -129,10 +142,15 @@ LEFT JOIN hits h ON h.doc_id IS NOT DISTINCT FROM w.doc_id AND h.canonical_sha25
 """
 
 
+def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return wrapper_induction.main_text(table(spark, sf_dir, "pages"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_chat_format, op2_shard, op4_covering_simhash, op5_language_crf, op6_bpe_stream, op7_exact_dedup,
-        op9_license_lookup)}
+        op1_chat_format, op2_shard, op3_pii_tagger, op4_covering_simhash, op5_language_crf, op6_bpe_stream, op7_exact_dedup,
+        op8_decontamination, op9_license_lookup, op10_wrapper_induction)}
 
 
 def sql() -> dict[str, str]:
