@@ -43,6 +43,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, width: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, a stored table, with a broadcast hint if the measured sum of ``width`` (bytes a row) is within the limit.
+
+    Beyond it there is no hint: Spark sorts and merges, and splits hot keys.
+    """
+    total = df.agg(F.sum(width.cast("bigint"))).collect()[0][0] or 0
+    return F.broadcast(df) if total <= limit else df
+
+
 def map_batches(df: DataFrame, work, schema: str) -> DataFrame:
     """``mapInArrow`` with ``work`` called on small record batches.
 
