@@ -29,7 +29,8 @@ def postcode_starts(spark: SparkSession, key: str, rank: str) -> DataFrame:
 
 
 def clean_name_sql(column: str) -> str:
-    return f"upper(trim({column}))"
+    """Upper case without white space around it, tabs and line ends included."""
+    return f"upper(regexp_replace({column}, '^\\\\s+|\\\\s+$', ''))"
 
 
 def start_rank_region_sql(rank: str) -> str:

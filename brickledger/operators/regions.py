@@ -18,7 +18,8 @@ def _pick_keys(mode: str) -> dict[str, str]:
     missing postcode reads as the text NAN.
     """
     if mode == "area":
-        code = clean_name_sql("postcode")
+        # without the inward part, a digit and two letters, which may follow without a space
+        code = f"regexp_replace({clean_name_sql('postcode')}, ' *[0-9][A-Z][A-Z]$', '')"
         return {
             "_district_code": f"regexp_extract({code}, '^([A-Z]{{1,2}}[0-9]{{1,2}})', 1)",
             "_area_code": f"regexp_extract({code}, '^([A-Z]{{1,2}})[0-9]', 1)",

@@ -14,6 +14,8 @@ from brickledger.functions.scalar import decode_sql, literal
 
 # ---- Fixed values: how order columns stand for property attributes ------------
 YEAR_SHIFT = 24
+# Orders after this year start over at the first sale year, so that all fall into the years of the fixed tables.
+LAST_ORDER_YEAR, YEAR_SPAN = 2000, 6
 TYPE_CODE = {"LARGE": "D", "MEDIUM": "S", "SMALL": "T", "STANDARD": "T", "ECONOMY": "F"}
 CONDITION = {"AUTOMOBILE": "New Build", "BUILDING": "Excellent", "FURNITURE": "Good",
              "HOUSEHOLD": "Fair", "MACHINERY": "Poor"}
@@ -56,7 +58,7 @@ TRANSACTION_COLUMNS = {
     "transaction_id": "md5(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
                       "CAST(floor(l_extendedprice * 100 + 0.5D) AS BIGINT)))",
     "price": "CAST(floor(l_extendedprice + 0.5D) AS BIGINT)",
-    "date_of_transfer": f"o_orderdate + INTERVAL '{YEAR_SHIFT}' YEAR",
+    "date_of_transfer": f"o_orderdate + make_ym_interval(IF(year(o_orderdate) > {LAST_ORDER_YEAR}, {YEAR_SHIFT - YEAR_SPAN}, {YEAR_SHIFT}), 0)",
     "postcode": f"CASE WHEN l_suppkey % 40 <> 7 THEN concat({_pick(POSTCODE_AREAS, '(l_suppkey + l_linenumber)')}, "
                 "1 + l_partkey % 29, ' ', 1 + l_suppkey % 9, 'AB') END",
     "property_type": _TYPE,
@@ -89,9 +91,11 @@ TRANSACTION_COLUMNS = {
 
 
 def _order_dates(years) -> str:
-    """The order dates of the given sale years, as a range the scan can use."""
-    first, end = min(years) - YEAR_SHIFT, max(years) - YEAR_SHIFT + 1
-    return f"o_orderdate >= TIMESTAMP_NTZ '{first}-01-01' AND o_orderdate < TIMESTAMP_NTZ '{end}-01-01'"
+    """The order dates of exactly the given sale years, as ranges the scan can use."""
+    placed = {y - YEAR_SHIFT for y in years if y - YEAR_SHIFT <= LAST_ORDER_YEAR}
+    placed |= {y - YEAR_SHIFT + YEAR_SPAN for y in years if y - YEAR_SHIFT + YEAR_SPAN > LAST_ORDER_YEAR}
+    ranges = [f"(o_orderdate >= TIMESTAMP_NTZ '{y}-01-01' AND o_orderdate < TIMESTAMP_NTZ '{y + 1}-01-01')" for y in sorted(placed)]
+    return " OR ".join(ranges) or "false"
 
 
 def transactions(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:

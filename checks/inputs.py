@@ -20,7 +20,7 @@ _marts: dict[tuple[str, str], str] = {}
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transactions(spark, sf_dir, YEARS)
+    return transactions(spark, sf_dir)
 
 
 def store_properties(spark: SparkSession, sf_dir: str) -> str:
@@ -31,7 +31,7 @@ def store_properties(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean(raw(spark, sf_dir), years=YEARS)
+    return clean(raw(spark, sf_dir))
 
 
 def properties(spark: SparkSession, sf_dir: str) -> DataFrame:

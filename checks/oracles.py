@@ -38,7 +38,8 @@ RAW = f"""raw AS (
   SELECT md5(concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
              CAST(l_suppkey AS VARCHAR), CAST(CAST(floor(l_extendedprice * 100 + 0.5::DOUBLE) AS BIGINT) AS VARCHAR))) AS transaction_id,
     CAST(floor(l_extendedprice + 0.5::DOUBLE) AS BIGINT) AS price,
-    o_orderdate + INTERVAL {st.YEAR_SHIFT} YEAR AS date_of_transfer,
+    o_orderdate + CASE WHEN year(o_orderdate) > {st.LAST_ORDER_YEAR} THEN INTERVAL {st.YEAR_SHIFT - st.YEAR_SPAN} YEAR
+                       ELSE INTERVAL {st.YEAR_SHIFT} YEAR END AS date_of_transfer,
     CASE WHEN l_suppkey % 40 <> 7 THEN
       {_list(st.POSTCODE_AREAS)}[(l_suppkey + l_linenumber) % {len(st.POSTCODE_AREAS)} + 1]
       || (1 + l_partkey % 29) || ' ' || (1 + l_suppkey % 9) || 'AB' END AS postcode,
@@ -65,7 +66,6 @@ RAW = f"""raw AS (
     CAST(CAST(floor(l_discount * 1000 + 0.5::DOUBLE) AS BIGINT) AS DOUBLE) AS crime_index
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
        JOIN customer ON o_custkey = c_custkey
-  WHERE year(o_orderdate) + {st.YEAR_SHIFT} IN {_YEARS}
 )"""
 
 
