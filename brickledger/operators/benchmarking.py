@@ -21,26 +21,33 @@ def against_price_index(properties: DataFrame) -> DataFrame:
 
 
 def price_index_gap(properties: DataFrame) -> DataFrame:
-    """Average price per region and year next to the index average."""
-    index = F.broadcast(house_price_index_long(properties.sparkSession))
+    """Average price per region and year next to the index average.
+
+    Every published region and year has a row: without a sale it counts 0.
+    """
+    index = house_price_index_long(properties.sparkSession)
     observed = properties.groupBy("region", "sale_year").agg(
         F.count(F.lit(1)).alias("transactions"), F.avg("price_gbp").alias("_avg")
     )
-    return observed.join(index, ["region", "sale_year"], "left").select(
-        "region", "sale_year", "transactions", half_up(F.col("_avg")).alias("avg_price"), "benchmark_price",
+    return observed.join(index, ["region", "sale_year"], "full").select(
+        "region", "sale_year", F.coalesce("transactions", F.lit(0)).alias("transactions"), half_up(F.col("_avg")).alias("avg_price"), "benchmark_price",
         half_up(pct_change(F.col("_avg"), F.col("benchmark_price")), 1).alias("pct_vs_benchmark"),
     )
 
 
 def school_mix_gap(properties: DataFrame) -> DataFrame:
-    """Observed share of each school band per region next to the published share."""
-    published = F.broadcast(school_outcomes_long(properties.sparkSession))
+    """Observed share of each school band per region next to the published share.
+
+    Every published region and band has a row: without a sale it counts 0.
+    """
+    published = school_outcomes_long(properties.sparkSession)
     cells = properties.groupBy("region", "nearest_school_ofsted").agg(F.count(F.lit(1)).alias("properties"))
     totals = cells.groupBy("region").agg(F.sum("properties").alias("_all"))
     share = ratio(F.col("properties"), F.col("_all")) * 100
     return (
-        cells.join(totals, "region")
-        .join(published, ["region", "nearest_school_ofsted"], "left")
+        cells.join(published, ["region", "nearest_school_ofsted"], "full")
+        .withColumn("properties", F.coalesce("properties", F.lit(0)))
+        .join(totals, "region", "left")
         .select("region", "nearest_school_ofsted", "properties", half_up(share, 1).alias("observed_pct"),
                 "published_pct", half_up(share - F.col("published_pct"), 1).alias("gap_points"))
     )

@@ -448,15 +448,17 @@ def sql() -> dict[str, str]:
         "j5_benchmark_rows": _with(VALUED + _hpi(), """SELECT property_id, benchmark_price,
             round(CAST(price_gbp AS DOUBLE) / benchmark_price * 100 - 100, 1) + 0.0::DOUBLE AS pct_vs_benchmark
             FROM valued LEFT JOIN hpi USING (region, sale_year)"""),
-        "j5_price_index_gap": _with(VALUED + _hpi(), """SELECT region, sale_year, transactions, round(a, 0) AS avg_price,
+        "j5_price_index_gap": _with(VALUED + _hpi(), """SELECT region, sale_year, coalesce(transactions, 0) AS transactions, round(a, 0) AS avg_price,
             benchmark_price, round(a / benchmark_price * 100 - 100, 1) + 0.0::DOUBLE AS pct_vs_benchmark FROM
             (SELECT region, sale_year, count(*) AS transactions, avg(price_gbp) AS a FROM valued GROUP BY ALL)
-            LEFT JOIN hpi USING (region, sale_year)"""),
+            FULL JOIN hpi USING (region, sale_year)"""),
         "j6_school_mix_gap": _with(PROPS + _schools(), """SELECT region, nearest_school_ofsted, properties,
             round(share, 1) AS observed_pct, published_pct, round(share - published_pct, 1) + 0.0::DOUBLE AS gap_points FROM
-            (SELECT *, CAST(properties AS DOUBLE) / sum(properties) OVER (PARTITION BY region) * 100 AS share FROM
-              (SELECT region, nearest_school_ofsted, count(*) AS properties FROM props GROUP BY region, nearest_school_ofsted))
-            LEFT JOIN schools USING (region) WHERE band = nearest_school_ofsted"""),
+            (SELECT *, CAST(properties AS DOUBLE) / nullif(sum(properties) OVER (PARTITION BY region), 0) * 100 AS share FROM
+              (SELECT coalesce(p.region, s.region) AS region, coalesce(nearest_school_ofsted, band) AS nearest_school_ofsted,
+                 coalesce(n, 0) AS properties, published_pct FROM
+                (SELECT region, nearest_school_ofsted, count(*) AS n FROM props GROUP BY region, nearest_school_ofsted) p
+                FULL JOIN schools s ON s.region = p.region AND s.band = p.nearest_school_ofsted))"""),
         "j7_carried_attributes": _with(PREDS, _counted(
             "preds", "region, property_type, bedrooms, floor_area_sqm, sale_year", "error_gbp")),
         "a5_overall_p90": _with(PROPS, "SELECT round(quantile_cont(price_gbp, 0.9), 3) AS p90 FROM props"),
@@ -499,9 +501,10 @@ def sql() -> dict[str, str]:
         "c8_commute_medians": _with(VALUED, f"""SELECT {_cut('commute_mins')} AS commute_band,
             quantile_cont(price_gbp, 0.5) AS median_price FROM valued GROUP BY commute_band"""),
         "c8_price_histogram": _with(VALUED + """, capped AS (SELECT price_gbp AS p FROM valued WHERE price_gbp <= 800000),
-            lim AS (SELECT min(p) AS low, max(p) AS high FROM capped)""", """SELECT CAST(least(floor((p - low)::DOUBLE /
-            nullif((high - low)::DOUBLE, 0) * 60), 59) AS INTEGER) AS bin, count(*) AS properties, min(p) AS lowest, max(p) AS highest
-            FROM capped, lim GROUP BY bin"""),
+            lim AS (SELECT min(p) AS low, max(p) AS high FROM capped)""", """SELECT b.bin, coalesce(properties, 0) AS properties,
+            lowest, highest FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(60)) b LEFT JOIN
+            (SELECT CAST(least(floor((p - low)::DOUBLE / nullif((high - low)::DOUBLE, 0) * 60), 59) AS INTEGER) AS bin,
+               count(*) AS properties, min(p) AS lowest, max(p) AS highest FROM capped, lim GROUP BY bin) f USING (bin)"""),
         "k1_headline_findings": _with(VALUED + f""", m AS (SELECT {_median('commute_mins <= 15')} AS near,
             {_median('commute_mins > 75')} AS far, {_median("epc_rating = 'A'")} AS ea, {_median("epc_rating = 'G'")} AS eg,
             {_median("nearest_school_ofsted = 'Outstanding'")} AS so, {_median("nearest_school_ofsted = 'Inadequate'")} AS si,

@@ -5,6 +5,7 @@ import re
 import pytest
 
 from brickledger.plans import mart
+from brickledger.sources.star_schema import transactions
 from checks import inputs, registry
 
 
@@ -35,10 +36,19 @@ def test_unpartitioned_windows_only_follow_an_aggregate(spark, sf_dir, key):
             assert "Relation" not in below, line
 
 
+def test_every_line_is_read_and_years_are_exact(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert inputs.raw(spark, sf_dir).count() == lines
+    some = transactions(spark, sf_dir, [2022, 2024])
+    assert [r.y for r in some.selectExpr("year(date_of_transfer) AS y").distinct().orderBy("y").collect()] == [2022, 2024]
+    parts = [transactions(spark, sf_dir, [y]).count() for y in inputs.YEARS]
+    assert sum(parts) == lines and all(parts)
+
+
 def test_order_dates_reach_the_scan_and_columns_are_pruned(spark, sf_dir):
-    plan = _plan(registry.registered()["q02_type_by_region"](spark, sf_dir))
-    orders = next(l for l in plan.splitlines() if "orders.parquet" in l)
+    orders = next(l for l in _plan(transactions(spark, sf_dir, [2022])).splitlines() if "orders.parquet" in l)
     assert "GreaterThanOrEqual(o_orderdate" in orders and "LessThan(o_orderdate" in orders
+    plan = _plan(registry.registered()["q02_type_by_region"](spark, sf_dir))
     lines = next(l for l in plan.splitlines() if "lineitem.parquet" in l)
     assert "l_quantity" not in lines.split("ReadSchema")[1] and "l_discount" not in lines.split("ReadSchema")[1]
 
