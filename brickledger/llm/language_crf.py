@@ -340,8 +340,10 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
 
 
 def accepted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
-             least_score: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose language could be told: not ``und``, and most words in one language.
+             least_score: float = 0.0) -> DataFrame:
+    """The rows, with all their columns, whose language could be told: not ``und``, and a score of ``least_score`` or more.
+
+    By default text that mixes languages stays: it is a document of its main language.
 
     The text travels with its row through the labeller, so there is no join.
     """
