@@ -6,7 +6,8 @@ occurs) with a 64-bit SimHash. A multi-index over blocks of the items'
 fingerprints returns every item within the Hamming radius of a window: of eight
 blocks of eight bits, at least one differs in two bits or fewer when the whole
 differs in 23 or fewer, and each block is entered under all its values within
-two bits. Candidates are then verified by the exact weighted Jaccard similarity.
+two bits. Candidates are then verified by the exact weighted Jaccard similarity. A text of
+fewer words than the item is compared as a whole.
 
 A window that is similar at all shares a shingle with the item, so only windows
 around shared shingles are fingerprinted; this loses nothing. Window sums slide
@@ -153,12 +154,15 @@ class Index:
         return [(item, *found) for item, found in sorted(best.items())]
 
     def _windows(self, words: list[str], m: int, width: int, positions: list[int], least: float, best: dict) -> None:
-        """Windows of m words that hold a shared shingle, in stretches of bounded length."""
-        last = len(words) - m
-        if last < 0:
-            return
+        """Windows of m words that hold a shared shingle, in stretches of bounded length.
+
+        A text shorter than the item is one window.
+        """
+        span = min(m, len(words))
+        if span - width + 1 < least * (m - width + 1):
+            return  # too short for the similarity asked for
         marks = np.array(positions)
-        lows, highs = np.maximum(marks - (m - width), 0), np.minimum(marks, last)
+        lows, highs = np.maximum(marks - (span - width), 0), np.minimum(marks, len(words) - span)
         keep = lows <= highs
         at, stop = -1, -1
         for low, high in zip(lows[keep].tolist(), highs[keep].tolist()):
@@ -166,20 +170,20 @@ class Index:
                 stop = max(stop, high)
                 continue
             if at >= 0:
-                self._stretch(words, m, width, at, stop, least, best)
+                self._stretch(words, m, span, width, at, stop, least, best)
             at, stop = (max(low, stop + 1), high) if at >= 0 else (low, high)
         if at >= 0 and stop >= at:
-            self._stretch(words, m, width, at, stop, least, best)
+            self._stretch(words, m, span, width, at, stop, least, best)
 
-    def _stretch(self, words: list[str], m: int, width: int, start: int, stop: int, least: float, best: dict) -> None:
-        """All windows starting from ``start`` to ``stop``, both included."""
+    def _stretch(self, words: list[str], m: int, span: int, width: int, start: int, stop: int, least: float, best: dict) -> None:
+        """All windows of ``span`` words starting from ``start`` to ``stop``, both included."""
         if stop < start:
             return
         own = self.sized[m]
-        part = words[start:stop + m]
+        part = words[start:stop + span]
         shingles = [" ".join(part[i:i + width]) for i in range(len(part) - width + 1)]
         sums = np.concatenate([np.zeros((1, BLOCKS * BLOCK_BITS), np.int32), np.cumsum(_signs(shingles), axis=0, dtype=np.int32)])
-        size = m - width + 1
+        size = span - width + 1
         windows, items, distances = own.candidates(_packed(sums[size:] - sums[:-size]))
         made: dict[int, Counter] = {}
         for w, i, d in zip(windows.tolist(), items.tolist(), distances.tolist()):

@@ -10,17 +10,17 @@ from brickledger.llm import queries
 
 
 def plain_hits(text, items):
-    """Best similarity of each item over every window of its size, no fingerprints."""
+    """Best similarity of each item over every window of its size (a shorter text as a whole), no fingerprints."""
     words, out = dc.words_of(text), {}
     for item, content in items:
         want = dc.words_of(content)
         m = len(want)
-        if not m or m > len(words):
+        width, span = min(5, m), min(m, len(words))
+        if not m or span < width:
             continue
-        width = min(5, m)
         weights = Counter(tuple(want[i:i + width]) for i in range(m - width + 1))
-        best = max(dc.similarity(Counter(tuple(words[s + i:s + i + width]) for i in range(m - width + 1)), weights)
-                   for s in range(len(words) - m + 1))
+        best = max(dc.similarity(Counter(tuple(words[s + i:s + i + width]) for i in range(span - width + 1)), weights)
+                   for s in range(len(words) - span + 1))
         if best >= 0.8:
             out[item] = best
     return out
@@ -64,6 +64,15 @@ def test_edited_passages_of_all_sizes():
     assert seen == {i for i, _ in items}
 
 
+def test_a_text_shorter_than_the_item_is_one_window():
+    words = [f"w{i}" for i in range(40)]
+    index = dc.Index([(7, " ".join(words))])
+    for n in range(25, 41):
+        hits = index.search(" ".join(words[:n]))
+        assert {h[0]: h[1] for h in hits} == plain_hits(" ".join(words[:n]), [(7, " ".join(words))]), n
+    assert index.search(" ".join(words[:34])) and not index.search(" ".join(words[:32]))
+
+
 def test_blocks_return_everything_within_the_radius():
     rng = np.random.default_rng(3)
     own = dc.Sized(ids=list(range(40)), weights=[Counter({f"s{i}": 1}) for i in range(40)])
