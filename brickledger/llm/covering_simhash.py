@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brickledger.llm.support import bit_count, map_batches, reach_workers, rows_batch, stored
+from brickledger.llm.support import bit_count, broadcast_if_small, map_batches, reach_workers, rows_batch, stored
 
 BITS = 64
 SHINGLE = 4
@@ -33,6 +33,8 @@ RADIUS = 4
 SEED = 42
 SMALL, LARGE = 48, 4096
 PIECE = 1 << 17
+PRINTS, WIDE_RADIUS = 4, 5
+COMPARED_SHINGLE, LEAST = 5, 0.8
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -136,11 +138,38 @@ def _dense_links(fps: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
+def _nearest(fps: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
+    """For rows sorted by bucket, the index of the nearest other row within the radius in the same bucket, or the row's own.
+
+    Buckets above LARGE are left to the edges of their forest.
+    """
+    to, best = np.arange(len(fps)), np.full(len(fps), radius + 1)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
+    sizes = np.diff(np.concatenate([starts, [len(fps)]]))
+    size_of = np.repeat(sizes, sizes)
+    for k in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
+        a = np.flatnonzero((bucket[k:] == bucket[:-k]) & (size_of[:-k] <= SMALL))
+        away = bit_count(fps[a] ^ fps[a + k])
+        for x, y in ((a, a + k), (a + k, a)):
+            closer = away < best[x]
+            best[x[closer]], to[x[closer]] = away[closer], y[closer]
+    for start, size in zip(starts[(sizes > SMALL) & (sizes <= LARGE)], sizes[(sizes > SMALL) & (sizes <= LARGE)]):
+        own = fps[start:start + size]
+        for part in range(0, size, 256):
+            away = bit_count(own[part:part + 256, None] ^ own[None, :])
+            row = np.arange(len(away))
+            away[row, part + row] = BITS
+            other = away.argmin(axis=1)
+            near = away[row, other] <= radius
+            to[start + part + row[near]] = start + other[near]
+    return to
+
+
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("whole", pa.bool_())])
 
 
-def _bucket_forest(radius: int, limit: int | None):
-    """Rows (key, fp) come in sorted; out go forest edges (fp, first fp of its component).
+def _bucket_forest(radius: int, limit: int | None, nearest: bool):
+    """Rows (key, fp) come in sorted; out go forest edges (fp, first fp of its component), with ``nearest`` also (fp, nearest fp).
 
     A bucket above ``limit`` goes out row by row as (key, fp, false) instead.
     """
@@ -150,8 +179,10 @@ def _bucket_forest(radius: int, limit: int | None):
         multi |= np.concatenate([key[1:] == key[:-1], [False]])
         key, fps = key[multi], fps[multi]
         first = _links(fps.view(np.uint64), key, radius) if len(fps) else np.zeros(0, int)
-        moved = first != np.arange(len(fps))
-        return rows_batch(_EDGES, [fps[moved], fps[first[moved]], np.ones(int(moved.sum()), bool)])
+        to = [first, _nearest(fps.view(np.uint64), key, radius)] if nearest and len(fps) else [first]
+        moved = [t != np.arange(len(fps)) for t in to]
+        a, b = (np.concatenate([x[m] for x, m in zip(side, moved)]) for side in ([fps] * len(to), [fps[t] for t in to]))
+        return rows_batch(_EDGES, [a, b, np.ones(len(a), bool)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, prints = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -192,11 +223,11 @@ def _bucket_forest(radius: int, limit: int | None):
     return run
 
 
-def _forest(keyed: DataFrame, radius: int, limit: int | None) -> DataFrame:
+def _forest(keyed: DataFrame, radius: int, limit: int | None, nearest: bool) -> DataFrame:
     """Forest edges of all buckets of ``keyed`` (key, fp)."""
     reach_workers(keyed.sparkSession)
     dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(_bucket_forest(radius, limit), "a long, b long, whole boolean")
+    return dealt.mapInArrow(_bucket_forest(radius, limit, nearest), "a long, b long, whole boolean")
 
 
 def _table_key(table: Column | int, masked: Column) -> Column:
@@ -204,11 +235,14 @@ def _table_key(table: Column | int, masked: Column) -> Column:
     return F.xxhash64(F.lit(table) if isinstance(table, int) else table, masked)
 
 
-def link_forest(prints: DataFrame, radius: int = RADIUS, seed: int = SEED, limit: int = LARGE) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints, all within ``radius``-chains, that connect every linked pair."""
+def link_forest(prints: DataFrame, radius: int = RADIUS, seed: int = SEED, limit: int = LARGE, nearest: bool = False) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints, all within ``radius``-chains, that connect every linked pair.
+
+    ``nearest`` adds the nearest neighbour of every fingerprint in every bucket, for edges that are to be examined further.
+    """
     masks = covering_masks(radius, list(range(BITS)), seed)
     keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])))
-    found = stored(_forest(keyed.select(_table_key(F.col("pos"), F.col("col")).alias("key"), "fp"), radius, limit), "links")
+    found = stored(_forest(keyed.select(_table_key(F.col("pos"), F.col("col")).alias("key"), "fp"), radius, limit, nearest), "links")
     edges = found.where("whole").select("a", "b")
     # The rest are buckets above the limit, as (key, fp). A linked pair in them differs
     # in at most `radius` bits, so it meets again in some table of a second family.
@@ -217,7 +251,7 @@ def link_forest(prints: DataFrame, radius: int = RADIUS, seed: int = SEED, limit
         F.col("a").alias("outer"), F.col("b").alias("fp"),
         F.posexplode(F.array(*[F.col("b").bitwiseAND(F.lit(signed(m))) for m in again])))
     inner = rest.select(F.xxhash64("outer", "pos", "col").alias("key"), "fp")
-    return edges.unionAll(_forest(inner, radius, None).select("a", "b")).distinct()
+    return edges.unionAll(_forest(inner, radius, None, nearest).select("a", "b")).distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -275,3 +309,93 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     kept = (near_duplicates(df, id_col, text_col, radius).where(F.col(id_col).eqNullSafe(F.col("component_id")))
             .select(F.col(id_col).alias("__kept")).distinct())
     return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+
+
+def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """One of several independent sets of 64 bits made from the same hashes."""
+    x = hashes + np.uint64((number + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def wide_fingerprints(text: str) -> list[int]:
+    """``PRINTS`` SimHash fingerprints (signed) over pairs of words; none for a text without words."""
+    words = text.encode().lower().split()
+    if not words:
+        return []
+    pairs = [b" ".join(p) for p in zip(words, words[1:])] or words
+    counts = np.zeros((PRINTS, BITS), np.int64)
+    for at in range(0, len(pairs), PIECE):
+        hashes = np.array([xxhash.xxh64_intdigest(p, SEED) for p in pairs[at:at + PIECE]], np.uint64)
+        for number in range(PRINTS):
+            bits = np.unpackbits(_mixed(hashes, number).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[number] += np.add.reduce(bits, axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > len(pairs), axis=1, bitorder="little").view(np.int64).ravel().tolist()
+
+
+def compared_shingles(text: str) -> set[bytes]:
+    """Shingles of five words, without repeats; one of all words if there are fewer, none without words."""
+    words = text.encode().lower().split()
+    width = min(COMPARED_SHINGLE, len(words))
+    return {b" ".join(words[i:i + width]) for i in range(len(words) - width + 1)} if words else set()
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _wide(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    found = [(doc, fp) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for fp in wide_fingerprints(text)]
+    yield rows_batch(_PRINTS, list(map(list, zip(*found))) or [[], []])
+
+
+def _similar(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    a, b, text_a, text_b = (batch.column(i).to_pylist() for i in range(4))
+    kept, last, own = [], None, set()
+    for x, y, one, other in zip(a, b, text_a, text_b):
+        if one != last:
+            last, own = one, compared_shingles(one)
+        against = compared_shingles(other)
+        shared = len(own & against)
+        if shared and shared >= LEAST * (len(own) + len(against) - shared):
+            kept.append((x, y))
+    yield rows_batch(_LINKS, list(map(list, zip(*kept))) or [[], []])
+
+
+def candidate_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (a > b) of ids of ``texts`` (doc_id, text) worth comparing.
+
+    Rows that share a fingerprint are paired with the smallest id that has it,
+    the edges of the fingerprints with those ids: a few pairs a row, whatever the
+    size of its group.
+    """
+    prints = stored(map_batches(texts, _wide, "doc_id long, fp long"), "wide")
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "wide_nodes")
+    edges = link_forest(nodes.select("fp"), WIDE_RADIUS, nearest=True)
+    one, other = (nodes.select(F.col("fp").alias(x), F.col("low").alias(f"doc_{x}")) for x in ("a", "b"))
+    far = edges.join(one, "a").join(other, "b").select("doc_a", "doc_b")
+    same = prints.join(nodes, "fp").select(F.col("doc_id").alias("doc_a"), F.col("low").alias("doc_b"))
+    return same.unionAll(far).where("doc_a <> doc_b").select(
+        F.greatest("doc_a", "doc_b").alias("a"), F.least("doc_a", "doc_b").alias("b")).distinct()
+
+
+def similar_links(texts: DataFrame) -> DataFrame:
+    """The candidate pairs of ``texts`` (doc_id, text) whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    pairs = stored(candidate_pairs(texts), "candidates")
+    compared = stored(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "compared")
+    held = stored(texts.join(broadcast_if_small(compared, F.lit(32)), "doc_id"), "compared_texts")
+    one, other = (held.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b"))
+    both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
+    return map_batches(both, _similar, "a long, b long")
+
+
+def similar_survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay when of each chain of similar texts only the smallest id is kept, with all columns of ``df``.
+
+    Candidates are found with high probability, not for certain; every link is exact. Rows with a null id or text and texts
+    without a word are not compared and stay. Rows of one id stay or go together. An empty table gives no rows.
+    """
+    texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropna()
+    roots = components(similar_links(texts))
+    gone = stored(roots.where("node <> root").select(F.col("node").alias("__gone")).distinct(), "gone")
+    return df.join(broadcast_if_small(gone, F.lit(32)), F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")

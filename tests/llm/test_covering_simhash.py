@@ -98,3 +98,57 @@ def test_edge_rows(spark):
 def test_one_print_holding_most_rows(spark):
     df = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a b c d e").otherwise(F.concat(F.lit("w"), "id")).alias("text"))
     assert cs.near_duplicates(df).where("component_id = 0").count() >= 1000
+
+
+def plain_similar(texts):
+    """id -> smallest id reachable over pairs whose five-word shingles are 80% alike, comparing all pairs."""
+    sets = {}
+    for d, t in texts.items():
+        words = t.lower().split()
+        sets[d] = {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    low = {d: d for d in texts}
+    links = [(a, b) for a in texts for b in texts if b < a and sets[a] and sets[b]
+             and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(low[a], low[b])
+            changed |= low[a] != m or low[b] != m
+            low[a] = low[b] = m
+    return low
+
+
+def test_similar_survivors_equal_brute_force(spark):
+    """Originals, a crowd of edited copies of one text, pairs near the bar, and texts over the same words that are not copies.
+
+    Candidates are found with high probability: nothing goes that should stay, and 95% or more of what should go does.
+    """
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = {}
+    for _ in range(60):
+        texts[len(texts)] = " ".join(rng.choices(vocabulary, k=rng.randint(60, 300)))
+    for source, copies in [(5, 150), *((s, 1) for s in range(10, 40))]:
+        for _ in range(copies):
+            words = texts[source].split()
+            for _ in range(rng.randint(1, max(1, len(words) // 45))):
+                words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(words)
+    want = plain_similar(texts)
+    assert len(set(want.values())) < len(want) - 100
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id for r in cs.similar_survivors(df).collect()}
+    stay = set(want.values())
+    assert got >= stay and len(got - stay) <= 0.05 * (len(texts) - len(stay))
+
+
+def test_similar_survivors_edge_rows(spark):
+    long = "word " * 60_000
+    data = [(3, None, "x", 1), (2, "", "x", 1), (9, " \t\n", "x", 1), (None, "a b c d e", "x", 1), (5, long, "x", 1), (4, long, "y", 2), (4, long, "y", 2),
+            (7, "One two", "x", 1), (8, "oNE  two ", "x", 1), (6, "a b c d e", "x", 1), (10, "a b c d f", "x", 1)]
+    df = spark.createDataFrame(data, "doc_id long, text string, fp string, a int")
+    kept = cs.similar_survivors(df)
+    assert kept.schema == df.schema
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([3, 2, 9, None, 4, 4, 7, 6, 10], key=str)
+    assert cs.similar_survivors(df.limit(0)).count() == 0
