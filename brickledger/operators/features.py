@@ -66,22 +66,23 @@ def region_index(fitted_on: DataFrame) -> DataFrame:
     return domain.join(medians, "region", "left").selectExpr("region", f"_median / 1000 AS {REGION_INDEX}")
 
 
-def with_region_index(df: DataFrame, fitted_on: DataFrame | None = None) -> DataFrame:
-    """Attach the regional index, fitted on ``fitted_on`` (or on ``df`` itself).
+def with_region_index(df: DataFrame, fitted_on: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Attach the regional index: ``index`` as stored, or fitted on ``fitted_on`` (or on ``df`` itself).
 
     The index has 12 rows by construction, so broadcasting it is safe at any size.
     """
-    index = region_index(df if fitted_on is None else fitted_on)
+    if index is None:
+        index = region_index(df if fitted_on is None else fitted_on)
     return df.join(F.broadcast(index), "region", "left")
 
 
-def engineer(df: DataFrame, fitted_on: DataFrame | None = None) -> DataFrame:
+def engineer(df: DataFrame, fitted_on: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """All feature columns and the log target next to the input columns.
 
     ``fitted_on`` should be the training rows; leaving it out fits the regional
-    index on every row, test rows included.
+    index on every row, test rows included. A stored ``index`` is used as it is.
     """
-    encoded = _add(with_region_index(df, fitted_on), ORDINAL_SCORES, INDICATOR_FLAGS)
+    encoded = _add(with_region_index(df, fitted_on, index), ORDINAL_SCORES, INDICATOR_FLAGS)
     return _add(encoded, INTERACTIONS, COMPOSITES, LOGS_AND_TIME)
 
 

@@ -46,18 +46,23 @@ def rounded_measures(measures: DataFrame) -> DataFrame:
 def regional_accuracy(predictions: DataFrame) -> DataFrame:
     """MAE, count and medians per region.
 
-    Both medians come from counted values; the two count tables have one row
-    per region and price, never one group of raw rows.
+    Actual and predicted prices are stacked and counted in one pass; the count
+    table has one row per region, kind and price, never a group of raw rows.
     """
-    actual = price_counts(predictions, ["region"], "actual_price", also=["abs_error"]).groupBy("region").agg(
+    c = F.col
+    kinds = F.array(
+        F.struct(F.lit(True).alias("sold"), c("actual_price").alias("price"), c("abs_error")),
+        F.struct(F.lit(False).alias("sold"), c("predicted_price").alias("price"), F.when(F.lit(False), c("abs_error")).alias("abs_error")),
+    )
+    stacked = predictions.where(c("region").isNotNull()).select("region", F.explode(kinds).alias("kind")).select("region", "kind.*")
+    table = price_counts(stacked, ["region", "sold"], "price", also=["abs_error"]).withColumns({
+        "actual_price": F.when(c("sold"), c("price")), "predicted_price": F.when(~c("sold"), c("price")),
+    }).groupBy("region").agg(
         ratio(F.sum("sum_abs_error"), F.sum("n_abs_error")).alias("mae"),
-        F.sum(F.when(F.col("actual_price").isNotNull(), F.col("n"))).alias("count"),
+        F.sum(F.when(c("actual_price").isNotNull(), c("n"))).alias("count"),
         quantile(0.5, "actual_price").alias("median_actual"),
+        quantile(0.5, "predicted_price").alias("median_predicted"),
     )
-    predicted = price_counts(predictions, ["region"], "predicted_price").groupBy("region").agg(
-        quantile(0.5, "predicted_price").alias("median_predicted")
-    )
-    table = actual.join(predicted, "region")
     return table.withColumn("mae_pct", half_even(ratio(F.col("mae"), F.col("median_actual")) * 100, 1))
 
 

@@ -53,8 +53,9 @@ def _first_in_buckets(tagged: DataFrame, strata: list[str], key: str, wanted: Co
     """The first ``wanted`` rows in digest order of every stratum.
 
     ``edge`` holds one row per stratum: the bucket where the last wanted row
-    falls and how many of its rows to take. Buckets before it are kept whole;
-    only the edge bucket is ranked.
+    falls and how many of its rows to take. One more pass ranks rows up to the
+    edge inside their bucket and cuts the edge bucket; what it shuffles is the
+    result and the rest of that bucket.
     """
     c = F.col
     placed = _bucket_offsets(tagged, strata).withColumns({
@@ -64,17 +65,15 @@ def _first_in_buckets(tagged: DataFrame, strata: list[str], key: str, wanted: Co
     edge = placed.where((c("_before") < c("_wanted")) & (c("_wanted") <= c("_through"))).select(
         *strata, c("_bucket").alias("_edge"), (c("_wanted") - c("_before")).alias("_take")
     )
-    # one row, or one per stratum of a closed list of strata
-    edge = F.broadcast(edge)
-    joined = tagged.join(edge, strata) if strata else tagged.crossJoin(edge)
+    # one row without strata; else one per stratum, which Spark broadcasts while small
+    joined = tagged.join(edge, strata) if strata else tagged.crossJoin(F.broadcast(edge))
     within = Window.partitionBy(*strata, "_bucket").orderBy("_digest", key)
-    last = (
-        joined.where(c("_bucket") == c("_edge"))
+    return (
+        joined.where(c("_bucket") <= c("_edge"))
         .withColumn("_rank", F.row_number().over(within))
-        .where(c("_rank") <= c("_take"))
-        .drop("_rank")
+        .where((c("_bucket") < c("_edge")) | (c("_rank") <= c("_take")))
+        .drop("_rank", "_edge", "_take", "_digest", "_bucket")
     )
-    return joined.where(c("_bucket") < c("_edge")).unionByName(last).drop("_edge", "_take", "_digest", "_bucket")
 
 
 def sample_exact(df: DataFrame, n: int, key: str, seed=42) -> DataFrame:
@@ -94,15 +93,16 @@ def with_split(df: DataFrame, key: str = "property_id", test_fraction: float = 0
     return df.withColumn(name, F.substring(digest(F.col(key), f"split{seed}"), 1, 8) < F.lit(bar))
 
 
-def stratified_test(df: DataFrame, stratum: str, domain, key: str = "property_id", test_fraction: float = 0.2,
+def stratified_test(df: DataFrame, stratum: str, domain=None, key: str = "property_id", test_fraction: float = 0.2,
                     seed=42) -> DataFrame:
     """Test rows with exactly ``ceil(fraction * size)`` rows per stratum.
 
-    ``domain`` lists the known strata; all other values together form one more.
+    Every value found is a stratum of its own, NULL included. With ``domain``
+    only the listed ones are, and all others together form one more.
     """
-    tagged = _with_digest(df, key, f"split{seed}").withColumn(
-        "_stratum", F.when(F.col(stratum).isin(*domain), F.col(stratum)).otherwise("")
-    )
+    named = F.concat(F.lit("="), F.col(stratum).cast("string"))
+    known = named if domain is None else F.when(F.col(stratum).isin(*domain), named)
+    tagged = _with_digest(df, key, f"split{seed}").withColumn("_stratum", F.coalesce(known, F.lit("")))
     wanted = F.ceil(F.col("_size") * F.lit(test_fraction)).cast("bigint")
     return _first_in_buckets(tagged, ["_stratum"], key, wanted).drop("_stratum")
 

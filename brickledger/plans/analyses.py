@@ -6,7 +6,7 @@ through price counts (see ``operators.distribution``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from brickledger.functions.scalar import (
     accuracy_band, commute_band, decode, error_band, half_up, importance_band, pct_change, ratio,
@@ -18,11 +18,6 @@ from brickledger.operators.distribution import (
 c = F.col
 
 
-def _share_pct(test: Column) -> Column:
-    """Percentage of rows for which the test holds; unknown counts as no."""
-    return half_up(F.avg(F.when(test, F.lit(1.0)).otherwise(F.lit(0.0))) * 100, 1)
-
-
 def regional_summary(properties: DataFrame) -> DataFrame:
     stats = price_counts(properties, ["region"]).groupBy("region").agg(
         rows().alias("transactions"),
@@ -143,23 +138,31 @@ def error_distribution(predictions: DataFrame) -> DataFrame:
 
 
 def top_decile_profile(properties: DataFrame) -> DataFrame:
-    """Both segments in one grouped pass; sales without a price are in neither."""
-    cut = price_counts(properties, []).agg(quantile(0.9).alias("p90"))  # one row
+    """Both segments from counts and sums per price, so sales are read and shuffled once; sales without a price are in neither."""
+    marked = properties.where(c(PRICE).isNotNull()).withColumns({
+        "good_epc": F.when(c("epc_rating").isin("A", "B", "C"), 1).otherwise(0),
+        "good_school": F.when(c("nearest_school_ofsted").isin("Outstanding", "Good"), 1).otherwise(0),
+    })
+    counted = price_counts(marked, [], also=[
+        "bedrooms", "floor_area_sqm", "commute_mins", "good_epc", "good_school", "has_garden", "has_garage"])
+    # one row; asking for every total (that of the rows is above 0) keeps both uses of the counts alike, so they share one shuffle
+    totals = [name for name in counted.columns if name != PRICE]
+    cut = counted.agg(quantile(0.9).alias("p90"), *[F.sum(name).alias(f"all_{name}") for name in totals]).where(
+        F.greatest(*[f"all_{name}" for name in totals]) > 0).select("p90")
     segment = F.when(c(PRICE) >= c("p90"), "Top 10% Properties").otherwise("Bottom 90% Properties")
     return (
-        properties.where(c(PRICE).isNotNull())
-        .crossJoin(F.broadcast(cut))
+        counted.crossJoin(F.broadcast(cut))
         .groupBy(segment.alias("segment"))
         .agg(
-            F.count(F.lit(1)).alias("count"),
-            half_up(F.avg(PRICE)).alias("avg_price"),
-            half_up(F.avg("bedrooms"), 1).alias("avg_bedrooms"),
-            half_up(F.avg("floor_area_sqm")).alias("avg_floor_area"),
-            half_up(F.avg("commute_mins")).alias("avg_commute_mins"),
-            _share_pct(c("epc_rating").isin("A", "B", "C")).alias("pct_good_epc"),
-            _share_pct(c("nearest_school_ofsted").isin("Outstanding", "Good")).alias("pct_good_school"),
-            half_up(F.avg("has_garden"), 2).alias("pct_with_garden"),
-            half_up(F.avg("has_garage"), 2).alias("pct_with_garage"),
+            rows().alias("count"),
+            half_up(mean()).alias("avg_price"),
+            half_up(mean_of("bedrooms"), 1).alias("avg_bedrooms"),
+            half_up(mean_of("floor_area_sqm")).alias("avg_floor_area"),
+            half_up(mean_of("commute_mins")).alias("avg_commute_mins"),
+            half_up(mean_of("good_epc") * 100, 1).alias("pct_good_epc"),
+            half_up(mean_of("good_school") * 100, 1).alias("pct_good_school"),
+            half_up(mean_of("has_garden"), 2).alias("pct_with_garden"),
+            half_up(mean_of("has_garage"), 2).alias("pct_with_garage"),
         )
         .orderBy(c("segment").desc())
     )

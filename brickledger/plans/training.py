@@ -244,18 +244,22 @@ def standardise(table: DataFrame, statistics: DataFrame) -> DataFrame:
     return table.select(*[c for c in table.columns if c not in fv.FEATURES], *scaled)
 
 
-def save_model(model: PipelineModel, path: str) -> str:
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel, path: str, fitted_on: DataFrame | None = None) -> str:
+    """The model and, fitted on ``fitted_on``, the regional index (12 rows) next to it."""
+    model.write().overwrite().save(f"{path}/model")
+    if fitted_on is not None:
+        fe.region_index(fitted_on).coalesce(1).write.mode("overwrite").parquet(f"{path}/region_index")
     return path
 
 
-def score_new(path: str, properties: DataFrame, fitted_on: DataFrame) -> DataFrame:
+def score_new(path: str, properties: DataFrame, fitted_on: DataFrame | None = None) -> DataFrame:
     """Price estimates for new properties from a saved model.
 
-    ``fitted_on`` is the table the regional index was fitted on.
+    The regional index saved with the model is used, unless ``fitted_on`` is given to fit it again.
     """
+    index = properties.sparkSession.read.parquet(f"{path}/region_index") if fitted_on is None else None
     if PRICE not in properties.columns:
         properties = properties.withColumn(PRICE, F.lit(None).cast("bigint"))
-    matrix = fe.feature_matrix(fe.engineer(properties, fitted_on), ["property_id"])
-    scored = score(PipelineModel.load(path), matrix)
+    matrix = fe.feature_matrix(fe.engineer(properties, fitted_on, index), ["property_id"])
+    scored = score(PipelineModel.load(f"{path}/model"), matrix)
     return scored.select("property_id", F.bround(in_pounds(PREDICTION), 0).cast("bigint").alias("estimate_gbp"))

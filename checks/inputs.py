@@ -43,11 +43,11 @@ def _draw(salt: str) -> Column:
     return digest_int(digest(F.col("property_id"), salt))
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predictions(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("property_id",)) -> DataFrame:
     """Predicted prices between 75% and 125% of the actual price, drawn from the row key."""
     predicted = F.col("price_gbp") * (75 + _draw("predict") % 51) / 100
     table = properties(spark, sf_dir)
-    return prediction_table(table, F.col("price_gbp"), predicted, keep=("property_id",))
+    return prediction_table(table, F.col("price_gbp"), predicted, keep=keep)
 
 
 def valued(spark: SparkSession, sf_dir: str) -> DataFrame:

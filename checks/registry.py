@@ -216,8 +216,7 @@ def price_from_log(spark, sf_dir):
 
 
 def band_counts(spark, sf_dir):
-    sales = inputs.predictions(spark, sf_dir).join(
-        inputs.properties(spark, sf_dir).select("property_id", "commute_mins", "build_year"), "property_id")
+    sales = inputs.predictions(spark, sf_dir, keep=("property_id", "commute_mins", "build_year"))
     return sales.groupBy(
         sc.commute_band("commute_mins").alias("commute_band"), sc.error_band("error_pct").alias("error_band"),
         sc.accuracy_band("abs(error_pct)").alias("accuracy_band"), sc.age_band("build_year").alias("age_band"),
@@ -372,7 +371,7 @@ def split_counts(spark, sf_dir):
 
 
 def stratified_split(spark, sf_dir):
-    test = ranking.stratified_test(inputs.properties(spark, sf_dir), "region", fv.REGIONS)
+    test = ranking.stratified_test(inputs.properties(spark, sf_dir), "region")
     return test.select("property_id", "region")
 
 
@@ -401,9 +400,9 @@ def _target_encoding(fit_on: str) -> Query:
 
 def score_saved_model(spark, sf_dir):
     fitted = _fitted(spark, sf_dir)
-    path = training.save_model(fitted.models[training.BOOSTING], scratch_path(spark, "model"))
     new = inputs.valued(spark, sf_dir)
-    return training.score_new(path, new.drop("price_gbp"), ranking.with_split(new).where(~c("is_test")))
+    path = training.save_model(fitted.models[training.BOOSTING], scratch_path(spark, "model"), ranking.with_split(new).where(~c("is_test")))
+    return training.score_new(path, new.drop("price_gbp"))
 
 
 def _on(table: Callable, plan: Callable[[DataFrame], DataFrame]) -> Query:

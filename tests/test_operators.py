@@ -69,6 +69,18 @@ def test_stratified_test_part(skewed):
         assert got[stratum] == set(want)
 
 
+def test_every_value_is_a_stratum(skewed):
+    rows, df = skewed
+    want = {}
+    for stratum in {g for _, g, _ in rows}:
+        keys = [k for k, g, _ in rows if g == stratum]
+        want[stratum] = set(sorted(keys, key=lambda k: _digest("split42", k))[:math.ceil(len(keys) * 0.2)])
+    got = {}
+    for r in ranking.stratified_test(df, "g", key="id").collect():
+        got.setdefault(r["g"], set()).add(r["id"])
+    assert got == want
+
+
 def test_split_and_folds_do_not_depend_on_partitions(skewed):
     rows, df = skewed
     def parts(table):

@@ -74,6 +74,21 @@ def test_counts_are_shuffled_once_for_histogram(spark, sf_dir, tmp_path):
     assert "ReusedExchange" in _plan(df) or _plan(df).count("FileScan") == 1
 
 
+def test_no_pass_too_many_over_the_mart(spark, sf_dir, tmp_path):
+    from brickledger.operators import prediction_errors, ranking
+    from brickledger.plans import analyses
+
+    path = mart.write_properties(inputs.properties(spark, sf_dir), str(tmp_path / "mart"))
+    homes = mart.read_properties(spark, path)
+    assert _plan(ranking.sample_exact(homes, 800, "property_id")).count("FileScan") == 2
+    assert _plan(ranking.stratified_test(homes, "region")).count("FileScan") == 2
+    predicted = prediction_errors.prediction_table(homes, homes.price_gbp, homes.price_gbp * 1.1)
+    assert _plan(prediction_errors.regional_accuracy(predicted)).count("FileScan") == 1
+    profile = analyses.top_decile_profile(homes)
+    profile.collect()
+    assert "ReusedExchange" in _plan(profile) or _plan(profile).count("FileScan") == 1
+
+
 def test_the_same_rows_under_any_shuffle_width(spark, sf_dir):
     def rows(width):
         before = spark.conf.get("spark.sql.shuffle.partitions")

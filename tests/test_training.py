@@ -76,6 +76,8 @@ def test_saved_model_scores_new_rows(spark, sf_dir, fitted, tmp_path):
     valued = inputs.valued(spark, sf_dir)
     train = valued.join(fitted.train.select("property_id"), "property_id", "left_semi")
     estimates = tr.score_new(path, valued.drop("price_gbp"), train)
+    stored = tr.score_new(tr.save_model(fitted.models[tr.BOOSTING], path, train), valued.drop("price_gbp"))
+    assert sorted(stored.collect()) == sorted(estimates.collect())
     direct = tr.predictions(fitted.models[tr.BOOSTING], fitted.test).select("property_id", "predicted_price")
     both = direct.join(estimates, "property_id")
     assert both.count() == fitted.test.count() and both.where("predicted_price <> estimate_gbp").count() == 0
