@@ -134,6 +134,15 @@ PREDS = PROPS + f""", fixed AS (
 )"""
 
 
+FIXED_MODELS = PREDS + """, e AS (
+  SELECT model, actual_price::DOUBLE AS a, ((actual_price - predicted_price) * times)::DOUBLE AS e
+  FROM preds, (VALUES ('Gradient Boosting', 1), ('Random Forest', 2), ('Ridge Regression', 3)) m(model, times)
+), compared AS (
+  SELECT model, round_even(1 - avg(e * e) / var_pop(a), 4) AS r2, round_even(sqrt(avg(e * e)), 0) AS rmse,
+    round_even(avg(abs(e)), 0) AS mae, round_even(avg(abs(e / a)) * 100, 2) AS mape FROM e GROUP BY model
+)"""
+
+
 def _valuation() -> str:
     d = lambda column, table: f"CAST({_case(column, table)} AS DOUBLE)"
     return f"""{d('region', fv.BASE_PRICE)}
@@ -529,6 +538,13 @@ def sql() -> dict[str, str]:
             "SELECT '{f}' AS feature, round(avg(CAST({f} AS DOUBLE)), 6) AS mean, "
             "round(stddev_pop(CAST({f} AS DOUBLE)), 6) AS std FROM train")),
         "m2_standardised": _with(TRAINING + train, _scaled_stats()),
+        "m2_standardised_test": _with(TRAINING + train + f", test AS (SELECT * FROM engineered WHERE {_TEST})", _per_feature(
+            "SELECT '{f}' AS feature, round(avg((CAST({f} AS DOUBLE) - m) / s), 5) AS mean, "
+            "round(stddev_pop((CAST({f} AS DOUBLE) - m) / s), 5) AS std FROM test, "
+            "(SELECT avg(CAST({f} AS DOUBLE)) AS m, stddev_samp(CAST({f} AS DOUBLE)) AS s FROM train)")),
+        "m7_fixed_comparison": _with(FIXED_MODELS, "SELECT * FROM compared"),
+        "c7_fixed_comparison": _with(FIXED_MODELS, "SELECT model, measure, value FROM (UNPIVOT (SELECT model, r2, rmse, mae FROM compared) "
+                                     "ON r2, rmse, mae INTO NAME measure VALUE value)"),
         "m10_importance_shares": _with(SHARES, "SELECT feature, importance, importance_pct FROM features"),
         "m13_region_index_train": _with(VALUED + _engineered("valued", f"NOT ({_TEST})"), _region_index()),
         "m13_region_index_all": _with(ENGINEERED, _region_index()),

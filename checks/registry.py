@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brickledger import schemas
@@ -305,6 +307,16 @@ def fixture_measures(spark, sf_dir):
     return pe.rounded_measures(measures)
 
 
+def fixed_comparison(spark, sf_dir):
+    """The comparison table for three predictors of known error: one, two and three times the drawn residual."""
+    rows, error = inputs.predictions(spark, sf_dir), c("actual_price") - c("predicted_price")
+    parts = [
+        pe.model_measures(rows, c("actual_price"), c("actual_price") - times * error).select(F.lit(name).alias("model"), "*")
+        for times, name in enumerate((training.BOOSTING, training.FOREST, training.RIDGE), 1)
+    ]
+    return pe.rounded_measures(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
 # ---- models --------------------------------------------------------------------
 @lru_cache(maxsize=4)
 def _fit_once(application: str, sf_dir: str) -> training.Fitted:
@@ -390,6 +402,16 @@ def standardised(spark, sf_dir):
         "feature", F.abs(F.round("mean", 6)).alias("mean"), F.round("std", 6).alias("std"))
 
 
+def standardised_test(spark, sf_dir):
+    """Test features as the ridge sees them: through the scaler it fits on the training rows."""
+    train, test = training.split_parts(training.training_table(inputs.valued(spark, sf_dir)))
+    scaling = Pipeline(stages=training.ridge_pipeline(train).getStages()[:2]).fit(train)
+    values = scaling.transform(test).select(vector_to_array("scaled").alias("v"))
+    named = values.select(*[c("v")[at].alias(feature) for at, feature in enumerate(fv.FEATURES)])
+    return training.feature_statistics(named).select(
+        "feature", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
+
+
 def _target_encoding(fit_on: str) -> Query:
     def query(spark, sf_dir):
         split = ranking.with_split(inputs.valued(spark, sf_dir))
@@ -511,6 +533,7 @@ def _queries() -> dict[str, Query]:
         "c6_epc_medians": _on(v, charts.epc_medians),
         "c6_school_medians": _on(v, charts.school_medians),
         "c7_model_comparison": comparison_long,
+        "c7_fixed_comparison": lambda spark, sf_dir: charts.model_comparison_long(fixed_comparison(spark, sf_dir)),
         "c8_commute_medians": _on(v, charts.commute_medians),
         "c8_price_histogram": _on(v, charts.price_histogram),
         "k1_headline_findings": _on(v, findings.headline_findings),
@@ -520,10 +543,12 @@ def _queries() -> dict[str, Query]:
         "m1_stratified_split": stratified_split,
         "m2_feature_statistics": feature_statistics,
         "m2_standardised": standardised,
+        "m2_standardised_test": standardised_test,
         "m3_ridge": _measured(training.RIDGE),
         "m4_random_forest": _measured(training.FOREST),
         "m5_gradient_boosting": _measured(training.BOOSTING),
         "m7_model_comparison": model_comparison,
+        "m7_fixed_comparison": fixed_comparison,
         "m8_cv_r2": _cv_r2,
         "m9_cv_rmse": _cv_rmse,
         "m9_cv_summary": cv_summary,
