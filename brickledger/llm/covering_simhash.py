@@ -33,8 +33,9 @@ RADIUS = 4
 SEED = 42
 SMALL, LARGE = 48, 4096
 PIECE = 1 << 17
-PRINTS, WIDE_RADIUS = 4, 5
 COMPARED_SHINGLE, LEAST = 5, 0.8
+CELL_BITS, PARITY = 20, 4
+LAGS = (1, 16, None)
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -138,38 +139,11 @@ def _dense_links(fps: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def _nearest(fps: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
-    """For rows sorted by bucket, the index of the nearest other row within the radius in the same bucket, or the row's own.
-
-    Buckets above LARGE are left to the edges of their forest.
-    """
-    to, best = np.arange(len(fps)), np.full(len(fps), radius + 1)
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
-    sizes = np.diff(np.concatenate([starts, [len(fps)]]))
-    size_of = np.repeat(sizes, sizes)
-    for k in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
-        a = np.flatnonzero((bucket[k:] == bucket[:-k]) & (size_of[:-k] <= SMALL))
-        away = bit_count(fps[a] ^ fps[a + k])
-        for x, y in ((a, a + k), (a + k, a)):
-            closer = away < best[x]
-            best[x[closer]], to[x[closer]] = away[closer], y[closer]
-    for start, size in zip(starts[(sizes > SMALL) & (sizes <= LARGE)], sizes[(sizes > SMALL) & (sizes <= LARGE)]):
-        own = fps[start:start + size]
-        for part in range(0, size, 256):
-            away = bit_count(own[part:part + 256, None] ^ own[None, :])
-            row = np.arange(len(away))
-            away[row, part + row] = BITS
-            other = away.argmin(axis=1)
-            near = away[row, other] <= radius
-            to[start + part + row[near]] = start + other[near]
-    return to
-
-
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("whole", pa.bool_())])
 
 
-def _bucket_forest(radius: int, limit: int | None, nearest: bool):
-    """Rows (key, fp) come in sorted; out go forest edges (fp, first fp of its component), with ``nearest`` also (fp, nearest fp).
+def _bucket_forest(radius: int, limit: int | None):
+    """Rows (key, fp) come in sorted; out go forest edges (fp, first fp of its component).
 
     A bucket above ``limit`` goes out row by row as (key, fp, false) instead.
     """
@@ -179,10 +153,8 @@ def _bucket_forest(radius: int, limit: int | None, nearest: bool):
         multi |= np.concatenate([key[1:] == key[:-1], [False]])
         key, fps = key[multi], fps[multi]
         first = _links(fps.view(np.uint64), key, radius) if len(fps) else np.zeros(0, int)
-        to = [first, _nearest(fps.view(np.uint64), key, radius)] if nearest and len(fps) else [first]
-        moved = [t != np.arange(len(fps)) for t in to]
-        a, b = (np.concatenate([x[m] for x, m in zip(side, moved)]) for side in ([fps] * len(to), [fps[t] for t in to]))
-        return rows_batch(_EDGES, [a, b, np.ones(len(a), bool)])
+        moved = first != np.arange(len(fps))
+        return rows_batch(_EDGES, [fps[moved], fps[first[moved]], np.ones(int(moved.sum()), bool)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, prints = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -223,11 +195,11 @@ def _bucket_forest(radius: int, limit: int | None, nearest: bool):
     return run
 
 
-def _forest(keyed: DataFrame, radius: int, limit: int | None, nearest: bool) -> DataFrame:
+def _forest(keyed: DataFrame, radius: int, limit: int | None) -> DataFrame:
     """Forest edges of all buckets of ``keyed`` (key, fp)."""
     reach_workers(keyed.sparkSession)
     dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(_bucket_forest(radius, limit, nearest), "a long, b long, whole boolean")
+    return dealt.mapInArrow(_bucket_forest(radius, limit), "a long, b long, whole boolean")
 
 
 def _table_key(table: Column | int, masked: Column) -> Column:
@@ -235,14 +207,11 @@ def _table_key(table: Column | int, masked: Column) -> Column:
     return F.xxhash64(F.lit(table) if isinstance(table, int) else table, masked)
 
 
-def link_forest(prints: DataFrame, radius: int = RADIUS, seed: int = SEED, limit: int = LARGE, nearest: bool = False) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints, all within ``radius``-chains, that connect every linked pair.
-
-    ``nearest`` adds the nearest neighbour of every fingerprint in every bucket, for edges that are to be examined further.
-    """
+def link_forest(prints: DataFrame, radius: int = RADIUS, seed: int = SEED, limit: int = LARGE) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints, all within ``radius``-chains, that connect every linked pair."""
     masks = covering_masks(radius, list(range(BITS)), seed)
     keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])))
-    found = stored(_forest(keyed.select(_table_key(F.col("pos"), F.col("col")).alias("key"), "fp"), radius, limit, nearest), "links")
+    found = stored(_forest(keyed.select(_table_key(F.col("pos"), F.col("col")).alias("key"), "fp"), radius, limit), "links")
     edges = found.where("whole").select("a", "b")
     # The rest are buckets above the limit, as (key, fp). A linked pair in them differs
     # in at most `radius` bits, so it meets again in some table of a second family.
@@ -251,7 +220,7 @@ def link_forest(prints: DataFrame, radius: int = RADIUS, seed: int = SEED, limit
         F.col("a").alias("outer"), F.col("b").alias("fp"),
         F.posexplode(F.array(*[F.col("b").bitwiseAND(F.lit(signed(m))) for m in again])))
     inner = rest.select(F.xxhash64("outer", "pos", "col").alias("key"), "fp")
-    return edges.unionAll(_forest(inner, radius, None, nearest).select("a", "b")).distinct()
+    return edges.unionAll(_forest(inner, radius, None).select("a", "b")).distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -311,29 +280,6 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
 
 
-def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
-    """One of several independent sets of 64 bits made from the same hashes."""
-    x = hashes + np.uint64((number + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
-def wide_fingerprints(text: str) -> list[int]:
-    """``PRINTS`` SimHash fingerprints (signed) over pairs of words; none for a text without words."""
-    words = text.encode().lower().split()
-    if not words:
-        return []
-    pairs = [b" ".join(p) for p in zip(words, words[1:])] or words
-    counts = np.zeros((PRINTS, BITS), np.int64)
-    for at in range(0, len(pairs), PIECE):
-        hashes = np.array([xxhash.xxh64_intdigest(p, SEED) for p in pairs[at:at + PIECE]], np.uint64)
-        for number in range(PRINTS):
-            bits = np.unpackbits(_mixed(hashes, number).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts[number] += np.add.reduce(bits, axis=0, dtype=np.int32)
-    return np.packbits(counts * 2 > len(pairs), axis=1, bitorder="little").view(np.int64).ravel().tolist()
-
-
 def compared_shingles(text: str) -> set[bytes]:
     """Shingles of five words, without repeats; one of all words if there are fewer, none without words."""
     words = text.encode().lower().split()
@@ -344,11 +290,6 @@ def compared_shingles(text: str) -> set[bytes]:
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _wide(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    found = [(doc, fp) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for fp in wide_fingerprints(text)]
-    yield rows_batch(_PRINTS, list(map(list, zip(*found))) or [[], []])
-
-
 def _similar(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     a, b, text_a, text_b = (batch.column(i).to_pylist() for i in range(4))
     kept, last, own = [], None, set()
@@ -362,37 +303,226 @@ def _similar(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield rows_batch(_LINKS, list(map(list, zip(*kept))) or [[], []])
 
 
-def candidate_pairs(texts: DataFrame) -> DataFrame:
-    """Pairs (a > b) of ids of ``texts`` (doc_id, text) worth comparing.
+def shingle_hashes(text: str) -> np.ndarray:
+    """Distinct hashes of the compared shingles, sorted."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in compared_shingles(text)], np.uint64))
+
+
+def set_of(hashes: np.ndarray) -> int:
+    """Signed digest of a shingle set: texts with the same shingles are one set, however often they repeat them."""
+    return signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+
+
+_SETS = pa.schema([("doc_id", pa.int64()), ("set", pa.int64())])
+_TEXTS = pa.schema([("set", pa.int64()), ("text", pa.string())])
+_CELLS = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
+_POSTS = pa.schema([("key", pa.int64()), ("size", pa.int64()), ("pos", pa.int64()), ("set", pa.int64()),
+                    *((f"b{i}", pa.int64()) for i in range(PARITY))])
+_POSTS_SQL = "key long, size long, pos long, set long, " + ", ".join(f"b{i} long" for i in range(PARITY))
+
+
+def _sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    found = [(doc, set_of(h)) for doc, text in zip(*(c.to_pylist() for c in batch.columns)) if len(h := shingle_hashes(text))]
+    yield rows_batch(_SETS, list(map(list, zip(*found))) or [[], []])
+
+
+def _set_texts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    texts = batch.column(0).to_pylist()
+    yield rows_batch(_TEXTS, [[set_of(shingle_hashes(t)) for t in texts], texts])
+
+
+def cells_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            np.add.at(counts, cells_of(shingle_hashes(text)), 1)
+    seen = np.flatnonzero(counts)
+    yield rows_batch(_CELLS, [seen, counts[seen]])
 
-    Rows that share a fingerprint are paired with the smallest id that has it,
-    the edges of the fingerprints with those ids: a few pairs a row, whatever the
-    size of its group.
+
+def common_cells(texts: DataFrame) -> np.ndarray:
+    """How common the shingles of each cell are, zero for the ordinary ones.
+
+    Read from an eighth of the rows. It only decides which shingles are looked up first; no result depends on it.
     """
-    prints = stored(map_batches(texts, _wide, "doc_id long, fp long"), "wide")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "wide_nodes")
-    edges = link_forest(nodes.select("fp"), WIDE_RADIUS, nearest=True)
-    one, other = (nodes.select(F.col("fp").alias(x), F.col("low").alias(f"doc_{x}")) for x in ("a", "b"))
-    far = edges.join(one, "a").join(other, "b").select("doc_a", "doc_b")
-    same = prints.join(nodes, "fp").select(F.col("doc_id").alias("doc_a"), F.col("low").alias("doc_b"))
-    return same.unionAll(far).where("doc_a <> doc_b").select(
-        F.greatest("doc_a", "doc_b").alias("a"), F.least("doc_a", "doc_b").alias("b")).distinct()
+    reach_workers(texts.sparkSession)
+    part = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0).select("text")
+    # at most one row a cell reaches the driver
+    found = part.mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return np.where(counts > np.maximum(1, 2 * counts.mean()), counts, 0)
 
 
-def similar_links(texts: DataFrame) -> DataFrame:
-    """The candidate pairs of ``texts`` (doc_id, text) whose five-word shingles have a Jaccard similarity of 0.8 or more."""
-    pairs = stored(candidate_pairs(texts), "candidates")
-    compared = stored(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "compared")
-    held = stored(texts.join(broadcast_if_small(compared, F.lit(32)), "doc_id"), "compared_texts")
-    one, other = (held.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b"))
+def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, so many that a set of similarity 0.8 has one of them among its own.
+
+    Similar sets share 80% or more of either, so the first shared one in any fixed order is among the first fifth and one.
+    """
+    order = np.lexsort((hashes, common[cells_of(hashes)]))
+    return hashes[order[:len(hashes) - -(-4 * len(hashes) // 5) + 1]]
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bits that tell for each residue whether an odd number of hashes has it: they differ in no more bits than two sets in shingles."""
+    odd = np.bincount((hashes % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) % 2
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _may_link(size_a, size_b, pos_a, pos_b, bits_a, bits_b) -> np.ndarray:
+    """False only for sets that cannot be 80% alike: by their sizes, by what is left behind their first shared shingle, by their parities.
+
+    Sets are 80% alike when they share four ninths or more of the sum of their sizes.
+    """
+    total = size_a + size_b
+    ok = 5 * np.minimum(size_a, size_b) >= 4 * np.maximum(size_a, size_b)
+    ok &= 9 * np.minimum(size_a - pos_a, size_b - pos_b) >= 4 * total
+    return ok & (9 * bit_count((bits_a ^ bits_b).view(np.uint64)).sum(axis=-1, dtype=np.int64) <= total)
+
+
+def _by_key(work, schema: pa.Schema):
+    """Rows come in sorted by key; ``work`` gets the rows of whole keys as a list of arrays."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def joined() -> list[np.ndarray]:
+            return [np.concatenate(c) for c in zip(*held)]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held and held[-1][0][-1] == now[0][-1]:
+                held.append(now)  # still the last key
+                continue
+            tail = int(np.searchsorted(now[0], now[0][-1], side="left"))
+            held.append([c[:tail] for c in now])
+            yield rows_batch(schema, work(joined()))
+            held = [[c[tail:] for c in now]]
+        if held:
+            yield rows_batch(schema, work(joined()))
+
+    return run
+
+
+def _shared(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """One row per key and set, of the keys that more than one set has."""
+    key, sets = columns[0], columns[3]
+    once = np.ones(len(key), bool)
+    once[1:] = (key[1:] != key[:-1]) | (sets[1:] != sets[:-1])
+    columns = [c[once] for c in columns]
+    key = columns[0]
+    same = key[1:] == key[:-1]
+    multi = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(key) else np.zeros(0, bool)
+    return [c[multi] for c in columns]
+
+
+def _partners(lag: int | None):
+    """Pairs of sets of one key and different roots that may link: up to ``lag`` places apart by size, all of them without a ``lag``."""
+
+    def work(columns: list[np.ndarray]) -> list[np.ndarray]:
+        key, size, pos, sets, *bits, root = columns
+        bits = np.stack(bits, axis=1)
+        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def keep(a: np.ndarray, b: np.ndarray) -> None:
+            ok = (root[a] != root[b]) & (sets[a] != sets[b])
+            a, b = a[ok], b[ok]
+            ok = _may_link(size[a], size[b], pos[a], pos[b], bits[a], bits[b])
+            a_out.append(sets[a[ok]]), b_out.append(sets[b[ok]])
+
+        if lag is not None:
+            for k in range(1, lag + 1):
+                a = np.flatnonzero(key[k:] == key[:-k])
+                keep(a, a + k)
+        elif len(key):
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+            for start, end in zip(starts, [*starts[1:], len(key)]):
+                _, of, counts = np.unique(root[start:end], return_inverse=True, return_counts=True)
+                if len(counts) == 1:
+                    continue
+                # the members of all roots but the largest meet those of the roots before theirs
+                rank = np.empty(len(counts), np.int64)
+                rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+                order = np.argsort(rank[of], kind="stable")
+                before = np.searchsorted(rank[of][order], rank[of][order], side="left")
+                for at in range(int(counts.max()), end - start):
+                    others = start + order[:before[at]]
+                    keep(np.full(len(others), start + order[at]), others)
+        a, b = np.concatenate(a_out), np.concatenate(b_out)
+        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+        return [pairs[:, 0], pairs[:, 1]]
+
+    return _by_key(work, _LINKS)
+
+
+def posting_lists(texts: DataFrame) -> DataFrame:
+    """Sets by the shingles of their prefixes, those that only one set has left out."""
+    model = texts.sparkSession.sparkContext.broadcast(common_cells(texts))  # bounded by CELL_BITS
+
+    def posts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for text in batch.column(0).to_pylist():
+            hashes = shingle_hashes(text)
+            if len(hashes):
+                keys = prefix(hashes, model.value)
+                same = np.ones(len(keys), np.int64)
+                yield rows_batch(_POSTS, [keys.view(np.int64), same * len(hashes), np.arange(len(keys)), same * set_of(hashes),
+                                          *(same * b for b in parity(hashes))])
+
+    dealt = map_batches(texts.select("text"), posts, _POSTS_SQL).repartition("key").sortWithinPartitions("key", "set")
+    return dealt.mapInArrow(_by_key(_shared, _POSTS), _POSTS_SQL)
+
+
+def compare(pairs: DataFrame, texts: DataFrame, lows: DataFrame) -> DataFrame:
+    """The pairs of sets whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    asked = pairs.select(F.col("a").alias("set")).unionAll(pairs.select("b")).distinct()
+    compared = stored(lows.join(asked, "set", "left_semi"), "compared")
+    some = texts.join(broadcast_if_small(compared.select("doc_id").distinct(), F.lit(32)), "doc_id", "left_semi").select("text")
+    held = stored(map_batches(some, _set_texts, "set long, text string").groupBy("set").agg(F.min("text").alias("text")), "compared_texts")
+    one, other = (held.select(F.col("set").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b"))
     both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
     return map_batches(both, _similar, "a long, b long")
 
 
+def similar_links(texts: DataFrame) -> DataFrame:
+    """Links (a, b) of ids of ``texts`` (doc_id, text) that connect all whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Candidates are the sets that share a shingle of their prefixes. First neighbours by size are compared, what links is
+    contracted, and the next round takes only pairs between different components; the last one takes all that are left.
+    So no pair that may link stays unexamined unless its ends are connected already.
+    """
+    sets = stored(map_batches(texts, _sets, "doc_id long, set long"), "sets")
+    lows = stored(sets.groupBy("set").agg(F.min("doc_id").alias("doc_id")), "set_lows")
+    posts = stored(posting_lists(texts), "postings")
+    links, roots = None, None
+    for lag in LAGS:
+        if roots is None:
+            rooted = posts.withColumn("root", F.col("set"))
+        else:
+            near = roots.select(F.col("node").alias("set"), "root")
+            rooted = posts.join(broadcast_if_small(near, F.lit(32)), "set", "left").select(
+                *posts.columns, F.coalesce("root", "set").alias("root"))
+        dealt = rooted.repartition("key").sortWithinPartitions("key", "size", "set")
+        pairs = stored(dealt.mapInArrow(_partners(lag), "a long, b long").distinct(), "candidates")
+        found = stored(compare(pairs, texts, lows), "similar")
+        links = found if links is None else links.unionAll(found)
+        roots = stored(components(links), "similar_roots")
+    low = lows.select("set", F.col("doc_id").alias("low"))
+    same = sets.join(low, "set").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
+    far = links.join(low.select(F.col("set").alias("a"), F.col("low").alias("x")), "a").join(
+        low.select(F.col("set").alias("b"), F.col("low").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return same.unionAll(far).where("a <> b").distinct()
+
+
 def similar_survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay when of each chain of similar texts only the smallest id is kept, with all columns of ``df``.
 
-    Candidates are found with high probability, not for certain; every link is exact. Rows with a null id or text and texts
+    Every pair is found, whatever the kind of edit, and every link is exact. Rows with a null id or text and texts
     without a word are not compared and stay. Rows of one id stay or go together. An empty table gives no rows.
     """
     texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropna()

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -152,3 +153,39 @@ def test_similar_survivors_edge_rows(spark):
     assert kept.schema == df.schema
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([3, 2, 9, None, 4, 4, 7, 6, 10], key=str)
     assert cs.similar_survivors(df.limit(0)).count() == 0
+
+
+def test_similar_survivors_of_texts_that_mostly_repeat_one_line(spark):
+    """Texts under one long repeated line: links between them that do not pass through the smallest id."""
+    rng = random.Random(8)
+    line = " ".join(f"c{i}" for i in range(11))
+    texts = {}
+    for group in range(12):
+        own = [f"g{group}x{i}" for i in range(70)]
+        for _ in range(20):
+            words = list(own)
+            for _ in range(rng.randint(0, 2)):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join([line] * 400 + words)
+    order = list(texts.values())
+    rng.shuffle(order)
+    texts = dict(enumerate(order))
+    want = plain_similar(texts)
+    assert 12 <= len(set(want.values())) < 150
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    assert {r.doc_id for r in cs.similar_survivors(df).collect()} == set(want.values())
+
+
+@pytest.mark.parametrize("lag", [1, None])
+def test_partners_leave_no_pair_between_components_out(lag):
+    """Rows of one key, split over batches: without a lag every pair of different roots comes out, with one the neighbours."""
+    rng = np.random.default_rng(1)
+    sets = np.sort(rng.permutation(10**6)[:300]).astype(np.int64)
+    key, root = np.sort(rng.integers(0, 4, 300)), rng.integers(0, 5, 300) ** 2
+    same = np.full(300, 50)
+    columns = [key, same, same * 0, sets, *(same * 0 for _ in range(cs.PARITY)), root]
+    whole = pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=[str(i) for i in range(len(columns))])
+    got = {(r["a"], r["b"]) for out in cs._partners(lag)([whole.slice(at, 37) for at in range(0, 300, 37)]) for r in out.to_pylist()}
+    want = {(max(sets[i], sets[j]), min(sets[i], sets[j])) for i in range(300) for j in range(i)
+            if key[i] == key[j] and root[i] != root[j] and (lag is None or i - j <= lag)}
+    assert got == want
