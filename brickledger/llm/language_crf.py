@@ -34,6 +34,7 @@ SAMPLE_PER_LANGUAGE = 128
 SAMPLE_CHARS = 20_000
 LEXICON = 200
 CACHE = 150_000
+CACHE_CHARS = 4_000_000
 GRAMS = 200_000
 CHAIN = 400_000
 BLOCK = 64
@@ -46,10 +47,10 @@ def words_of(text: str) -> list[str]:
 def features(word: str, lexicon: dict[str, int], numbers: dict[str, int]) -> list[int]:
     """Ids of a word's features: marked prefixes and suffixes, 2- and 3-grams, and its place in the lexicon if it has one.
 
-    All but the last are hashed; ``numbers`` remembers hashes.
+    Grams are those of the entire word: text without blanks is one word, however long. All but the last are hashed; ``numbers`` remembers hashes.
     """
     marked = f"^{word}$"
-    size = min(len(marked), 42)
+    size = len(marked)
     found = {marked[:2], marked[:3], marked[:4] + "+", "+" + marked[-4:]}
     found.update([marked[i:i + 2] for i in range(size - 1)])
     found.update([marked[i:i + 3] for i in range(size - 2)])
@@ -247,18 +248,21 @@ class Labeller:
     def __init__(self, field: Field):
         self.field = field
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.numbers: dict[str, int] = {}
         self.scores = np.zeros((1024, len(field.languages)))
 
     def _ids(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > CACHE:
+        if len(self.known) > CACHE or self.chars > CACHE_CHARS:
             self.known.clear()
+            self.chars = 0
         known = self.known
         new = list(set(words).difference(known))
         for at in range(0, len(new), 20_000):
             some = new[at:at + 20_000]
             start = len(known)
             known.update(zip(some, range(start, start + len(some))))
+            self.chars += sum(map(len, some))
             while len(known) > len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.scores[start:len(known)] = self.field.emission(some, self.numbers)

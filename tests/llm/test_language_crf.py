@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import zlib
 
 import numpy as np
@@ -81,3 +82,24 @@ def test_edge_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "2", "None", "9"])
     assert lc.identify(df.limit(0)).count() == 0
     assert {r.lang_pred for r in lc.identify(df.where("lang IS NULL")).collect()} == {"und"}
+
+
+def test_the_whole_of_a_word_is_read():
+    """Text without blanks is one word: what tells the languages apart stands after its first 60 letters."""
+    rng = random.Random(4)
+    run = lambda letters, n: "".join(rng.choices(letters, k=n))
+    texts = {x: [" ".join(run("mnop", 60) + run(own, 200) + run("mnop", 8) for _ in range(12)) for _ in range(12)]
+             for x, own in (("aa", "abcd"), ("bb", "efgh"))}
+    field = lc.fit({x: t[:8] for x, t in texts.items()}, sequences=120, rounds=3)
+    for x, t in texts.items():
+        found = lc.Labeller(field).label(t[8:] + [t[8].replace(" ", "")])
+        assert all(name == x and score > 0.9 for name, score, _, _ in found)
+
+
+def test_words_are_forgotten_by_their_length(monkeypatch):
+    monkeypatch.setattr(lc, "CACHE_CHARS", 5000)
+    field = lc.fit({"aa": ["abc abd acd bcd " * 20], "bb": ["xyz xyw xzw yzw " * 20]}, sequences=40, rounds=2)
+    labeller = lc.Labeller(field)
+    for i in range(30):
+        assert labeller.label([("abc" * 400) + "d" * i])[0][0] == "aa"
+        assert sum(map(len, labeller.known)) <= 5000 + 1300
