@@ -155,6 +155,40 @@ def test_similar_survivors_edge_rows(spark):
     assert cs.similar_survivors(df.limit(0)).count() == 0
 
 
+def edited_texts():
+    """By kind of edit: (text, changed text), all 80% alike or just below, over rare words and with repeated lines."""
+    rng = random.Random(3)
+    fresh = iter(range(10**6))
+    line = lambda n: [f"r{next(fresh)}" for _ in range(n)]
+    for _ in range(12):
+        short = line(14)
+        yield "short", short, short[:-1] + line(1)
+        for block in (14, 17, 22):
+            words = line(200)
+            at = rng.randrange(200 - block)
+            yield "block", words, words[:at] + line(block) + words[at + block:]
+        words = line(200)
+        yield "added", words, words + line(40)
+        words = line(1000)
+        yield "added", words, words + line(150)
+        words = line(1000)
+        at = rng.randrange(900)
+        yield "block", words, words[:at] + line(80) + words[at + 80:]
+        words = line(60)
+        yield "repeated", words, words + words[-20:] * 30
+
+
+def test_similar_survivors_find_every_kind_of_edit(spark):
+    texts = {}
+    for _, *pair in edited_texts():
+        for words in pair:
+            texts[len(texts)] = " ".join(words)
+    want = plain_similar(texts)
+    assert sum(d != low for d, low in want.items()) >= 80
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    assert {r.doc_id for r in cs.similar_survivors(df).collect()} == set(want.values())
+
+
 def test_similar_survivors_of_texts_that_mostly_repeat_one_line(spark):
     """Texts under one long repeated line: links between them that do not pass through the smallest id."""
     rng = random.Random(8)
