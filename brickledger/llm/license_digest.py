@@ -74,8 +74,23 @@ TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF TH
 POSSIBILITY OF SUCH DAMAGE."""),
 ]
 
+_BSD_2 = dict(FULL_TEXTS)["BSD-2-Clause"]
+FULL_TEXTS.append(("BSD-3-Clause", _BSD_2.replace("with the distribution.\n", """with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+from this software without specific prior written permission.
+""")))
+
+# Titles that stand above the full texts.
+TITLES = [
+    ("MIT", "MIT License"), ("MIT", "The MIT License"), ("MIT", "The MIT License (MIT)"), ("ISC", "ISC License"), ("ISC", "The ISC License"),
+    ("0BSD", "Zero-Clause BSD"), ("0BSD", "BSD Zero Clause License"), ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", "The 2-Clause BSD License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-3-Clause", "The 3-Clause BSD License"),
+]
+FULL_TEXTS = [(i, f"{title}\n{dict(FULL_TEXTS)[i]}") for i, title in TITLES] + FULL_TEXTS
+
 # Runs on lower-case text, line by line.
-COPYRIGHT_LINE = r"(^|\n)[ \t*#/-]*(copyright|\(c\)|©)[^\n]*"
+# A copyright statement names a year, a sign, "by" or a field to fill in; a sentence that goes on with "copyright holders" is none.
+COPYRIGHT_LINE = (r"(^|\n)[ \t*#/-]*(copyright[ \t:,]*(\(c\)|©|[0-9]|by[ \t]|[<\[{])|\(c\)|©)[^\n]*")
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 _HOLDERS = " (?:" + "|".join(a for a, _ in sorted(SPELLINGS, key=lambda p: -len(p[0]))) + ") "
 

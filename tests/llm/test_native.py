@@ -164,3 +164,30 @@ def test_licence_forms(spark):
     assert got[8][0] == "CC-BY-NC-4.0" and got[9] == (None, "", 0)
     assert got[None] == (None, "Apache-2.0,MIT", 3)
     assert license_digest.scan(df.limit(0), license_digest.known_table(spark)).count() == 0
+
+
+def test_licences_in_any_wrapping(spark):
+    """Lines that merely begin with 'copyright holders' belong to the licence; statements of copyright do not."""
+    heads = ["", "Copyright (c) 2020 Someone\n\n", "Copyright 2019-2021, Someone\n", "  * Copyright by Someone\n", "Copyright: \u00a9 Someone\n",
+             "Copyright <YEAR> <HOLDER>\n", "(c) Someone\n"]
+    data, want = [], {}
+    for name, text in license_digest.FULL_TEXTS:
+        words = text.split()
+        at = [i for i, w in enumerate(words) if w.lower() == "copyright"]
+        wrapped = [" ".join(words)] + ["\n".join(" ".join(words[i:i + n]) for i in range(0, len(words), n)) for n in (1, 7, 11)]
+        wrapped += [" ".join(words[:i]) + "\n" + " ".join(words[i:]) for i in at]
+        for body in [*wrapped, *(h + text for h in heads)]:
+            want[len(data)] = name
+            data.append((len(data), body, "l", "d", "s"))
+    df = spark.createDataFrame(data, DOCS)
+    got = {r.doc_id: r.license_id for r in license_digest.scan(df, license_digest.known_table(spark)).collect()}
+    assert got == want
+
+
+def test_licences_with_title_and_statement(spark):
+    plain = dict(license_digest.FULL_TEXTS)
+    assert set(plain) == {"MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause"} and plain["BSD-3-Clause"].count("Neither the name") == 1
+    data = [(n, f"{title}\n\nCopyright (c) 2020 Someone\n\n{plain[name]}", "l", "d", "s") for n, (name, title) in enumerate(license_digest.TITLES)]
+    df = spark.createDataFrame(data, DOCS)
+    got = {r.doc_id: r.license_id for r in license_digest.scan(df, license_digest.known_table(spark)).collect()}
+    assert got == {n: name for n, (name, _) in enumerate(license_digest.TITLES)}
