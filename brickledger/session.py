@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -44,21 +45,69 @@ def build_session(app: str = "brickledger", master: str | None = None, conf: dic
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without it: then a temporary folder is set.
+    Only a session whose executors run in the driver's own process may go
+    without it: then a temporary folder is set, and deleted at the end.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="brickledger-")
     spark.conf.set("spark.checkpoint.dir", folder)
+    _file_system(spark, folder, lambda fs, path: fs.deleteOnExit(path))
     return folder
 
 
+def _file_system(spark: SparkSession, path: str, call):
+    """``call`` with the Hadoop file system that holds ``path``, whatever store that is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return call(at.getFileSystem(spark._jsc.hadoopConfiguration()), at)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; nothing is ever overwritten."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder; nothing is ever overwritten. It is deleted when the driver ends, if not before."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _file_system(spark, path, lambda fs, at: fs.deleteOnExit(at))
+    return path
+
+
+class Scratch:
+    """Tables that one run writes to the shared folder and reads again.
+
+    ``store`` cuts the lineage of a table by writing it; ``drop`` deletes a table
+    as soon as everything that reads it has been written. The ``with`` block
+    deletes what is left. Tables behind a result that is returned unwritten stay
+    until the driver ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*self.paths)
+
+    def path(self, name: str) -> str:
+        """The path of a new table; one of the same name must have been dropped."""
+        if name in self.paths:
+            raise ValueError(f"scratch table {name} is still held")
+        self.paths[name] = scratch_path(self.spark, name)
+        return self.paths[name]
+
+    def store(self, df: DataFrame, name: str, *spent: str) -> DataFrame:
+        """Write ``df`` and read it back; the tables named in ``spent``, which only ``df`` still read, go."""
+        path = self.path(name)
+        df.write.parquet(path)
+        self.drop(*spent)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            _file_system(self.spark, self.paths.pop(name), lambda fs, at: fs.delete(at, True))
 
 
 def use_checkpoints(spark: SparkSession) -> None:
