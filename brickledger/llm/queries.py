@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brickledger.llm import (
-    bpe_stream, chat_format, covering_simhash, decontaminate, exact_dedup, language_crf, license_digest, pii_tagger, sharding,
-    wrapper_induction,
+    bpe_stream, chat_format, covering_simhash, curriculum, decontaminate, exact_dedup, heap_kmeans, importance, language_crf,
+    license_digest, pii_tagger, sharding, wrapper_induction,
 )
 from brickledger.llm.support import table, whole_text
 
@@ -147,11 +147,133 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper_induction.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_heap_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after five exact rounds."""
+    return heap_kmeans.report(*heap_kmeans.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def _op11_sql() -> str:
+    k, dims = heap_kmeans.CLUSTERS, heap_kmeans.DIMS
+    rounds = []
+    for r in range(heap_kmeans.ROUNDS + 1):
+        # distance and cluster in one number: the smallest one is the nearest, ties to the smaller cluster
+        rounds.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT row, any_value(x.v) AS v, min(list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * {k} + c) AS best
+  FROM x, c{r} AS c GROUP BY row)""")
+        if r < heap_kmeans.ROUNDS:
+            rounds.append(f"""
+m{r} AS (SELECT c, list(mean ORDER BY i) AS v FROM (
+    SELECT best % {k} AS c, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS mean
+    FROM a{r}, (SELECT unnest(range(1, {dims + 1})) AS i) GROUP BY 1, 2) GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} ON m{r}.c = c{r}.c)""")
+    last = heap_kmeans.ROUNDS
+    return f"""
+WITH x AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: CAST(floor({heap_kmeans.SCALE} * CAST(e AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v
+  FROM (SELECT sha256('{heap_kmeans.SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM x ORDER BY h, v LIMIT {k})),{",".join(rounds)},
+found AS (SELECT vec_id, CAST(best % {k} AS INTEGER) AS cluster, CAST(best // {k} AS BIGINT) AS distance FROM a{last} JOIN x USING (row))
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM found JOIN c{last} AS c ON c.c = found.cluster
+"""
+
+
+def op12_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to half as many words again, in training order; ``position`` is the first pass in billionths of the training time."""
+    placed = curriculum.place(table(spark, sf_dir, "documents"))
+    rows = placed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken",
+                         F.floor(F.get("positions", F.lit(0)) * 1e9).cast("bigint").alias("position"),
+                         F.size("positions").alias("passes"))
+    return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
+def _op12_sql() -> str:
+    schedules, times = curriculum.SCHEDULES, curriculum.TIMES
+    sums = [curriculum.running_integral(w, times) for w in schedules]
+    turn = f"number % {len(schedules)} + 1"
+
+    def dealt(values: list) -> str:
+        return f"([{', '.join(f'CAST({v!r} AS DOUBLE)' for v in values)}])[{turn}]"
+
+    pieces = []
+    for k in range(len(times) - 1):
+        width = times[k + 1] - times[k]
+        at, to = dealt([w[k] for w in schedules]), dealt([w[k + 1] for w in schedules])
+        rest = f"(reached - {dealt([s[k] for s in sums])})"
+        root = f"{rest} * 2.0::DOUBLE / ({at} + sqrt(greatest(0.0::DOUBLE, {at} * {at} + ({to} - {at}) / {width}::DOUBLE * {rest} * 2.0::DOUBLE)))"
+        found = f"{times[k]}::DOUBLE + CASE WHEN {rest} > 0 THEN least({width}::DOUBLE, {root}) ELSE 0.0::DOUBLE END"
+        pieces.append(f"WHEN reached < {dealt([s[k + 1] for s in sums])} THEN {found}" if k < len(times) - 2 else f"ELSE {found}")
+    takes = " + ".join(f"CASE WHEN start + {p} * source_size + size / 2.0::DOUBLE < target THEN 1 ELSE 0 END" for p in range(curriculum.PASSES))
+    return f"""
+WITH docs AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+numbered AS (SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number,
+    sum(source_size) OVER () * {curriculum.SHARE}::DOUBLE AS budget
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source)),
+weighed AS (SELECT *, {dealt([s[-1] for s in sums])} AS weight, CAST(source_size * {curriculum.PASSES} AS DOUBLE) AS most FROM numbered),
+levels AS (SELECT *, (budget - coalesce(sum(most) OVER (ORDER BY most / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(weight) OVER (ORDER BY most / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+targets AS (SELECT *, coalesce(least(most, max(CASE WHEN level * weight <= most THEN level END) OVER () * weight), most) AS target FROM levels),
+spans AS (SELECT doc_id, size, source_size, target, number, sum(size) OVER (
+    PARTITION BY number ORDER BY sha256('{curriculum.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM docs JOIN targets ON docs.source IS NOT DISTINCT FROM targets.source),
+taken AS (SELECT *, CASE WHEN size > 0 THEN {takes} ELSE 0 END AS passes,
+    (start + 0 * source_size + size / 2.0::DOUBLE) / target * {dealt([s[-1] for s in sums])} AS reached FROM spans)
+SELECT doc_id, size, source_size, target, CAST(passes * size AS BIGINT) AS taken,
+  CAST(CASE WHEN passes > 0 THEN floor((CASE {' '.join(pieces)} END) * 1e9::DOUBLE) END AS BIGINT) AS position, CAST(passes AS INTEGER) AS passes
+FROM taken
+"""
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document drawn towards the benchmark's words."""
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _op13_sql() -> str:
+    buckets = importance.BUCKETS
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+    def words(text: str) -> str:
+        return f"regexp_extract_all(translate(coalesce({text}, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+    return f"""
+WITH bytes AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t
+  FROM (SELECT unnest(range(256)) AS b)),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {words('text')} AS words FROM documents),
+uses AS MATERIALIZED (SELECT row, word, count(*) AS n FROM (SELECT row, unnest(words) AS word FROM docs) GROUP BY 1, 2),
+wanted AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest({words('text')}) AS word FROM benchmark) GROUP BY 1),
+known AS MATERIALIZED (SELECT word, xor(list_reduce(list_transform(range(octet_length(encode(word))), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT)),
+    lambda c, b: xor(t[CAST(xor(c & 255, b) AS BIGINT) + 1], c >> 8), 4294967295), 4294967295) % {buckets} AS bucket
+  FROM (SELECT word FROM uses UNION SELECT word FROM wanted), bytes),
+held AS (SELECT bucket, sum(n) AS s FROM uses JOIN known USING (word) GROUP BY 1),
+asked AS (SELECT bucket, sum(n) AS t FROM wanted JOIN known USING (word) GROUP BY 1),
+gains AS MATERIALIZED (SELECT b AS bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM held) + {buckets})::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM asked) + {buckets})::DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range({buckets})) AS b) LEFT JOIN held ON held.bucket = b LEFT JOIN asked ON asked.bucket = b),
+sums AS (SELECT row, sum(n) AS n, sum(n * gain) AS total FROM uses JOIN known USING (word) JOIN gains USING (bucket) GROUP BY 1),
+scored AS (SELECT doc_id, len(words) AS n_words, CAST(len(words) AS BIGINT) AS n_features, CAST(coalesce(floor(total::DOUBLE / n), 0) AS BIGINT) AS weight,
+    CAST('0x' || substr(sha256('{importance.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM docs LEFT JOIN sums USING (row)),
+rated AS (SELECT doc_id, n_words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= {importance.LEAST_WORDS} ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place,
+    count(*) FILTER (n_words >= {importance.LEAST_WORDS}) OVER () AS fitting FROM rated)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_words >= {importance.LEAST_WORDS} AND place <= {importance.PERCENT} * fitting // 100 THEN place END AS rank
+FROM ranked
+"""
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_format, op2_shard, op3_pii_tagger, op4_covering_simhash, op5_language_crf, op6_bpe_stream, op7_exact_dedup,
-        op8_decontamination, op9_license_lookup, op10_wrapper_induction)}
+        op8_decontamination, op9_license_lookup, op10_wrapper_induction, op11_heap_kmeans, op12_curriculum_mix,
+        op13_importance_resampling)}
 
 
 def sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op9_license_lookup": _op9_sql()}
+    return {"op1_chat_format": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op9_license_lookup": _op9_sql(),
+            "op11_heap_kmeans": _op11_sql(), "op12_curriculum_mix": _op12_sql(), "op13_importance_resampling": _op13_sql()}
