@@ -11,9 +11,8 @@ certain and not just probably.
 Copies of a fingerprint are combined first; tables hold distinct fingerprints
 only. Inside a bucket the links are found by comparing fingerprints, but only a
 spanning forest of them leaves the task, never all pairs. Buckets too large to
-be compared at once are split by a second covering family over the bits their
-mask left free, which again loses no link; its buckets hold few free bits and
-so are bounded. Components are then found by alternating star contraction.
+be compared at once are split again by the tables of a second covering family,
+which again loses no link. Components are then found by alternating star contraction.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brickledger.llm.support import bit_count, broadcast_if_small, map_batches, reach_workers, rows_batch, stored
+from brickledger.llm.support import bit_count, map_batches, reach_workers, rows_batch, stored
 
 BITS = 64
 SHINGLE = 4
@@ -33,9 +32,6 @@ RADIUS = 4
 SEED = 42
 SMALL, LARGE = 48, 4096
 PIECE = 1 << 17
-COMPARED_SHINGLE, LEAST = 5, 0.8
-CELL_BITS, PARITY = 20, 4
-LAGS = (1, 16, None)
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -60,18 +56,17 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(starts), bitorder="little").view(np.uint64)[0])
 
 
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None) -> DataFrame:
+    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row; null reads as empty. Long columns in ``also`` come along."""
+    also = also or []
+    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "fp", *also)])
 
+    def prints(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        values = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+        yield rows_batch(schema, [batch.column(0), values, *batch.columns[2:]])
 
-def _prints(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    values = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-    yield rows_batch(_PRINTS, [batch.column(0), values])
-
-
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row; null reads as empty."""
-    texts = df.select(F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col), F.lit("")))
-    return map_batches(texts, _prints, "doc_id long, fp long")
+    texts = df.select(F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col), F.lit("")), *also)
+    return map_batches(texts, prints, ", ".join(f"{n} long" for n in schema.names))
 
 
 def covering_masks(radius: int, positions: list[int], seed: int) -> list[int]:
@@ -214,7 +209,7 @@ def link_forest(prints: DataFrame, radius: int = RADIUS, seed: int = SEED, limit
     found = stored(_forest(keyed.select(_table_key(F.col("pos"), F.col("col")).alias("key"), "fp"), radius, limit), "links")
     edges = found.where("whole").select("a", "b")
     # The rest are buckets above the limit, as (key, fp). A linked pair in them differs
-    # in at most `radius` bits, so it meets again in some table of a second family.
+    # in at most `radius` bits, so it meets again in some table of a second family over all bits.
     again = covering_masks(radius, list(range(BITS)), seed + 1)
     rest = found.where("NOT whole").select(
         F.col("a").alias("outer"), F.col("b").alias("fp"),
@@ -251,15 +246,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS,
+                    also: list[str] | None = None) -> DataFrame:
     """Per row: its id, ``fingerprint`` (16 hex digits) and ``component_id`` (smallest id reachable over links).
 
     Null and empty texts have fingerprint zero, linked like any other. Repeated
     rows come back as often as they went in. Rows with a null id take part, but
     name a component only when it has no other id. An empty table gives no
-    rows. Other columns are not read.
+    rows. Other columns are not read, but those named in ``also``, of type long,
+    come along.
     """
-    docs = stored(fingerprints(df, id_col, text_col), "prints")
+    docs = stored(fingerprints(df, id_col, text_col, also), "prints")
     nodes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     roots = components(link_forest(nodes.select("fp"), radius))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
@@ -267,265 +264,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     by_print = placed.join(lows, "root").select("fp", "component_id")
     return docs.join(by_print, "fp").select(
-        F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(also or []))
 
 
 def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows that stay: of each component the one with the smallest id, with all columns of ``df``.
-
-    A component without any id keeps one row of null id per distinct row content.
-    """
-    kept = (near_duplicates(df, id_col, text_col, radius).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-            .select(F.col(id_col).alias("__kept")).distinct())
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-
-
-def compared_shingles(text: str) -> set[bytes]:
-    """Shingles of five words, without repeats; one of all words if there are fewer, none without words."""
-    words = text.encode().lower().split()
-    width = min(COMPARED_SHINGLE, len(words))
-    return {b" ".join(words[i:i + width]) for i in range(len(words) - width + 1)} if words else set()
-
-
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _similar(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    a, b, text_a, text_b = (batch.column(i).to_pylist() for i in range(4))
-    kept, last, own = [], None, set()
-    for x, y, one, other in zip(a, b, text_a, text_b):
-        if one != last:
-            last, own = one, compared_shingles(one)
-        against = compared_shingles(other)
-        shared = len(own & against)
-        if shared and shared >= LEAST * (len(own) + len(against) - shared):
-            kept.append((x, y))
-    yield rows_batch(_LINKS, list(map(list, zip(*kept))) or [[], []])
-
-
-def shingle_hashes(text: str) -> np.ndarray:
-    """Distinct hashes of the compared shingles, sorted."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in compared_shingles(text)], np.uint64))
-
-
-def set_of(hashes: np.ndarray) -> int:
-    """Signed digest of a shingle set: texts with the same shingles are one set, however often they repeat them."""
-    return signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
-
-
-_SETS = pa.schema([("doc_id", pa.int64()), ("set", pa.int64())])
-_TEXTS = pa.schema([("set", pa.int64()), ("text", pa.string())])
-_CELLS = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
-_POSTS = pa.schema([("key", pa.int64()), ("size", pa.int64()), ("pos", pa.int64()), ("set", pa.int64()),
-                    *((f"b{i}", pa.int64()) for i in range(PARITY))])
-_POSTS_SQL = "key long, size long, pos long, set long, " + ", ".join(f"b{i} long" for i in range(PARITY))
-
-
-def _sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    found = [(doc, set_of(h)) for doc, text in zip(*(c.to_pylist() for c in batch.columns)) if len(h := shingle_hashes(text))]
-    yield rows_batch(_SETS, list(map(list, zip(*found))) or [[], []])
-
-
-def _set_texts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    texts = batch.column(0).to_pylist()
-    yield rows_batch(_TEXTS, [[set_of(shingle_hashes(t)) for t in texts], texts])
-
-
-def cells_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-
-
-def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << CELL_BITS, np.int64)
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            np.add.at(counts, cells_of(shingle_hashes(text)), 1)
-    seen = np.flatnonzero(counts)
-    yield rows_batch(_CELLS, [seen, counts[seen]])
-
+    """The rows that stay, one of each component, with all columns of ``df``: the one with the smallest id.
 
-def common_cells(texts: DataFrame) -> np.ndarray:
-    """How common the shingles of each cell are, zero for the ordinary ones.
-
-    Read from an eighth of the rows. It only decides which shingles are looked up first; no result depends on it.
-    """
-    reach_workers(texts.sparkSession)
-    part = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0).select("text")
-    # at most one row a cell reaches the driver
-    found = part.mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << CELL_BITS, np.int64)
-    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return np.where(counts > np.maximum(1, 2 * counts.mean()), counts, 0)
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The rarest shingles of a set, so many that a set of similarity 0.8 has one of them among its own.
-
-    Similar sets share 80% or more of either, so the first shared one in any fixed order is among the first fifth and one.
-    """
-    order = np.lexsort((hashes, common[cells_of(hashes)]))
-    return hashes[order[:len(hashes) - -(-4 * len(hashes) // 5) + 1]]
-
-
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """Bits that tell for each residue whether an odd number of hashes has it: they differ in no more bits than two sets in shingles."""
-    odd = np.bincount((hashes % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) % 2
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
-
-def _may_link(size_a, size_b, pos_a, pos_b, bits_a, bits_b) -> np.ndarray:
-    """False only for sets that cannot be 80% alike: by their sizes, by what is left behind their first shared shingle, by their parities.
-
-    Sets are 80% alike when they share four ninths or more of the sum of their sizes.
-    """
-    total = size_a + size_b
-    ok = 5 * np.minimum(size_a, size_b) >= 4 * np.maximum(size_a, size_b)
-    ok &= 9 * np.minimum(size_a - pos_a, size_b - pos_b) >= 4 * total
-    return ok & (9 * bit_count((bits_a ^ bits_b).view(np.uint64)).sum(axis=-1, dtype=np.int64) <= total)
-
-
-def _by_key(work, schema: pa.Schema):
-    """Rows come in sorted by key; ``work`` gets the rows of whole keys as a list of arrays."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def joined() -> list[np.ndarray]:
-            return [np.concatenate(c) for c in zip(*held)]
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held and held[-1][0][-1] == now[0][-1]:
-                held.append(now)  # still the last key
-                continue
-            tail = int(np.searchsorted(now[0], now[0][-1], side="left"))
-            held.append([c[:tail] for c in now])
-            yield rows_batch(schema, work(joined()))
-            held = [[c[tail:] for c in now]]
-        if held:
-            yield rows_batch(schema, work(joined()))
-
-    return run
-
-
-def _shared(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """One row per key and set, of the keys that more than one set has."""
-    key, sets = columns[0], columns[3]
-    once = np.ones(len(key), bool)
-    once[1:] = (key[1:] != key[:-1]) | (sets[1:] != sets[:-1])
-    columns = [c[once] for c in columns]
-    key = columns[0]
-    same = key[1:] == key[:-1]
-    multi = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(key) else np.zeros(0, bool)
-    return [c[multi] for c in columns]
-
-
-def _partners(lag: int | None):
-    """Pairs of sets of one key and different roots that may link: up to ``lag`` places apart by size, all of them without a ``lag``."""
-
-    def work(columns: list[np.ndarray]) -> list[np.ndarray]:
-        key, size, pos, sets, *bits, root = columns
-        bits = np.stack(bits, axis=1)
-        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-        def keep(a: np.ndarray, b: np.ndarray) -> None:
-            ok = (root[a] != root[b]) & (sets[a] != sets[b])
-            a, b = a[ok], b[ok]
-            ok = _may_link(size[a], size[b], pos[a], pos[b], bits[a], bits[b])
-            a_out.append(sets[a[ok]]), b_out.append(sets[b[ok]])
-
-        if lag is not None:
-            for k in range(1, lag + 1):
-                a = np.flatnonzero(key[k:] == key[:-k])
-                keep(a, a + k)
-        elif len(key):
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
-            for start, end in zip(starts, [*starts[1:], len(key)]):
-                _, of, counts = np.unique(root[start:end], return_inverse=True, return_counts=True)
-                if len(counts) == 1:
-                    continue
-                # the members of all roots but the largest meet those of the roots before theirs
-                rank = np.empty(len(counts), np.int64)
-                rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
-                order = np.argsort(rank[of], kind="stable")
-                before = np.searchsorted(rank[of][order], rank[of][order], side="left")
-                for at in range(int(counts.max()), end - start):
-                    others = start + order[:before[at]]
-                    keep(np.full(len(others), start + order[at]), others)
-        a, b = np.concatenate(a_out), np.concatenate(b_out)
-        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
-        return [pairs[:, 0], pairs[:, 1]]
-
-    return _by_key(work, _LINKS)
-
-
-def posting_lists(texts: DataFrame) -> DataFrame:
-    """Sets by the shingles of their prefixes, those that only one set has left out."""
-    model = texts.sparkSession.sparkContext.broadcast(common_cells(texts))  # bounded by CELL_BITS
-
-    def posts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for text in batch.column(0).to_pylist():
-            hashes = shingle_hashes(text)
-            if len(hashes):
-                keys = prefix(hashes, model.value)
-                same = np.ones(len(keys), np.int64)
-                yield rows_batch(_POSTS, [keys.view(np.int64), same * len(hashes), np.arange(len(keys)), same * set_of(hashes),
-                                          *(same * b for b in parity(hashes))])
-
-    dealt = map_batches(texts.select("text"), posts, _POSTS_SQL).repartition("key").sortWithinPartitions("key", "set")
-    return dealt.mapInArrow(_by_key(_shared, _POSTS), _POSTS_SQL)
-
-
-def compare(pairs: DataFrame, texts: DataFrame, lows: DataFrame) -> DataFrame:
-    """The pairs of sets whose five-word shingles have a Jaccard similarity of 0.8 or more."""
-    asked = pairs.select(F.col("a").alias("set")).unionAll(pairs.select("b")).distinct()
-    compared = stored(lows.join(asked, "set", "left_semi"), "compared")
-    some = texts.join(broadcast_if_small(compared.select("doc_id").distinct(), F.lit(32)), "doc_id", "left_semi").select("text")
-    held = stored(map_batches(some, _set_texts, "set long, text string").groupBy("set").agg(F.min("text").alias("text")), "compared_texts")
-    one, other = (held.select(F.col("set").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b"))
-    both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
-    return map_batches(both, _similar, "a long, b long")
-
-
-def similar_links(texts: DataFrame) -> DataFrame:
-    """Links (a, b) of ids of ``texts`` (doc_id, text) that connect all whose five-word shingles have a Jaccard similarity of 0.8 or more.
-
-    Candidates are the sets that share a shingle of their prefixes. First neighbours by size are compared, what links is
-    contracted, and the next round takes only pairs between different components; the last one takes all that are left.
-    So no pair that may link stays unexamined unless its ends are connected already.
-    """
-    sets = stored(map_batches(texts, _sets, "doc_id long, set long"), "sets")
-    lows = stored(sets.groupBy("set").agg(F.min("doc_id").alias("doc_id")), "set_lows")
-    posts = stored(posting_lists(texts), "postings")
-    links, roots = None, None
-    for lag in LAGS:
-        if roots is None:
-            rooted = posts.withColumn("root", F.col("set"))
-        else:
-            near = roots.select(F.col("node").alias("set"), "root")
-            rooted = posts.join(broadcast_if_small(near, F.lit(32)), "set", "left").select(
-                *posts.columns, F.coalesce("root", "set").alias("root"))
-        dealt = rooted.repartition("key").sortWithinPartitions("key", "size", "set")
-        pairs = stored(dealt.mapInArrow(_partners(lag), "a long, b long").distinct(), "candidates")
-        found = stored(compare(pairs, texts, lows), "similar")
-        links = found if links is None else links.unionAll(found)
-        roots = stored(components(links), "similar_roots")
-    low = lows.select("set", F.col("doc_id").alias("low"))
-    same = sets.join(low, "set").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
-    far = links.join(low.select(F.col("set").alias("a"), F.col("low").alias("x")), "a").join(
-        low.select(F.col("set").alias("b"), F.col("low").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return same.unionAll(far).where("a <> b").distinct()
-
-
-def similar_survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay when of each chain of similar texts only the smallest id is kept, with all columns of ``df``.
-
-    Every pair is found, whatever the kind of edit, and every link is exact. Rows with a null id or text and texts
-    without a word are not compared and stay. Rows of one id stay or go together. An empty table gives no rows.
+    Ids that are repeated are told apart by a hash of the text; rows equal in
+    both stay together. A component without any id keeps its rows of null id.
+    Only ids and hashes are compared, the texts stay where they are read.
     """
-    texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropna()
-    roots = components(similar_links(texts))
-    gone = stored(roots.where("node <> root").select(F.col("node").alias("__gone")).distinct(), "gone")
-    return df.join(broadcast_if_small(gone, F.lit(32)), F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
+    key = [F.col(id_col).cast("bigint"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))]
+    prints = near_duplicates(df.select(F.col(id_col), F.col(text_col), key[1].alias("text_hash")), id_col, text_col, radius, ["text_hash"])
+    kept = prints.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(
+        F.col(id_col).alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    return df.join(kept, key[0].eqNullSafe(kept["kept_id"]) & (key[1] == kept["kept_hash"]), "left_semi")

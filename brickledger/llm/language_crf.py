@@ -38,10 +38,14 @@ CACHE_CHARS = 4_000_000
 GRAMS = 200_000
 CHAIN = 400_000
 BLOCK = 64
+#: Mean probability of each word's best language below which a text is in none of the learned ones, see ``accepted``.
+LEAST_CERTAINTY = 0.75
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters in lower case. The pattern also takes numerals such as ½ or Ⅷ, which ASCII lacks: runs without any letter go."""
+    words = WORD.findall(text.lower())
+    return words if text.isascii() else [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def features(word: str, lexicon: dict[str, int], numbers: dict[str, int]) -> list[int]:
@@ -239,7 +243,7 @@ def training_sample(df: DataFrame, id_col: str, text_col: str, label_col: str, p
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()),
-                     ("n_switches", pa.int64())])
+                     ("n_switches", pa.int64()), ("certainty", pa.float64())])
 
 
 class Labeller:
@@ -268,9 +272,9 @@ class Labeller:
             self.scores[start:len(known)] = self.field.emission(some, self.numbers)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    def label(self, texts: list[str | None]) -> list[tuple[str, float, int, int]]:
-        """(language, score, words, switches) per text; chains of bounded length are evaluated at a time."""
-        out: list[tuple[str, float, int, int]] = []
+    def label(self, texts: list[str | None]) -> list[tuple[str, float, int, int, float]]:
+        """(language, score, words, switches, certainty) per text; chains of bounded length are evaluated at a time."""
+        out: list[tuple[str, float, int, int, float]] = []
         held: list[list[str]] = []
         size = 0
         for text in texts:
@@ -282,11 +286,11 @@ class Labeller:
                 held, size = [], 0
         return out + self._chain(held) if held else out
 
-    def _chain(self, texts: list[list[str]]) -> list[tuple[str, float, int, int]]:
+    def _chain(self, texts: list[list[str]]) -> list[tuple[str, float, int, int, float]]:
         counts = np.array([len(t) for t in texts])
         total = int(counts.sum())
         if not total or not self.field.languages:
-            return [(UNKNOWN, 0.0, int(c), 0) for c in counts]
+            return [(UNKNOWN, 0.0, int(c), 0, 0.0) for c in counts]
         ids = self._ids([w for t in texts for w in t])
         emission = self.scores[ids]
         ends = np.cumsum(counts)
@@ -296,6 +300,7 @@ class Labeller:
         share = marginals(emission, first, self.field)
         sums = np.add.reduceat(share, starts, axis=0)
         best = share.argmax(axis=1)
+        sure = np.add.reduceat(share.max(axis=1), starts)
         change = np.concatenate([[0], best[1:] != best[:-1]]).astype(np.int64)
         change[starts] = 0
         switches = np.add.reduceat(change, starts)
@@ -303,16 +308,20 @@ class Labeller:
         out = []
         for c in counts:
             if not c:
-                out.append((UNKNOWN, 0.0, 0, 0))
+                out.append((UNKNOWN, 0.0, 0, 0, 0.0))
                 continue
             r = next(rows)
             z = int(sums[r].argmax())
-            out.append((self.field.languages[z], float(min(1.0, max(0.0, sums[r, z] / c))), int(c), int(switches[r])))
+            # one certain word is added: a single doubtful word is no evidence yet
+            out.append((self.field.languages[z], float(min(1.0, max(0.0, sums[r, z] / c))), int(c), int(switches[r]),
+                        float((sure[r] + 1) / (c + 1))))
         return out
 
 
 def predict(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``lang_pred``, ``score`` (mean probability of that language over the words), ``n_words``, ``n_switches``.
+    """Per row: id, ``lang_pred``, ``score`` (mean probability of that language over the words), ``n_words``, ``n_switches``, ``certainty``.
+
+    ``certainty`` is the mean probability of each word's own best language, one certain word added.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing was
     learned. Repeated rows come back as often as they went in; an empty table
@@ -328,7 +337,7 @@ def predict(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
         yield rows_batch(_SCHEMA, [batch.column(0), *map(list, zip(*found))])
 
     texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = map_batches(texts, work, "doc_id long, lang_pred string, score double, n_words long, n_switches long")
+    out = map_batches(texts, work, "doc_id long, lang_pred string, score double, n_words long, n_switches long, certainty double")
     return out.withColumnRenamed("doc_id", id_col)
 
 
@@ -344,12 +353,14 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
 
 
 def accepted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
-             least_score: float = 0.0) -> DataFrame:
-    """The rows, with all their columns, whose language could be told: not ``und``, and a score of ``least_score`` or more.
-
-    By default text that mixes languages stays: it is a document of its main language.
-
-    The text travels with its row through the labeller, so there is no join.
+             least_certainty: float = LEAST_CERTAINTY) -> DataFrame:
+    """The rows, with all their columns, that are written in the learned languages.
+
+    A text goes if it is ``und`` or if its words, taken one by one, belong to no
+    language with enough probability: text in an unlearned script or language and
+    letter noise leave the field undecided at most words. Text that switches
+    between learned languages is certain word by word and stays. The text travels
+    with its row through the labeller, so there is no join.
     """
     field = fit(training_sample(df.where(~held_out(id_col)), id_col, text_col, label_col))
     model = df.sparkSession.sparkContext.broadcast(field)
@@ -359,6 +370,6 @@ def accepted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
         if not labeller:
             labeller.append(Labeller(model.value))
         found = labeller[0].label(batch.column(at).to_pylist())
-        yield batch.filter(pa.array([name != UNKNOWN and score >= least_score for name, score, _, _ in found], pa.bool_()))
+        yield batch.filter(pa.array([name != UNKNOWN and sure >= least_certainty for name, *_, sure in found], pa.bool_()))
 
     return map_batches(df, work, df.schema)

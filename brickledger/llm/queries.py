@@ -73,7 +73,7 @@ def op4_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the labelled rows that are not held out."""
     found = language_crf.identify(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", language_crf.held_out().alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
+    return found.select("doc_id", language_crf.held_out().alias("held_out"), "lang_pred", "score", "n_words", "n_switches", "certainty")
 
 
 def op6_bpe_stream(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

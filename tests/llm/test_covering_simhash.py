@@ -101,125 +101,18 @@ def test_one_print_holding_most_rows(spark):
     assert cs.near_duplicates(df).where("component_id = 0").count() >= 1000
 
 
-def plain_similar(texts):
-    """id -> smallest id reachable over pairs whose five-word shingles are 80% alike, comparing all pairs."""
-    sets = {}
-    for d, t in texts.items():
-        words = t.lower().split()
-        sets[d] = {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-    low = {d: d for d in texts}
-    links = [(a, b) for a in texts for b in texts if b < a and sets[a] and sets[b]
-             and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    changed = True
-    while changed:
-        changed = False
-        for a, b in links:
-            m = min(low[a], low[b])
-            changed |= low[a] != m or low[b] != m
-            low[a] = low[b] = m
-    return low
-
-
-def test_similar_survivors_equal_brute_force(spark):
-    """Originals, a crowd of edited copies of one text, pairs near the bar, and texts over the same words that are not copies.
-
-    Candidates are found with high probability: nothing goes that should stay, and 95% or more of what should go does.
-    """
-    rng = random.Random(11)
-    vocabulary = [f"w{i}" for i in range(300)]
-    texts = {}
-    for _ in range(60):
-        texts[len(texts)] = " ".join(rng.choices(vocabulary, k=rng.randint(60, 300)))
-    for source, copies in [(5, 150), *((s, 1) for s in range(10, 40))]:
-        for _ in range(copies):
-            words = texts[source].split()
-            for _ in range(rng.randint(1, max(1, len(words) // 45))):
-                words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
-            texts[len(texts)] = " ".join(words)
-    want = plain_similar(texts)
-    assert len(set(want.values())) < len(want) - 100
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    got = {r.doc_id for r in cs.similar_survivors(df).collect()}
-    stay = set(want.values())
-    assert got >= stay and len(got - stay) <= 0.05 * (len(texts) - len(stay))
-
-
-def test_similar_survivors_edge_rows(spark):
-    long = "word " * 60_000
-    data = [(3, None, "x", 1), (2, "", "x", 1), (9, " \t\n", "x", 1), (None, "a b c d e", "x", 1), (5, long, "x", 1), (4, long, "y", 2), (4, long, "y", 2),
-            (7, "One two", "x", 1), (8, "oNE  two ", "x", 1), (6, "a b c d e", "x", 1), (10, "a b c d f", "x", 1)]
-    df = spark.createDataFrame(data, "doc_id long, text string, fp string, a int")
-    kept = cs.similar_survivors(df)
-    assert kept.schema == df.schema
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([3, 2, 9, None, 4, 4, 7, 6, 10], key=str)
-    assert cs.similar_survivors(df.limit(0)).count() == 0
-
-
-def edited_texts():
-    """By kind of edit: (text, changed text), all 80% alike or just below, over rare words and with repeated lines."""
-    rng = random.Random(3)
-    fresh = iter(range(10**6))
-    line = lambda n: [f"r{next(fresh)}" for _ in range(n)]
-    for _ in range(12):
-        short = line(14)
-        yield "short", short, short[:-1] + line(1)
-        for block in (14, 17, 22):
-            words = line(200)
-            at = rng.randrange(200 - block)
-            yield "block", words, words[:at] + line(block) + words[at + block:]
-        words = line(200)
-        yield "added", words, words + line(40)
-        words = line(1000)
-        yield "added", words, words + line(150)
-        words = line(1000)
-        at = rng.randrange(900)
-        yield "block", words, words[:at] + line(80) + words[at + 80:]
-        words = line(60)
-        yield "repeated", words, words + words[-20:] * 30
-
-
-def test_similar_survivors_find_every_kind_of_edit(spark):
-    texts = {}
-    for _, *pair in edited_texts():
-        for words in pair:
-            texts[len(texts)] = " ".join(words)
-    want = plain_similar(texts)
-    assert sum(d != low for d, low in want.items()) >= 80
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    assert {r.doc_id for r in cs.similar_survivors(df).collect()} == set(want.values())
-
-
-def test_similar_survivors_of_texts_that_mostly_repeat_one_line(spark):
-    """Texts under one long repeated line: links between them that do not pass through the smallest id."""
-    rng = random.Random(8)
-    line = " ".join(f"c{i}" for i in range(11))
-    texts = {}
-    for group in range(12):
-        own = [f"g{group}x{i}" for i in range(70)]
-        for _ in range(20):
-            words = list(own)
-            for _ in range(rng.randint(0, 2)):
-                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
-            texts[len(texts)] = " ".join([line] * 400 + words)
-    order = list(texts.values())
-    rng.shuffle(order)
-    texts = dict(enumerate(order))
-    want = plain_similar(texts)
-    assert 12 <= len(set(want.values())) < 150
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    assert {r.doc_id for r in cs.similar_survivors(df).collect()} == set(want.values())
-
-
-@pytest.mark.parametrize("lag", [1, None])
-def test_partners_leave_no_pair_between_components_out(lag):
-    """Rows of one key, split over batches: without a lag every pair of different roots comes out, with one the neighbours."""
-    rng = np.random.default_rng(1)
-    sets = np.sort(rng.permutation(10**6)[:300]).astype(np.int64)
-    key, root = np.sort(rng.integers(0, 4, 300)), rng.integers(0, 5, 300) ** 2
-    same = np.full(300, 50)
-    columns = [key, same, same * 0, sets, *(same * 0 for _ in range(cs.PARITY)), root]
-    whole = pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=[str(i) for i in range(len(columns))])
-    got = {(r["a"], r["b"]) for out in cs._partners(lag)([whole.slice(at, 37) for at in range(0, 300, 37)]) for r in out.to_pylist()}
-    want = {(max(sets[i], sets[j]), min(sets[i], sets[j])) for i in range(300) for j in range(i)
-            if key[i] == key[j] and root[i] != root[j] and (lag is None or i - j <= lag)}
-    assert got == want
+def test_survivors_keep_one_row_of_each_component(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    base = [" ".join(rng.choices(words, k=60)) for _ in range(12)]
+    rows = [(i, base[i % 12] if i < 24 else base[i % 12] + " more", "x", i) for i in range(48)]
+    rows += [(3, "one id for", "y", 1), (3, "two unlike texts and so for two components", "y", 2), (70, None, "z", 3), (71, "", None, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, text_hash long")
+    low = plain_components({(r[0], k): plain_fingerprint(r[1]) for k, r in enumerate(rows)})
+    kept = cs.survivors(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted((d, rows[k][1] or "") for (d, k), first in low.items() if first[0] == d)
+    nameless = spark.createDataFrame([(None, base[0], "x", 1), (None, base[1], "x", 2), (None, base[1], "x", 2)], df.schema)
+    assert cs.survivors(nameless).count() == 3 and cs.survivors(nameless.unionAll(df)).where("doc_id IS NULL").count() == 0
+    assert cs.survivors(df.limit(0)).count() == 0
