@@ -10,7 +10,7 @@ from brickledger.llm.support import stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay."""
+    """Documents written in the learned languages stay, mixed ones too."""
     return language_crf.accepted(docs)
 
 
@@ -20,8 +20,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that share 80% or more of their five-word shingles, chains included, the row with the smallest id stays."""
-    return covering_simhash.similar_survivors(docs)
+    """Of texts whose fingerprints over four-word shingles link at four bits or fewer, chains included, the row with the smallest id stays."""
+    return covering_simhash.survivors(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
