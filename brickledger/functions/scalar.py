@@ -16,6 +16,8 @@ from brickledger.functions import fixed_values as fv
 
 def literal(value) -> str:
     """A fixed value as SQL text."""
+    if value is None:
+        return "NULL"
     if isinstance(value, str):
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
     return f"{value!r}D" if isinstance(value, float) else str(value)

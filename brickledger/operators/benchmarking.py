@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from brickledger.functions.scalar import half_up, pct_change, ratio
-from brickledger.sources.benchmarks import house_price_index_long, school_outcomes_long
+from brickledger.functions import fixed_values as fv
+from brickledger.sources.benchmarks import house_price_index, house_price_index_long, school_outcomes_long
 
 
 def against_price_index(properties: DataFrame) -> DataFrame:
@@ -35,6 +36,25 @@ def price_index_gap(properties: DataFrame) -> DataFrame:
     )
 
 
+def annual_change_gap(properties: DataFrame, year: int = fv.HPI_YEARS[-1]) -> DataFrame:
+    """Change of each region's average price on the year before next to the published change.
+
+    ``index_change_pct`` is the change of the published averages, which rounding
+    and revisions keep from being the published change itself. Every published
+    region has a row; without sales in either year the observed change is NULL.
+    """
+    c = F.col
+    columns = [f"avg_price_{year - 1}", f"avg_price_{year}"]
+    published = house_price_index(properties.sparkSession).select("region", *columns, c(f"hpi_annual_change_{year}_pct").cast("double").alias("published_change_pct"))
+    observed = properties.where(c("sale_year").isin(year - 1, year)).groupBy("region").agg(
+        *[F.avg(F.when(c("sale_year") == y, c("price_gbp"))).alias(f"_avg_{y}") for y in (year - 1, year)])
+    change = pct_change(c(f"_avg_{year}"), c(f"_avg_{year - 1}"))
+    return observed.join(published, "region", "full").select(
+        "region", half_up(c(f"_avg_{year - 1}")).alias("avg_before"), half_up(c(f"_avg_{year}")).alias("avg_price"),
+        half_up(change, 1).alias("observed_change_pct"), half_up(pct_change(c(columns[1]), c(columns[0])), 1).alias("index_change_pct"),
+        "published_change_pct", half_up(change - c("published_change_pct"), 1).alias("gap_points"))
+
+
 def school_mix_gap(properties: DataFrame) -> DataFrame:
     """Observed share of each school band per region next to the published share.
 

@@ -58,28 +58,40 @@ def _add(df: DataFrame, *groups: dict[str, str]) -> DataFrame:
     return df.selectExpr("*", *[f"{text} AS {name}" for group in groups for name, text in group.items()])
 
 
+#: Regions up to which the index is put into the plan as fixed rows.
+FEW_REGIONS = 10_000
+
+
 def region_index(fitted_on: DataFrame) -> DataFrame:
-    """Median price in thousands per region, exactly one row for each of the 12
-    known regions; a region without sales has a NULL index."""
+    """Median price in thousands of every region found in the data, and of the 12 known ones.
+
+    A known region without sales has a NULL index. Sales without a region count for none.
+    """
     domain = lookup_table(fitted_on.sparkSession, "region", [(r,) for r in fv.REGIONS])
-    medians = median_by(fitted_on, ["region"], name="_median")
-    return domain.join(medians, "region", "left").selectExpr("region", f"_median / 1000 AS {REGION_INDEX}")
+    medians = median_by(fitted_on.where("region IS NOT NULL"), ["region"], name="_median")
+    return domain.join(medians, "region", "full").selectExpr("region", f"_median / 1000 AS {REGION_INDEX}")
 
 
 def with_region_index(df: DataFrame, fitted_on: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """Attach the regional index: ``index`` as stored, or fitted on ``fitted_on`` (or on ``df`` itself).
 
-    The index has 12 rows by construction, so broadcasting it is safe at any size.
+    The index is worked out first. Up to ``FEW_REGIONS`` of its rows go into the
+    plan as fixed rows, so the large table is not shuffled to meet them; with more
+    regions Spark joins the two tables as their sizes demand.
     """
     if index is None:
         index = region_index(df if fitted_on is None else fitted_on)
-    return df.join(F.broadcast(index), "region", "left")
+    rows = [tuple(r) for r in index.select("region", REGION_INDEX).limit(FEW_REGIONS + 1).collect()]
+    if len(rows) <= FEW_REGIONS:
+        index = lookup_table(df.sparkSession, f"region, {REGION_INDEX}", rows).selectExpr("region", f"CAST({REGION_INDEX} AS DOUBLE) AS {REGION_INDEX}")
+        return df.join(F.broadcast(index), "region", "left")
+    return df.join(index, "region", "left")
 
 
 def engineer(df: DataFrame, fitted_on: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """All feature columns and the log target next to the input columns.
 
-    ``fitted_on`` should be the training rows; leaving it out fits the regional
+    The regional index is worked out at once, the features when they are read. ``fitted_on`` should be the training rows; leaving it out fits the regional
     index on every row, test rows included. A stored ``index`` is used as it is.
     """
     encoded = _add(with_region_index(df, fitted_on, index), ORDINAL_SCORES, INDICATOR_FLAGS)

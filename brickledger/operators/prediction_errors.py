@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brickledger.functions.scalar import accuracy_band, half_even, ratio, to_long
-from brickledger.operators.distribution import price_counts, quantile
+from brickledger.operators.distribution import percentiles, price_counts, shared
 
 ATTRIBUTES = ("region", "property_type", "bedrooms", "floor_area_sqm", "sale_year")
 
@@ -24,12 +24,12 @@ def prediction_table(scored: DataFrame, actual: Column, predicted: Column, keep:
     })
 
 
-def model_measures(scored: DataFrame, actual: Column, predicted: Column) -> DataFrame:
-    """R², RMSE, MAE and MAPE in one pass, as one row."""
+def model_measures(scored: DataFrame, actual: Column, predicted: Column, *by: str) -> DataFrame:
+    """R², RMSE, MAE and MAPE in one pass, as one row, or one per group."""
     a, p = actual.cast("double"), predicted.cast("double")
     error = a - p
     mse = F.avg(error * error)
-    return scored.agg(
+    return scored.groupBy(*by).agg(
         (1 - mse / F.nullif(F.var_pop(a), F.lit(0.0))).alias("r2"),
         F.sqrt(mse).alias("rmse"),
         F.avg(F.abs(error)).alias("mae"),
@@ -46,8 +46,8 @@ def rounded_measures(measures: DataFrame) -> DataFrame:
 def regional_accuracy(predictions: DataFrame) -> DataFrame:
     """MAE, count and medians per region.
 
-    Actual and predicted prices are stacked and counted in one pass; the count
-    table has one row per region, kind and price, never a group of raw rows.
+    Actual and predicted prices are stacked and counted in one pass. Predicted
+    prices have no limits, so the medians are selected by rank.
     """
     c = F.col
     kinds = F.array(
@@ -55,15 +55,17 @@ def regional_accuracy(predictions: DataFrame) -> DataFrame:
         F.struct(F.lit(False).alias("sold"), c("predicted_price").alias("price"), F.when(F.lit(False), c("abs_error")).alias("abs_error")),
     )
     stacked = predictions.where(c("region").isNotNull()).select("region", F.explode(kinds).alias("kind")).select("region", "kind.*")
-    table = price_counts(stacked, ["region", "sold"], "price", also=["abs_error"]).withColumns({
-        "actual_price": F.when(c("sold"), c("price")), "predicted_price": F.when(~c("sold"), c("price")),
-    }).groupBy("region").agg(
+    counted = shared(price_counts(stacked, ["region", "sold"], "price", also=["abs_error"]))
+    sums = counted.groupBy("region").agg(
         ratio(F.sum("sum_abs_error"), F.sum("n_abs_error")).alias("mae"),
-        F.sum(F.when(c("actual_price").isNotNull(), c("n"))).alias("count"),
-        quantile(0.5, "actual_price").alias("median_actual"),
-        quantile(0.5, "predicted_price").alias("median_predicted"),
+        F.sum(F.when(c("sold") & c("price").isNotNull(), c("n"))).alias("count"),
     )
-    return table.withColumn("mae_pct", half_even(ratio(F.col("mae"), F.col("median_actual")) * 100, 1))
+    middle = percentiles(counted, ["region", "sold"], [0.5], "price").groupBy("region").agg(
+        F.max(F.when(c("sold"), c("percentiles")[0])).alias("median_actual"),
+        F.max(F.when(~c("sold"), c("percentiles")[0])).alias("median_predicted"),
+    )
+    return sums.join(middle, "region", "left").withColumn(
+        "mae_pct", half_even(ratio(F.col("mae"), F.col("median_actual")) * 100, 1))
 
 
 def filter_predictions(predictions: DataFrame, region: str | None = None, property_type: str | None = None,

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from brickledger.functions.scalar import digest, digest_int
+from brickledger.functions.scalar import digest
 
 _BUCKET_DIGITS = 4
 
@@ -85,12 +85,51 @@ def sample_exact(df: DataFrame, n: int, key: str, seed=42) -> DataFrame:
     return _first_in_buckets(_with_digest(df, key, seed), [], key, F.lit(n).cast("bigint"))
 
 
-def with_split(df: DataFrame, key: str = "property_id", test_fraction: float = 0.2, seed=42,
-               name: str = "is_test") -> DataFrame:
-    """Seeded train/test flag: a row is in the test part when its digest falls
-    into the lowest ``test_fraction`` of the digest range. No shuffle."""
-    bar = format(int(test_fraction * 16**8), "08x")
-    return df.withColumn(name, F.substring(digest(F.col(key), f"split{seed}"), 1, 8) < F.lit(bar))
+def _cut_rows(tagged: DataFrame, key: str, edges: Column) -> DataFrame:
+    """One row: ``_cuts``, for each edge the (digest, key) of the first row behind it, in the order of the edges.
+
+    ``edges`` is an array of row counts, rising, made from ``_size``. Buckets are
+    counted; only the buckets that hold an edge are read again, digests and keys
+    alone, and ranked. An edge at the very end has no row behind it.
+    """
+    c = F.col
+    placed = _bucket_offsets(tagged, []).withColumn("_size", F.sum("_in_bucket").over(Window.partitionBy()))
+    held = F.filter(F.transform(edges, lambda e, i: F.struct(i.alias("edge"), (e - c("_before")).alias("at"))),
+                    lambda x: (x["at"] >= 0) & (x["at"] < c("_in_bucket")))
+    # as many rows as there are edges at most
+    wanted = placed.select("_bucket", held.alias("_held")).where(F.size("_held") > 0)
+    inside = Window.partitionBy("_bucket").orderBy("_digest", key)
+    ranked = tagged.select("_bucket", "_digest", key).join(F.broadcast(wanted), "_bucket").withColumn("_at", F.row_number().over(inside) - 1)
+    cuts = ranked.select(F.explode(F.filter("_held", lambda x: x["at"] == c("_at"))).alias("_x"), "_digest", key).select(
+        c("_x.edge").alias("edge"), F.struct("_digest", c(key).alias("_key")).alias("cut"))
+    return cuts.agg(F.transform(F.array_sort(F.collect_list(F.struct("edge", "cut"))), lambda x: x["cut"]).alias("_cuts"))
+
+
+def with_split(df: DataFrame, key: str = "property_id", test_fraction: float = 0.2, seed=42, name: str = "is_test",
+               folds: int = 0, fold: str = "fold") -> DataFrame:
+    """Seeded train/test flag of exact size: ``ceil(fraction * rows)`` rows are test rows.
+
+    With ``folds`` the other rows get a fold number from 0 too, in folds whose
+    sizes differ by one at most, larger ones first; test rows have none. Rows are
+    in digest order of their keys, which must tell them apart; the parts are
+    ranges of that order. Their ends are found by counting, so rows are flagged
+    where they are: nothing but digests and keys of a few buckets is shuffled.
+    """
+    c = F.col
+    tagged = _with_digest(df, key, f"split{seed}")
+    tests = F.ceil(c("_size") * F.lit(test_fraction)).cast("bigint")
+    rest = c("_size") - tests
+    ends = [tests]
+    for i in range(1, folds):
+        # the first (rest mod folds) folds have one row more
+        ends.append(tests + F.lit(i) * F.floor(rest / folds).cast("bigint") + F.least(F.lit(i).cast("bigint"), rest % folds))
+    cuts = _cut_rows(tagged, key, F.array(*ends))
+    placed = tagged.crossJoin(F.broadcast(cuts))  # one row
+    part = F.size(F.filter("_cuts", lambda x: x <= F.struct("_digest", c(key).alias("_key"))))
+    marked = placed.withColumn("_part", part).withColumn(name, c("_part") == 0)
+    if folds:
+        marked = marked.withColumn(fold, F.when(c("_part") > 0, c("_part") - 1))
+    return marked.drop("_digest", "_bucket", "_cuts", "_part")
 
 
 def stratified_test(df: DataFrame, stratum: str, domain=None, key: str = "property_id", test_fraction: float = 0.2,
@@ -105,9 +144,3 @@ def stratified_test(df: DataFrame, stratum: str, domain=None, key: str = "proper
     tagged = _with_digest(df, key, f"split{seed}").withColumn("_stratum", F.coalesce(known, F.lit("")))
     wanted = F.ceil(F.col("_size") * F.lit(test_fraction)).cast("bigint")
     return _first_in_buckets(tagged, ["_stratum"], key, wanted).drop("_stratum")
-
-
-def with_fold(df: DataFrame, folds: int = 5, key: str = "property_id", seed=42, name: str = "fold") -> DataFrame:
-    """Seeded fold number 0..folds-1, independent of the train/test split."""
-    drawn = digest_int(digest(F.col(key), f"fold{seed}"))
-    return df.withColumn(name, (drawn % folds).cast("int"))

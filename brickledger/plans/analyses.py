@@ -12,22 +12,23 @@ from brickledger.functions.scalar import (
     accuracy_band, commute_band, decode, error_band, half_up, importance_band, pct_change, ratio,
 )
 from brickledger.operators.distribution import (
-    PRICE, mean, mean_of, price_counts, quantile, quantiles, rows, stddev_sample, total,
+    PRICE, mean, mean_of, percentiles, price_counts, quantile, quantiles, rows, shared, stddev_by, total,
 )
 
 c = F.col
 
 
 def regional_summary(properties: DataFrame) -> DataFrame:
-    stats = price_counts(properties, ["region"]).groupBy("region").agg(
+    counted = shared(price_counts(properties, ["region"]))
+    stats = counted.groupBy("region").agg(
         rows().alias("transactions"),
         F.min(PRICE).alias("min_price"),
         quantiles([0.25, 0.5, 0.75]).alias("_q"),
         mean().alias("_mean"),
         F.max(PRICE).alias("max_price"),
-        stddev_sample().alias("_std"),
     )
-    return stats.select(
+    spread = stddev_by(counted, ["region"], name="_std").withColumnRenamed("region", "_region")
+    return stats.join(spread, c("region").eqNullSafe(c("_region")), "left").select(
         "region", "transactions", "min_price",
         half_up(c("_q")[0]).alias("p25_price"), half_up(c("_q")[1]).alias("median_price"),
         half_up(c("_mean")).alias("mean_price"), half_up(c("_q")[2]).alias("p75_price"),
@@ -143,12 +144,9 @@ def top_decile_profile(properties: DataFrame) -> DataFrame:
         "good_epc": F.when(c("epc_rating").isin("A", "B", "C"), 1).otherwise(0),
         "good_school": F.when(c("nearest_school_ofsted").isin("Outstanding", "Good"), 1).otherwise(0),
     })
-    counted = price_counts(marked, [], also=[
-        "bedrooms", "floor_area_sqm", "commute_mins", "good_epc", "good_school", "has_garden", "has_garage"])
-    # one row; asking for every total (that of the rows is above 0) keeps both uses of the counts alike, so they share one shuffle
-    totals = [name for name in counted.columns if name != PRICE]
-    cut = counted.agg(quantile(0.9).alias("p90"), *[F.sum(name).alias(f"all_{name}") for name in totals]).where(
-        F.greatest(*[f"all_{name}" for name in totals]) > 0).select("p90")
+    counted = shared(price_counts(marked, [], also=[
+        "bedrooms", "floor_area_sqm", "commute_mins", "good_epc", "good_school", "has_garden", "has_garage"]))
+    cut = percentiles(counted, [], [0.9]).select(c("percentiles")[0].alias("p90"))  # one row
     segment = F.when(c(PRICE) >= c("p90"), "Top 10% Properties").otherwise("Bottom 90% Properties")
     return (
         counted.crossJoin(F.broadcast(cut))

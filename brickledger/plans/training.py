@@ -10,18 +10,19 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brickledger.functions import fixed_values as fv
-from brickledger.functions.scalar import half_even
-from brickledger.operators import features as fe
+from brickledger.functions.scalar import half_even, literal
+from brickledger.operators import features as fe, gram
 from brickledger.operators.distribution import PRICE
 from brickledger.operators.prediction_errors import model_measures, prediction_table, rounded_measures
-from brickledger.operators.ranking import with_fold, with_split
-from brickledger.session import scratch_path, use_checkpoints
+from brickledger.operators.ranking import with_split
+from brickledger.session import Scratch, use_checkpoints
 
 TARGET, PREDICTION, VECTOR = fe.TARGET, "prediction", "features"
 RIDGE, FOREST, BOOSTING = "Ridge Regression", "Random Forest", "Gradient Boosting"
@@ -55,20 +56,20 @@ def training_table(properties: DataFrame, settings: Settings = Settings(), fit_o
                    materialise: bool = True) -> DataFrame:
     """Features, log target, split flag and fold for every property.
 
-    ``fit_on="train"`` fits the regional index on training rows only;
-    ``"all"`` includes the test rows and so leaks the target.
+    The test part has exactly its share of the rows, folds of the rest differ by
+    one row at most. ``fit_on="train"`` fits the regional index on training rows
+    only; ``"all"`` includes the test rows and so leaks the target. The split,
+    the index and the features each read the properties, which are therefore
+    written first, as the features are.
     """
     if fit_on not in ("train", "all"):
         raise ValueError(f"unknown fit_on: {fit_on}")
-    split = with_split(properties, test_fraction=settings.test_fraction, seed=settings.seed)
-    split = with_fold(split, settings.folds, seed=settings.seed)
+    scratch = Scratch(properties.sparkSession)
+    base = scratch.store(properties, "training-rows") if materialise else properties
+    split = with_split(base, test_fraction=settings.test_fraction, seed=settings.seed, folds=settings.folds)
     fitted = split.where(~F.col("is_test")) if fit_on == "train" else split
     table = fe.feature_matrix(fe.engineer(split, fitted), CARRIED).where(F.col(TARGET).isNotNull())
-    if not materialise:
-        return table
-    path = scratch_path(properties.sparkSession, "features")
-    table.write.parquet(path)
-    return properties.sparkSession.read.schema(table.schema).parquet(path)
+    return scratch.store(table, "features", "training-rows") if materialise else table
 
 
 def _assembler() -> VectorAssembler:
@@ -93,6 +94,57 @@ def ridge_pipeline(train: DataFrame, settings: Settings = Settings()) -> Pipelin
     return Pipeline(stages=[_assembler(), scaler, ridge])
 
 
+@dataclass(frozen=True)
+class LinearFit:
+    """A linear model on standardised features: ``intercept + sum(weight * (x - mean) / scale)``."""
+
+    features: tuple[str, ...]
+    means: tuple[float, ...]
+    scales: tuple[float, ...]
+    weights: tuple[float, ...]
+    intercept: float
+    penalty: float
+
+    def standardised(self) -> list[Column]:
+        return [F.expr(f"(coalesce(CAST({f} AS DOUBLE), 0.0D) - {literal(m)}) / {literal(s)}")
+                for f, m, s in zip(self.features, self.means, self.scales)]
+
+    def predicted(self) -> Column:
+        """The prediction as one native expression."""
+        terms = [z * w for z, w in zip(self.standardised(), self.weights)]
+        return sum(terms, F.lit(self.intercept))
+
+    def score(self, table: DataFrame) -> DataFrame:
+        return table.withColumn(PREDICTION, self.predicted())
+
+
+def ridge_closed_form(train: DataFrame, features: tuple[str, ...] = tuple(fv.FEATURES), settings: Settings = Settings(),
+                      target: str = TARGET) -> LinearFit:
+    """The ridge of ``ridge_pipeline`` from one pass over the rows.
+
+    Features are centred and divided by their population deviation (1 where it
+    is 0); the weights solve ``(Z'Z + alpha I) w = Z'(y - mean y)``. All of it is
+    in the table's cross-products, a matrix of fixed size solved on the driver.
+    """
+    found = gram.products(train, [*features, target])
+    if not found.n:
+        raise ValueError("no training rows")
+    scales = np.where(found.deviations() > 0, found.deviations(), 1.0)[:-1]
+    cross = found.centred[:-1, :-1] / np.outer(scales, scales)
+    weights = np.linalg.solve(cross + settings.ridge_alpha * np.eye(len(features)), found.centred[:-1, -1] / scales)
+    return LinearFit(tuple(features), tuple(found.means[:-1].tolist()), tuple(scales.tolist()), tuple(weights.tolist()),
+                     float(found.means[-1]), settings.ridge_alpha)
+
+
+def ridge_gradient(fitted: LinearFit, train: DataFrame, target: str = TARGET) -> DataFrame:
+    """(feature, gradient) of ``|y - prediction|^2 + penalty * |w|^2`` at the fit, and of the intercept; all 0 at its least value."""
+    error = F.col(target) - fitted.predicted()
+    names = [*fitted.features, "intercept"]
+    slopes = [F.sum(-2 * z * error) + 2 * fitted.penalty * w for z, w in zip(fitted.standardised(), fitted.weights)] + [F.sum(-2 * error)]
+    entries = F.array(*[F.struct(F.lit(n).alias("feature"), s.alias("gradient")) for n, s in zip(names, slopes)])
+    return train.agg(entries.alias("g")).selectExpr("inline(g)")
+
+
 def forest_pipeline(settings: Settings = Settings()) -> Pipeline:
     forest = RandomForestRegressor(
         featuresCol=VECTOR, labelCol=TARGET, predictionCol=PREDICTION, numTrees=settings.forest_trees,
@@ -208,6 +260,11 @@ def cv_rmse(train: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return cross_validate(train, cv_boosting_pipeline(settings), "rmse", settings)
 
 
+def fold_scores(scored: DataFrame, actual: Column, predicted: Column, measure: str) -> DataFrame:
+    """(fold, score) of given predictions: the measure of each fold's rows, all folds in one pass."""
+    return model_measures(scored.where(F.col("fold").isNotNull()), actual, predicted, "fold").select("fold", F.col(measure).alias("score"))
+
+
 def cv_summary(scores: DataFrame) -> DataFrame:
     return scores.agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
 
@@ -222,10 +279,10 @@ def importance_shares(importances: DataFrame, top: int = 20) -> DataFrame:
     ).orderBy(F.col("importance").desc(), "feature")
 
 
-def model_importances(model: PipelineModel, spark: SparkSession) -> DataFrame:
-    """Importances of the fitted tree model: 35 numbers."""
+def model_importances(model: PipelineModel, spark: SparkSession, features: tuple[str, ...] = tuple(fv.FEATURES)) -> DataFrame:
+    """Importances of the fitted tree model: one number per feature."""
     values = model.stages[-1].featureImportances.toArray().tolist()
-    return spark.createDataFrame(list(zip(fv.FEATURES, values)), "feature string, importance double")
+    return spark.createDataFrame(list(zip(features, values)), "feature string, importance double")
 
 
 def feature_statistics(train: DataFrame) -> DataFrame:
@@ -245,7 +302,7 @@ def standardise(table: DataFrame, statistics: DataFrame) -> DataFrame:
 
 
 def save_model(model: PipelineModel, path: str, fitted_on: DataFrame | None = None) -> str:
-    """The model and, fitted on ``fitted_on``, the regional index (12 rows) next to it."""
+    """The model and, fitted on ``fitted_on``, the regional index (a row a region) next to it."""
     model.write().overwrite().save(f"{path}/model")
     if fitted_on is not None:
         fe.region_index(fitted_on).coalesce(1).write.mode("overwrite").parquet(f"{path}/region_index")

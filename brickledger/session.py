@@ -42,21 +42,25 @@ def build_session(app: str = "brickledger", master: str | None = None, conf: dic
     return builder.getOrCreate()
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
     Only a session whose executors run in the driver's own process may go
-    without it: then a temporary folder is set, and deleted at the end.
+    without that setting: then a temporary folder is set, and deleted at the end.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="brickledger-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    _file_system(spark, folder, lambda fs, path: fs.deleteOnExit(path))
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="brickledger-")
+        _file_system(spark, _own_folders[application], lambda fs, path: fs.deleteOnExit(path))
+    return _own_folders[application]
 
 
 def _file_system(spark: SparkSession, path: str, call):

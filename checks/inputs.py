@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brickledger.functions import fixed_values as fv
+from brickledger.functions.regions import lookup_table
 from brickledger.functions.scalar import digest, digest_int
 from brickledger.functions.valuation import with_valuation
+from brickledger.operators import gram
 from brickledger.operators.cleaning import clean
 from brickledger.operators.features import engineer, feature_matrix
 from brickledger.operators.prediction_errors import prediction_table
@@ -63,15 +65,9 @@ def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
 def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared correlation of each feature with log price, as importance and share of the top 20.
 
-    Correlations come from plain sums in one aggregate; six digits are kept.
+    Correlations come from one pass over the cross-products; six digits are kept.
     """
     table = feature_matrix(engineer(valued(spark, sf_dir)), ["log_price"])
-    sums = ["count(*) AS n", "sum(log_price) AS y", "sum(log_price * log_price) AS yy"] + [
-        text for f in fv.FEATURES
-        for text in (f"sum({f}) AS x_{f}", f"sum({f} * {f}) AS xx_{f}", f"sum({f} * log_price) AS xy_{f}")
-    ]
-    added = table.agg(*[F.expr(text) for text in sums])
-    entries = ", ".join(
-        f"named_struct('feature', '{f}', 'importance', bround(coalesce(pow(n * xy_{f} - x_{f} * y, 2) / "
-        f"nullif((n * xx_{f} - x_{f} * x_{f}) * (n * yy - y * y), 0.0D), 0.0D), 6))" for f in fv.FEATURES)
-    return importance_shares(added.selectExpr(f"inline(array({entries}))"))
+    strengths = gram.products(table, [*fv.FEATURES, "log_price"]).squared_correlations("log_price")
+    rows = lookup_table(spark, "feature, importance", strengths.items())  # a row a feature
+    return importance_shares(rows.withColumn("importance", F.bround("importance", 6)))

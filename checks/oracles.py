@@ -120,6 +120,12 @@ PROPS = f"""{RAW}, {REGIONED}, props AS (
   SELECT {PROPERTY_COLUMNS} FROM regioned
   WHERE region <> 'Other' AND property_type IN ('D', 'S', 'T', 'F') AND ppd_category = 'A'
     AND price BETWEEN {fv.PRICE_FLOOR} AND {fv.PRICE_CEILING}
+), parts AS (
+  SELECT property_id, p < 0 AS is_test, CAST(CASE WHEN p < 0 THEN NULL WHEN p < more * (each_fold + 1) THEN p // (each_fold + 1)
+      ELSE more + (p - more * (each_fold + 1)) // nullif(each_fold, 0) END AS INTEGER) AS fold
+  FROM (SELECT property_id, place - tests AS p, (size - tests) // 5 AS each_fold, (size - tests) % 5 AS more
+    FROM (SELECT property_id, row_number() OVER (ORDER BY {_digest('property_id', 'split42')}) - 1 AS place, count(*) OVER () AS size,
+        CAST(ceil(count(*) OVER () * 0.2::DOUBLE) AS BIGINT) AS tests FROM props))
 )"""
 
 PREDS = PROPS + f""", fixed AS (
@@ -168,8 +174,7 @@ VALUED = PROPS + f""", valued AS (
   FROM (SELECT *, {_valuation()} AS raw_value FROM props)
 )"""
 
-_TEST = f"substr({_digest('property_id', 'split42')}, 1, 8) < '33333333'"
-_FOLD = f"CAST({_hex(_digest('property_id', 'fold42'))} % 5 AS INTEGER)"
+_TEST = "property_id IN (SELECT property_id FROM parts WHERE is_test)"
 
 
 def _engineered(source: str, fit_where: str = "TRUE") -> str:
@@ -312,6 +317,58 @@ def _scaled_stats() -> str:
         "(SELECT avg(CAST({f} AS DOUBLE)) AS m, stddev_pop(CAST({f} AS DOUBLE)) AS s FROM train)")
 
 
+FOLDS = PREDS + """, fold_scores AS (
+  SELECT fold, 1 - avg(e * e) / var_pop(a) AS r2, sqrt(avg(e * e)) AS rmse
+  FROM (SELECT fold, actual_price::DOUBLE AS a, (actual_price - predicted_price)::DOUBLE AS e FROM preds JOIN parts USING (property_id)
+        WHERE fold IS NOT NULL) GROUP BY fold
+)"""
+
+
+def _document() -> str:
+    """Every leaf of the results document as (path, text, number)."""
+    text = lambda path, value: f"SELECT {path} AS path, CAST({value} AS VARCHAR) AS text, CAST(NULL AS DOUBLE) AS number"
+    number = lambda path, value: f"SELECT {path} AS path, CAST(NULL AS VARCHAR) AS text, CAST({value} AS DOUBLE) AS number"
+    out = []
+    for key, label in (("gradient_boosting", "Gradient Boosting"), ("random_forest", "Random Forest"), ("ridge_regression", "Ridge Regression")):
+        out += [number(_q(f"model_metrics.{key}.{m}"), m) + f" FROM compared WHERE model = {_q(label)}" for m in ("r2", "rmse", "mae", "mape")]
+    for name, value in (("cv_r2_mean", "round_even(avg(r2), 4)"), ("cv_r2_std", "round_even(stddev_pop(r2), 4)"), ("cv_rmse_mean", "round_even(avg(rmse), 0)")):
+        out.append(number(_q(f"model_metrics.gradient_boosting.{name}"), value) + " FROM fold_scores")
+    listed = "(SELECT *, row_number() OVER (ORDER BY importance_pct DESC, feature DESC) - 1 AS i FROM features)"
+    out += [number("'feature_importance[' || i || '].importance_pct'", "importance_pct") + f" FROM {listed}",
+            text("'feature_importance[' || i || '].feature'", "feature") + f" FROM {listed}"]
+    listed = "(SELECT *, row_number() OVER (ORDER BY region) - 1 AS i FROM regional)"
+    out.append(text("'regional_accuracy[' || i || '].region'", "region") + f" FROM {listed}")
+    out += [number(f"'regional_accuracy[' || i || '].{m}'", f"round_even({m}, 0)") + f" FROM {listed}"
+            for m in ("mae", "count", "median_actual", "median_predicted", "mae_pct")]
+    for section, column in _JSON_SECTIONS.items():
+        listed = (f"(SELECT *, row_number() OVER (ORDER BY item) - 1 AS i FROM (SELECT CAST({column} AS VARCHAR) AS item, "
+                  f"round_even(quantile_cont(price_gbp, 0.5), 0) AS m FROM props GROUP BY 1))")
+        out += [text(f"'{section}[' || i || '].{column}'", "item") + f" FROM {listed}",
+                number(f"'{section}[' || i || '].median_price'", "m") + f" FROM {listed}"]
+    fields = ("actual_price", "predicted_price", "region", "property_type", "bedrooms", "floor_area_sqm", "sale_year", "error_gbp", "error_pct", "abs_error")
+    listed = (f"(SELECT *, row_number() OVER (ORDER BY {', '.join(fields)}) - 1 AS i FROM "
+              f"(SELECT * FROM preds ORDER BY {_digest('property_id', 42)} LIMIT 500))")
+    out += [(text if f in ("region", "property_type") else number)(f"'sample_predictions[' || i || '].{f}'", f) + f" FROM {listed}" for f in fields]
+    out += [number("'cv_scores.r2[' || fold || ']'", "round_even(r2, 4)") + " FROM fold_scores",
+            number("'cv_scores.rmse[' || fold || ']'", "round_even(rmse, 0)") + " FROM fold_scores"]
+    # the shared tables of three chains, each defined once
+    chain = SHARES + FOLDS[len(PROPS):] + FIXED_MODELS[len(PREDS):] + REGIONAL[len(PREDS):]
+    return _with(chain, " UNION ALL ".join(out))
+
+
+def _one_split(body: str) -> str:
+    """The best single split over the 0/1 features: largest drop of the variance of log price in the training rows."""
+    flags = ("type_detached", "type_semi_detached", "type_terraced", "type_flat", "is_freehold")
+    listed = " UNION ALL ".join(f"SELECT property_id, price_gbp, log_price, '{f}' AS feature, {f} AS side FROM engineered" for f in flags)
+    return _with(TRAINING + f""", listed AS ({listed}), sides AS (
+  SELECT feature, side, count(*)::DOUBLE AS n, avg(log_price) AS mean FROM listed WHERE NOT ({_TEST}) GROUP BY ALL
+), gains AS (
+  SELECT a.feature, a.n * b.n * (a.mean - b.mean) * (a.mean - b.mean) AS gain FROM sides a JOIN sides b ON a.feature = b.feature AND a.side = 0 AND b.side = 1
+), best AS (SELECT feature FROM gains ORDER BY gain DESC LIMIT 1), estimates AS (
+  SELECT property_id, price_gbp AS actual_price, CAST(round_even(exp(mean) - 1, 0) AS BIGINT) AS predicted_price
+  FROM listed JOIN best USING (feature) JOIN sides USING (feature, side))""", body)
+
+
 def sql() -> dict[str, str]:
     raw_only = RAW
     sample = f"sample AS (SELECT * FROM preds ORDER BY {_digest('property_id', 42)} LIMIT 800)"
@@ -386,6 +443,7 @@ def sql() -> dict[str, str]:
         "s6_csv_sinks": _with(PREDS, _counted("preds", "region", "abs_error")),
         "s7_median_sections": _with(PROPS, "SELECT section, item, round_even(median_price, 0) AS median_price FROM ("
                                     + _medians(_JSON_SECTIONS, "props", "section item") + ")"),
+        "s7_fixed_document": _document(),
         "s8_exact_sample": _with(PROPS, f"SELECT property_id, price_gbp FROM props ORDER BY {_digest('property_id', 42)} LIMIT 800"),
         "s9_test_head": _with(PREDS, f"SELECT * FROM preds WHERE {_TEST} ORDER BY {_digest('property_id', 42)} LIMIT 500"),
         "f1_residential": _with(raw_only, _counted("raw", "property_type", where="property_type IN ('D', 'S', 'T', 'F')")),
@@ -461,6 +519,15 @@ def sql() -> dict[str, str]:
             benchmark_price, round(a / benchmark_price * 100 - 100, 1) + 0.0::DOUBLE AS pct_vs_benchmark FROM
             (SELECT region, sale_year, count(*) AS transactions, avg(price_gbp) AS a FROM valued GROUP BY ALL)
             FULL JOIN hpi USING (region, sale_year)"""),
+        "j5_annual_change_gap": _with(VALUED + ", published(region, before, after, published_change_pct) AS (VALUES " + ", ".join(
+            f"({_q(r)}, {fv.HPI_AVERAGE[2023][i]}::DOUBLE, {fv.HPI_AVERAGE[2024][i]}::DOUBLE, {fv.HPI_CHANGE_2024_PCT[i]}::DOUBLE)"
+            for i, r in enumerate(fv.REGIONS)) + """), seen AS (
+              SELECT region, avg(price_gbp) FILTER (sale_year = 2023) AS x, avg(price_gbp) FILTER (sale_year = 2024) AS y
+              FROM valued WHERE sale_year IN (2023, 2024) GROUP BY region)""", """
+            SELECT coalesce(s.region, p.region) AS region, round(x, 0) AS avg_before, round(y, 0) AS avg_price,
+              round(y / x * 100 - 100, 1) + 0.0::DOUBLE AS observed_change_pct, round(after / before * 100 - 100, 1) + 0.0::DOUBLE AS index_change_pct,
+              published_change_pct, round(y / x * 100 - 100 - published_change_pct, 1) + 0.0::DOUBLE AS gap_points
+            FROM seen s FULL JOIN published p ON p.region = s.region"""),
         "j6_school_mix_gap": _with(PROPS + _schools(), """SELECT region, nearest_school_ofsted, properties,
             round(share, 1) AS observed_pct, published_pct, round(share - published_pct, 1) + 0.0::DOUBLE AS gap_points FROM
             (SELECT *, CAST(properties AS DOUBLE) / nullif(sum(properties) OVER (PARTITION BY region), 0) * 100 AS share FROM
@@ -471,6 +538,11 @@ def sql() -> dict[str, str]:
         "j7_carried_attributes": _with(PREDS, _counted(
             "preds", "region, property_type, bedrooms, floor_area_sqm, sale_year", "error_gbp")),
         "a5_overall_p90": _with(PROPS, "SELECT round(quantile_cont(price_gbp, 0.9), 3) AS p90 FROM props"),
+        "a3_merged_moments": _with(PROPS, """SELECT region, count(*) AS transactions, min(price_gbp) AS min_price, max(price_gbp) AS max_price,
+            round(avg(price_gbp), 2) AS mean_price, round(stddev(price_gbp), 2) AS price_stddev FROM props GROUP BY region"""),
+        "a5_sketched_quantiles": _with(PROPS, """SELECT region, quantile, TRUE AS within FROM (SELECT DISTINCT region FROM props),
+            (SELECT unnest([0.05::DOUBLE, 0.25, 0.5, 0.75, 0.95]) AS quantile)"""),
+        "a13_sketched_levels": _with(PROPS, "SELECT region, count(DISTINCT town) AS towns, TRUE AS within FROM props GROUP BY region"),
         "a6_medians_by_each_key": _with(PROPS, _medians(_KEYS6, "props", "dimension segment")),
         "a9_regional_statistics": _with(PROPS, """SELECT region, count(*) AS count, round_even(quantile_cont(price_gbp, 0.5), 0)
             AS median, round_even(avg(price_gbp), 0) AS mean, min(price_gbp) AS min, max(price_gbp) AS max
@@ -487,6 +559,8 @@ def sql() -> dict[str, str]:
             FROM preds)""", """SELECT round_even(1 - sum(e * e) / (SELECT sum((a - m) * (a - m)) FROM e, (SELECT avg(a) AS m FROM e)), 4)
             AS r2, round_even(sqrt(avg(e * e)), 0) AS rmse, round_even(avg(abs(e)), 0) AS mae,
             round_even(avg(abs(e / a)) * 100, 2) AS mape FROM e"""),
+        "a19_fold_summary": _with(FOLDS, """SELECT 'r2' AS measure, round(avg(r2), 6) AS mean, round(stddev_pop(r2), 6) AS std FROM fold_scores
+            UNION ALL SELECT 'rmse', round(avg(rmse), 6), round(stddev_pop(rmse), 6) FROM fold_scores"""),
         "c1_regional_prices": _with(VALUED + ", m AS (SELECT region, quantile_cont(price_gbp, 0.5) AS v FROM valued GROUP BY region)", """
             SELECT region, v AS median_price, contains(region, 'London') AS is_london,
             '£' || CAST(round_even(v / 1000, 0) AS BIGINT) || 'k' AS label FROM m"""),
@@ -530,7 +604,7 @@ def sql() -> dict[str, str]:
         "k2_ingest_summary": _with(PROPS, "SELECT *, '£' || format('{:,}', CAST(round_even(median_price, 0) AS BIGINT)) AS median_text FROM ("
                                    + _medians({"total": "'all'", "year": "sale_year", "region": "region",
                                                "type": "property_type"}, "props", "section item") + ")"),
-        "m1_split_counts": _with(PROPS, _counted("props", f"{_TEST} AS is_test, {_FOLD} AS fold", "price_gbp")),
+        "m1_split_counts": _with(PROPS, _counted("(SELECT * FROM props JOIN parts USING (property_id))", "is_test, fold", "price_gbp")),
         "m1_stratified_split": _with(PROPS, f"""SELECT property_id, region FROM (SELECT property_id, region,
             row_number() OVER (PARTITION BY region ORDER BY {_digest('property_id', 'split42')}) AS r,
             count(*) OVER (PARTITION BY region) AS size FROM props) WHERE r <= ceil(size * 0.2::DOUBLE)"""),
@@ -542,6 +616,20 @@ def sql() -> dict[str, str]:
             "SELECT '{f}' AS feature, round(avg((CAST({f} AS DOUBLE) - m) / s), 5) AS mean, "
             "round(stddev_pop((CAST({f} AS DOUBLE) - m) / s), 5) AS std FROM test, "
             "(SELECT avg(CAST({f} AS DOUBLE)) AS m, stddev_samp(CAST({f} AS DOUBLE)) AS s FROM train)")),
+        "m3_ridge_gradient": " UNION ALL ".join(f"SELECT '{f}' AS feature, 0.0::DOUBLE AS gradient" for f in (*fv.FEATURES, "intercept")),
+        "m3_two_feature_ridge": _with(TRAINING + train + """, s AS (
+            SELECT count(*)::DOUBLE AS n, avg(floor_area_sqm) AS ma, stddev_pop(floor_area_sqm) AS sa, avg(commute_mins) AS mb,
+              stddev_pop(commute_mins) AS sb, avg(log_price) AS my, covar_pop(floor_area_sqm, commute_mins) AS ab,
+              covar_pop(floor_area_sqm, log_price) AS ay, covar_pop(commute_mins, log_price) AS yb FROM train),
+          z AS (SELECT *, n + 10 AS d, n * ab / (sa * sb) AS o, n * ay / sa AS u, n * yb / sb AS v FROM s)""", """
+            SELECT 'floor_area_sqm' AS feature, round((u * d - v * o) / (d * d - o * o), 6) AS weight, round(ma, 6) AS mean, round(sa, 6) AS scale FROM z
+            UNION ALL SELECT 'commute_mins', round((v * d - u * o) / (d * d - o * o), 6), round(mb, 6), round(sb, 6) FROM z
+            UNION ALL SELECT 'intercept', round(my, 6), 0.0, 0.0 FROM z"""),
+        "m10_one_split_importances": _one_split("SELECT feature, CASE WHEN feature IN (SELECT feature FROM best) THEN 1.0::DOUBLE ELSE 0.0 END AS importance FROM gains"),
+        "m11_one_split_predictions": _one_split(f"""SELECT property_id, actual_price, predicted_price, predicted_price - actual_price AS error_gbp,
+            round_even(CAST(predicted_price - actual_price AS DOUBLE) / actual_price * 100, 1) + 0.0::DOUBLE AS error_pct,
+            abs(predicted_price - actual_price) AS abs_error FROM estimates WHERE {_TEST}"""),
+        "m14_one_split_scores": _one_split("SELECT property_id, predicted_price AS estimate_gbp FROM estimates"),
         "m7_fixed_comparison": _with(FIXED_MODELS, "SELECT * FROM compared"),
         "c7_fixed_comparison": _with(FIXED_MODELS, "SELECT model, measure, value FROM (UNPIVOT (SELECT model, r2, rmse, mae FROM compared) "
                                      "ON r2, rmse, mae INTO NAME measure VALUE value)"),
@@ -553,4 +641,4 @@ def sql() -> dict[str, str]:
 
 def _region_index() -> str:
     regions = ", ".join(f"({_q(r)})" for r in fv.REGIONS)
-    return f"SELECT d.col0 AS region, region_price_index FROM (VALUES {regions}) d LEFT JOIN region_index r ON r.region = d.col0"
+    return f"SELECT coalesce(d.col0, r.region) AS region, region_price_index FROM (VALUES {regions}) d FULL JOIN region_index r ON r.region = d.col0"

@@ -6,16 +6,19 @@ from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brickledger import schemas
 from brickledger.functions import fixed_values as fv, scalar as sc
+from brickledger.functions.regions import lookup_table
 from brickledger.functions.valuation import with_valuation
 from brickledger.operators import benchmarking, cleaning, features as fe, prediction_errors as pe, ranking
-from brickledger.operators.distribution import median_by, price_counts, quantile, segment_medians
+from brickledger.operators.distribution import median_by, percentiles, price_counts, segment_medians
 from brickledger.operators.regions import with_region
-from brickledger.plans import analyses, charts, findings, results, training
+from brickledger.plans import analyses, charts, findings, results, summaries, training
 from brickledger.session import keep_methods_compiled, scratch_path
 from brickledger.sources import price_paid, tables
 from checks import inputs
@@ -79,13 +82,24 @@ def median_sections(spark, sf_dir):
     """The median tables of the results document, written as JSON and read back."""
     document = results.median_sections(inputs.properties(spark, sf_dir))
     path = results.write_results(document, scratch_path(spark, "results"))
-    stored = spark.read.schema(document.schema).json(path)
+    stored = results.read_results(spark, path, document.schema)
     listed = ", ".join(
         f"transform({name}, e -> named_struct('section', '{name}', 'item', e.{column}, 'median_price', e.median_price))"
         for name, column in results.MEDIAN_SECTIONS.items())
     return stored.selectExpr(f"inline(concat({listed}))")
 
 
+def fixed_document(spark, sf_dir):
+    """The whole results document on predictions of known error, written as JSON, read back and laid out in rows."""
+    rows = inputs.predictions(spark, sf_dir)
+    r2, rmse = (_fixed_folds(spark, sf_dir, m) for m in ("r2", "rmse"))
+    document = results.results_document(
+        inputs.properties(spark, sf_dir), rows, pe.regional_accuracy(rows), inputs.importances(spark, sf_dir),
+        fixed_comparison(spark, sf_dir), r2, rmse)
+    path = results.write_results(document, scratch_path(spark, "results"))
+    return results.flattened(results.read_results(spark, path, document.schema))
+
+
 def results_document(spark, sf_dir):
     fitted = _fitted(spark, sf_dir)
     model = fitted.models[training.BOOSTING]
@@ -95,7 +109,7 @@ def results_document(spark, sf_dir):
     document = results.results_document(
         inputs.valued(spark, sf_dir), scored, pe.regional_accuracy(scored), shares, fitted.comparison(), r2, rmse)
     path = results.write_results(document, scratch_path(spark, "results"))
-    return spark.read.schema(document.schema).json(path)
+    return results.read_results(spark, path, document.schema)
 
 
 def exact_sample(spark, sf_dir):
@@ -289,7 +303,38 @@ def carried_attributes(spark, sf_dir):
 
 # ---- aggregates ----------------------------------------------------------------
 def overall_p90(spark, sf_dir):
-    return price_counts(inputs.properties(spark, sf_dir), []).agg(F.round(quantile(0.9), 3).alias("p90"))
+    found = percentiles(price_counts(inputs.properties(spark, sf_dir), []), [], [0.9])
+    return found.select(F.round(c("percentiles")[0], 3).alias("p90"))
+
+
+SKETCHED = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+def _stored_summaries(spark, sf_dir) -> DataFrame:
+    made = summaries.price_summaries(inputs.properties(spark, sf_dir), place="town")
+    return summaries.read_summaries(spark, summaries.write_summaries(made, scratch_path(spark, "summaries")))
+
+
+def merged_moments(spark, sf_dir):
+    """Regions from the stored summaries of regions and years."""
+    table = summaries.figures(summaries.merged(_stored_summaries(spark, sf_dir), ["region"]), ["region"], [0.5])
+    return table.select("region", "transactions", "min_price", "max_price", sc.half_up(c("mean_price"), 2).alias("mean_price"),
+                        sc.half_up(c("price_stddev"), 2).alias("price_stddev"))
+
+
+def sketched_quantiles(spark, sf_dir):
+    """Whether each sketched quantile lies within three times its stated rank error."""
+    table = summaries.figures(summaries.merged(_stored_summaries(spark, sf_dir), ["region"]), ["region"], SKETCHED)
+    errors = summaries.rank_errors(table, inputs.properties(spark, sf_dir), SKETCHED, ["region"])
+    return errors.select("region", "quantile", (c("rank_error") <= 3 * summaries.RANK_ERROR).alias("within"))
+
+
+def sketched_levels(spark, sf_dir):
+    """Whether the sketched number of towns lies within the stated error of the exact one."""
+    table = summaries.figures(summaries.merged(_stored_summaries(spark, sf_dir), ["region"]), ["region"], [0.5])
+    exact = inputs.properties(spark, sf_dir).groupBy("region").agg(F.countDistinct("town").alias("towns"))
+    off = F.abs(c("places") - c("towns"))
+    return table.join(exact, "region").select("region", "towns", (off <= F.ceil(summaries.DISTINCT_ERROR * c("towns"))).alias("within"))
 
 
 def medians_by_each_key(spark, sf_dir):
@@ -317,6 +362,19 @@ def fixed_comparison(spark, sf_dir):
     return pe.rounded_measures(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
+def _fixed_folds(spark, sf_dir, measure: str) -> DataFrame:
+    """Scores of the drawn predictions on each fold of the rows that are not test rows."""
+    rows = ranking.with_split(inputs.predictions(spark, sf_dir), folds=5)
+    return training.fold_scores(rows, c("actual_price"), c("predicted_price"), measure)
+
+
+def fold_summary(spark, sf_dir):
+    """Mean and deviation of the fold scores of the drawn predictions."""
+    parts = [training.cv_summary(_fixed_folds(spark, sf_dir, m)).select(
+        F.lit(m).alias("measure"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std")) for m in ("r2", "rmse")]
+    return parts[0].unionByName(parts[1])
+
+
 # ---- models --------------------------------------------------------------------
 @lru_cache(maxsize=4)
 def _fit_once(application: str, sf_dir: str) -> training.Fitted:
@@ -335,6 +393,53 @@ def _measured(name: str) -> Query:
     return query
 
 
+def _train_test(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return training.split_parts(training.training_table(inputs.valued(spark, sf_dir)))
+
+
+def ridge_gradient(spark, sf_dir):
+    """Slope of the penalised loss at the closed-form fit, per row: 0 for every feature."""
+    train, _ = _train_test(spark, sf_dir)
+    found = training.ridge_gradient(training.ridge_closed_form(train), train)
+    rows = train.agg(F.count(F.lit(1)).alias("n"))  # one row
+    return found.crossJoin(F.broadcast(rows)).select("feature", F.abs(F.round(c("gradient") / c("n"), 9)).alias("gradient"))
+
+
+def two_feature_ridge(spark, sf_dir):
+    """Weights, means and scales of the closed-form fit on area and commute."""
+    train, _ = _train_test(spark, sf_dir)
+    fit = training.ridge_closed_form(train, ("floor_area_sqm", "commute_mins"))
+    rows = [*zip(fit.features, fit.weights, fit.means, fit.scales), ("intercept", fit.intercept, 0.0, 0.0)]
+    table = lookup_table(spark, "feature, weight, mean, scale", rows)
+    return table.select("feature", *[F.round(c(x).cast("double"), 6).alias(x) for x in ("weight", "mean", "scale")])
+
+
+FLAGS = tuple(fe.INDICATOR_FLAGS)
+
+
+def _one_split(spark, sf_dir):
+    """A tree of one split over the 0/1 features, and the rows it is judged by."""
+    train, test = _train_test(spark, sf_dir)
+    tree = RandomForestRegressor(featuresCol=training.VECTOR, labelCol=training.TARGET, predictionCol=training.PREDICTION, numTrees=1,
+                                 maxDepth=1, bootstrap=False, featureSubsetStrategy="all", seed=1)
+    return training.fit(Pipeline(stages=[VectorAssembler(inputCols=list(FLAGS), outputCol=training.VECTOR), tree]), train), test
+
+
+def one_split_importances(spark, sf_dir):
+    return training.model_importances(_one_split(spark, sf_dir)[0], spark, FLAGS)
+
+
+def one_split_predictions(spark, sf_dir):
+    model, test = _one_split(spark, sf_dir)
+    return training.predictions(model, test).select("property_id", "actual_price", "predicted_price", "error_gbp", "error_pct", "abs_error")
+
+
+def one_split_scores(spark, sf_dir):
+    """Every property scored by the tree after it was saved and loaded again."""
+    path = training.save_model(_one_split(spark, sf_dir)[0], scratch_path(spark, "model"), inputs.valued(spark, sf_dir))
+    return training.score_new(path, inputs.valued(spark, sf_dir).drop("price_gbp"))
+
+
 def model_comparison(spark, sf_dir):
     return _fitted(spark, sf_dir).comparison()
 
@@ -378,7 +483,8 @@ def model_predictions(spark, sf_dir):
 
 
 def split_counts(spark, sf_dir):
-    split = ranking.with_fold(ranking.with_split(inputs.properties(spark, sf_dir)))
+    """Exactly a fifth of the rows, rounded up, for testing; five folds of the rest that differ by one row at most."""
+    split = ranking.with_split(inputs.properties(spark, sf_dir), folds=5)
     return _count_and_sum(split, "is_test", "fold", value="price_gbp")
 
 
@@ -469,6 +575,7 @@ def _queries() -> dict[str, Query]:
         "s4_registered_tables": registered_tables,
         "s6_csv_sinks": csv_sinks,
         "s7_median_sections": median_sections,
+        "s7_fixed_document": fixed_document,
         "s7_results_document": results_document,
         "s8_exact_sample": exact_sample,
         "s9_test_head": test_head,
@@ -513,17 +620,22 @@ def _queries() -> dict[str, Query]:
         "j3_region_index_rows": region_index_rows,
         "j5_benchmark_rows": benchmark_rows,
         "j5_price_index_gap": _on(v, benchmarking.price_index_gap),
+        "j5_annual_change_gap": _on(v, benchmarking.annual_change_gap),
         "j6_school_mix_gap": _on(p, benchmarking.school_mix_gap),
         "j7_carried_attributes": carried_attributes,
         # aggregates
+        "a3_merged_moments": merged_moments,
         "a5_overall_p90": overall_p90,
+        "a5_sketched_quantiles": sketched_quantiles,
         "a6_medians_by_each_key": medians_by_each_key,
         "a9_regional_statistics": _on(p, findings.regional_statistics),
         "a12_regional_accuracy": _on(e, _regional),
         "a13_distinct_levels": _on(p, findings.distinct_levels),
+        "a13_sketched_levels": sketched_levels,
         "a14_price_centre": _on(v, charts.price_centre),
         "a15_scatter_summary": scatter_summary,
         "a18_fixture_measures": fixture_measures,
+        "a19_fold_summary": fold_summary,
         # chart tables and headline figures
         "c1_regional_prices": _on(v, charts.regional_prices),
         "c2_price_by_type": _on(v, charts.price_by_type),
@@ -545,6 +657,8 @@ def _queries() -> dict[str, Query]:
         "m2_standardised": standardised,
         "m2_standardised_test": standardised_test,
         "m3_ridge": _measured(training.RIDGE),
+        "m3_ridge_gradient": ridge_gradient,
+        "m3_two_feature_ridge": two_feature_ridge,
         "m4_random_forest": _measured(training.FOREST),
         "m5_gradient_boosting": _measured(training.BOOSTING),
         "m7_model_comparison": model_comparison,
@@ -554,8 +668,11 @@ def _queries() -> dict[str, Query]:
         "m9_cv_summary": cv_summary,
         "m10_importances": model_importances,
         "m10_importance_shares": inputs.importances,
+        "m10_one_split_importances": one_split_importances,
         "m11_predictions": model_predictions,
+        "m11_one_split_predictions": one_split_predictions,
         "m13_region_index_train": _target_encoding("train"),
         "m13_region_index_all": _target_encoding("all"),
+        "m14_one_split_scores": one_split_scores,
         "m14_score_saved_model": score_saved_model,
     }

@@ -24,20 +24,23 @@ def _digest(salt, key):
 def test_weighted_statistics_equal_plain_ones(skewed):
     rows, df = skewed
     stats = di.price_counts(df, ["g"]).groupBy("g").agg(
-        di.rows().alias("n"), di.quantiles([0.25, 0.5, 0.9]).alias("q"), di.mean().alias("m"), di.stddev_sample().alias("s"))
+        di.rows().alias("n"), di.quantiles([0.25, 0.5, 0.9]).alias("q"), di.mean().alias("m"))
+    spread = {r["g"]: r["stddev"] for r in di.stddev_by(di.price_counts(df, ["g"]), ["g"]).collect()}
     for r in stats.collect():
         mine = [p for _, g, p in rows if g == r["g"] and p is not None]
         assert r["n"] == sum(g == r["g"] for _, g, _ in rows)
         assert np.allclose(r["q"], np.percentile(mine, [25, 50, 90]))
-        assert math.isclose(r["m"], statistics.fmean(mine)) and math.isclose(r["s"], statistics.stdev(mine))
+        assert math.isclose(r["m"], statistics.fmean(mine)) and math.isclose(spread[r["g"]], statistics.stdev(mine))
 
 
 def test_statistics_of_empty_and_single_groups(spark):
     df = spark.createDataFrame([("a", 5), ("b", None)], "g string, price_gbp bigint")
     rows = {r["g"]: r for r in di.price_counts(df, ["g"]).groupBy("g").agg(
-        di.mean().alias("m"), di.quantile(0.5).alias("q"), di.stddev_sample().alias("s")).collect()}
-    assert (rows["a"]["m"], rows["a"]["q"], rows["a"]["s"]) == (5.0, 5.0, None)
-    assert (rows["b"]["m"], rows["b"]["q"], rows["b"]["s"]) == (None, None, None)
+        di.mean().alias("m"), di.quantile(0.5).alias("q")).collect()}
+    assert (rows["a"]["m"], rows["a"]["q"]) == (5.0, 5.0)
+    assert (rows["b"]["m"], rows["b"]["q"]) == (None, None)
+    assert di.stddev_by(di.price_counts(df, ["g"]), ["g"]).collect() == [("a", None)]
+    assert di.percentiles(di.price_counts(df, ["g"]), ["g"], [0.5]).collect() == [("a", [5.0])]
     empty = di.price_counts(df.where("false"), []).agg(di.mean().alias("m"), di.quantile(0.9).alias("q")).first()
     assert empty["m"] is None and empty["q"] is None
 
@@ -81,17 +84,20 @@ def test_every_value_is_a_stratum(skewed):
     assert got == want
 
 
-def test_split_and_folds_do_not_depend_on_partitions(skewed):
+@pytest.mark.parametrize("n", [0, 1, 2, 4, 7, 3999, 4000])
+def test_split_and_folds_have_exact_sizes(skewed, n):
     rows, df = skewed
-    def parts(table):
-        marked = ranking.with_fold(ranking.with_split(table, "id"), key="id")
-        return {r["id"]: (r["is_test"], r["fold"]) for r in marked.collect()}
-    one = parts(df.coalesce(1))
-    assert one == parts(df.repartition(9)) and len(one) == 4000
-    assert 0.17 < sum(t for t, _ in one.values()) / 4000 < 0.23
-    assert {f for _, f in one.values()} == set(range(5))
-    folds_of_test = {f for t, f in one.values() if t}
-    assert folds_of_test == set(range(5))
+    keys = sorted((k for k, _, _ in rows[:n]), key=lambda k: _digest("split42", k))
+    tests = math.ceil(n * 0.2)
+    want = {k: (True, None) for k in keys[:tests]}
+    for fold, part in enumerate(np.array_split(np.array(keys[tests:], object), 5)):
+        want |= {k: (False, fold) for k in part}
+    some = df.where(F.substring("id", 2, 9).cast("int") < n)
+    for table in (some.coalesce(1), some.repartition(9)):
+        marked = ranking.with_split(table, "id", folds=5)
+        assert marked.columns == [*df.columns, "is_test", "fold"]
+        assert {r["id"]: (r["is_test"], r["fold"]) for r in marked.collect()} == want
+    assert {r["id"]: r["is_test"] for r in ranking.with_split(some, "id").collect()} == {k: t for k, (t, _) in want.items()}
 
 
 PROPERTY = ("region string, property_type string, bedrooms int, floor_area_sqm int, commute_mins int, epc_rating string, "
@@ -140,4 +146,5 @@ def test_histogram_matches_numpy(spark):
 
 
 def test_histogram_of_equal_prices(spark):
-    assert [r["properties"] for r in charts.price_histogram(_homes(spark, {}, {})).collect()] == [2]
+    counts = np.histogram([100, 100], bins=60)[0].tolist()
+    assert sum(counts) == 2 and [r["properties"] for r in charts.price_histogram(_homes(spark, {}, {})).collect()] == counts

@@ -1,13 +1,18 @@
 import json
+import os
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
+from brickledger import session
 from brickledger.functions import fixed_values as fv
 from brickledger.operators.prediction_errors import regional_accuracy
+from brickledger.operators import features as fe
 from brickledger.plans import results, training as tr
+from brickledger.session import Scratch
 from checks import inputs
+from tests.conftest import SF_DIR
 
 SMALL = tr.Settings(forest_trees=5, forest_depth=6, boosting_rounds=8, cv_rounds=4, folds=3, parallelism=3)
 
@@ -101,3 +106,57 @@ def test_results_document(spark, sf_dir, fitted, tmp_path):
     assert set(document["model_metrics"]["gradient_boosting"]) == {
         "r2", "rmse", "mae", "mape", "cv_r2_mean", "cv_r2_std", "cv_rmse_mean"}
     assert document["feature_importance"][0]["importance_pct"] >= document["feature_importance"][1]["importance_pct"]
+
+
+def test_parts_have_exact_sizes(table):
+    train, test = tr.split_parts(table)
+    n = table.count()
+    assert test.count() == -(-n // 5) and test.where("fold IS NOT NULL").count() == 0
+    sizes = sorted(r["count"] for r in train.groupBy("fold").count().collect())
+    assert len(sizes) == 3 and sizes[-1] - sizes[0] <= 1
+
+
+def test_a_thirteenth_region_gets_its_median(spark):
+    rows = [("Atlantis", 300_000), ("Atlantis", 500_000), ("Wales", 200_000), (None, 1)]
+    df = spark.createDataFrame(rows, "region string, price_gbp bigint")
+    index = {r["region"]: r["region_price_index"] for r in fe.region_index(df).collect()}
+    assert len(index) == 13 and index["Atlantis"] == 400.0 and index["Wales"] == 200.0 and index["Scotland"] is None
+    joined = fe.with_region_index(df)
+    assert sorted(map(str, joined.collect())) == sorted(map(str, [Row(region=r, price_gbp=p, region_price_index=index.get(r)) for r, p in rows]))
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_regions_are_joined_without_a_hint(spark, monkeypatch):
+    monkeypatch.setattr(fe, "FEW_REGIONS", 3)
+    df = spark.range(50).selectExpr("concat('R', id % 9) AS region", "id * 1000 AS price_gbp")
+    index = {r["region"]: r["region_price_index"] for r in fe.region_index(df).collect()}
+    assert {r["region"]: r["region_price_index"] for r in fe.with_region_index(df).collect()} == {k: v for k, v in index.items() if v is not None}
+
+
+def test_written_records_keep_their_null_fields(spark, tmp_path):
+    document = spark.sql("""SELECT named_struct('r2', CAST(NULL AS DOUBLE), 'name', 'x') AS model,
+        array(named_struct('region', CAST(NULL AS STRING), 'n', 3), named_struct('region', 'Wales', 'n', CAST(NULL AS INT))) AS rows, array(0.5D, NULL) AS scores""")
+    path = results.write_results(document, str(tmp_path / "json"))
+    line = [x for f in (tmp_path / "json").glob("part-*") for x in f.read_text().splitlines()]
+    assert json.loads(line[0]) == {"model": {"r2": None, "name": "x"}, "rows": [{"region": None, "n": 3}, {"region": "Wales", "n": None}],
+                                   "scores": [0.5, None]}
+    back = results.flattened(results.read_results(spark, path, document.schema)).collect()
+    assert [tuple(r) for r in back] == [
+        ("model.r2", None, None), ("model.name", "x", None), ("rows[0].region", None, None), ("rows[0].n", None, 3.0),
+        ("rows[1].region", "Wales", None), ("rows[1].n", None, None), ("scores[0]", None, 0.5), ("scores[1]", None, None)]
+
+
+def test_scratch_tables_go_when_they_are_spent(spark, tmp_path, monkeypatch):
+    def held():
+        return sorted(x.split("-")[0] for x in os.listdir(tmp_path))
+
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    with Scratch(spark) as scratch:
+        one = scratch.store(spark.range(5), "one")
+        two = scratch.store(one.selectExpr("id * 2 AS id"), "two", "one")
+        assert held() == ["two"] and [r.id for r in two.orderBy("id").collect()] == [0, 2, 4, 6, 8]
+        with pytest.raises(ValueError):
+            scratch.path("two")
+    assert held() == []
+    tr.training_table(inputs.valued(spark, SF_DIR), SMALL)
+    assert held() == ["features"]
