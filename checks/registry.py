@@ -494,14 +494,14 @@ def stratified_split(spark, sf_dir):
 
 
 def feature_statistics(spark, sf_dir):
-    table = training.training_table(inputs.valued(spark, sf_dir), materialise=False)
+    table = training.training_table(inputs.valued(spark, sf_dir))
     stats = training.feature_statistics(training.split_parts(table)[0])
     return stats.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 def standardised(spark, sf_dir):
     """Training features after scaling: mean 0 and deviation 1."""
-    table = training.training_table(inputs.valued(spark, sf_dir), materialise=False)
+    table = training.training_table(inputs.valued(spark, sf_dir))
     train, _ = training.split_parts(table)
     scaled = training.standardise(train, training.feature_statistics(train))
     return training.feature_statistics(scaled).select(

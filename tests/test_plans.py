@@ -88,7 +88,7 @@ def test_no_pass_too_many_over_the_mart(spark, sf_dir, tmp_path):
         assert "ReusedExchange" in _plan(table) or _plan(table).count("FileScan") == 1
     # the split reads keys twice to find its ends; the rows are flagged without a shuffle of their own
     split = _plan(ranking.with_split(homes, folds=5))
-    assert split.count("FileScan") == 4 and split.count("price_gbp") >= 1
+    assert split.count("FileScan") == 3
     assert not re.search(r"Exchange (hash|range)partitioning\(property_id", split)
     profile = analyses.top_decile_profile(homes)
     profile.collect()
