@@ -5,7 +5,8 @@ spans, adds what the rules do not cover: numbers and addresses written in other
 ways. It reads characters in overlapping windows; the windows' scores of every
 character are weighed by how much context the window had there, and one Viterbi
 pass over the whole stretch reconciles them, so no span depends on where a window
-happened to end.
+happened to end. Each kind has a tag for its first character and one for the
+rest, and a rest can only follow its own kind, so neighbours stay apart.
 
 Each of the four kinds holds a digit, an at sign or a spelled-out one. Stretches
 of text further than a window's margin from any of these hold no span and are
@@ -80,9 +81,15 @@ def joined(spans: list[Span]) -> str:
 # tagger
 
 WINDOW, STEP, MARGIN = 96, 64, 48
-TAGS = len(KINDS) + 1
-TRIGGER = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]", re.IGNORECASE)
-_MARKS = " .-+()[]{}_%@:/,\n'\"=#"
+TAGS = 2 * len(KINDS) + 1  # outside, then begin and inside of each kind
+_SPOKEN = r"\b[A-Za-z0-9._%+-]+ at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+\b"
+TRIGGER = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]|" + _SPOKEN, re.IGNORECASE)
+#: Characters with a class of their own; the letters are those of a spelled-out at and dot.
+_MARKS = " .-+()[]{}_%@:/,\n'\"=#atdo"
+#: Added to the learned transitions: inside follows begin or inside of its own kind only.
+LEGAL = np.zeros((TAGS, TAGS))
+for _k in range(len(KINDS)):
+    LEGAL[[t for t in range(TAGS) if (t + 1) // 2 != _k + 1], 2 * _k + 2] = -1e4
 CLASSES = len(_MARKS) + 5
 
 
@@ -164,7 +171,7 @@ class Tagger:
         both = np.concatenate([ahead, back[:, ::-1]], axis=2)
         score = both @ self.w["o"] + self.w["ob"]
         top = score.max(axis=2, keepdims=True)
-        gain, move = np.exp(score - top), np.exp(self.w["t"])
+        gain, move = np.exp(score - top), np.exp(self.w["t"] + LEGAL)
         alpha, beta, total = np.empty_like(gain), np.ones_like(gain), top.sum()
         alpha[:, 0] = gain[:, 0]
         for i in range(steps):
@@ -181,7 +188,7 @@ class Tagger:
         edge = alpha[:, :-1, :, None] * move * (gain[:, 1:] * beta[:, 1:])[:, :, None, :]
         edge /= edge.sum(axis=(2, 3), keepdims=True)
         true = np.eye(TAGS)[tags]
-        want = (score * true).sum() + self.w["t"][tags[:, :-1], tags[:, 1:]].sum()
+        want = (score * true).sum() + (self.w["t"] + LEGAL)[tags[:, :-1], tags[:, 1:]].sum()
         slope = (share - true) / n
         grads = {k: np.zeros_like(v) for k, v in self.w.items()}
         grads["t"] = (edge.sum(axis=(0, 1)) - np.einsum("nsi,nsj->ij", true[:, :-1], true[:, 1:])) / n
@@ -197,7 +204,8 @@ class Tagger:
         for text, spans in examples:
             tag = np.zeros(len(text), np.int64)
             for kind, start, end in spans:
-                tag[start:end] = KINDS.index(kind) + 1
+                tag[start:end] = 2 * KINDS.index(kind) + 2
+                tag[start] -= 1
             kinds = char_classes(text)
             for at in range(0, max(1, len(text) - WINDOW // 2), STEP):
                 part, own = kinds[at:at + WINDOW], tag[at:at + WINDOW]
@@ -234,7 +242,7 @@ class Tagger:
             for s, part in zip(some, score):
                 total[s:s + size] += part * trust[:size]
                 weight[s:s + size] += trust[:size]
-        emission, move = total / weight, self.w["t"]
+        emission, move = total / weight, self.w["t"] + LEGAL
         best, back = emission[0], np.zeros(emission.shape, np.int8)
         for i in range(1, len(emission)):
             ways = best[:, None] + move
@@ -260,40 +268,88 @@ def stretches(text: str, triggers: list[int] | None = None) -> list[tuple[int, i
 
 
 _SPELLED = re.compile(r"[(\[{] ?at ?[)\]}]", re.IGNORECASE)
+_SPELLED_OUT = re.compile(_SPOKEN, re.IGNORECASE)
 
 
 def plausible(kind: str, text: str) -> bool:
     """What a tagged span must hold to be its kind, whatever way it is written."""
     digits = "".join(_DIGITS.findall(text))
     if kind == "email":
-        return ("@" in text or bool(_SPELLED.search(text))) and "." in text.replace("(dot)", ".").replace("[dot]", ".")
+        marked = ("@" in text or bool(_SPELLED.search(text))) and "." in text.replace("(dot)", ".").replace("[dot]", ".")
+        return marked or bool(_SPELLED_OUT.fullmatch(text))
     if kind == "ip":
         parts = [p for p in re.split(r"[^0-9]+", text) if p]
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
-        return 12 <= len(digits) <= 19 and luhn(digits)
+        return 12 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[^0-9 .-]", text)
     return 9 <= len(digits) <= 15 and bool(re.search(r"[ ().-]", text)) and not re.search(r"[^0-9 ()+./-]", text)
 
 
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    while a < b and text[a] in " .,;:\n":
+        a += 1
+    while b > a and text[b - 1] in " .,;:\n":
+        b -= 1
+    return a, b
+
+
+def pieces(kind: str, text: str) -> list[tuple[int, int]]:
+    """Plausible spans of a kind in a tagged run that is none as a whole, from left to right, cut at blanks and commas.
+
+    Of the pieces that start at a word, cards take the one nearest to 16 digits, other kinds the shortest.
+    """
+    words = [m.span() for m in re.finditer(r"[^\s,;]+", text)]
+    out, i = [], 0
+    while i < len(words):
+        found = []
+        for j in range(i, min(len(words), i + 8)):
+            a, b = _trimmed(text, words[i][0], words[j][1])
+            if a < b and plausible(kind, text[a:b]):
+                found.append((abs(len(_DIGITS.findall(text[a:b])) - 16) if kind == "card" else 0, j, a, b))
+        if found:
+            _, j, a, b = min(found)
+            out.append((a, b))
+            i = j
+        i += 1
+    return out
+
+
+def tagged_runs(tags: np.ndarray) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Spans of the tags by run: spans of one kind that touch, or are parted by up to two characters, belong together."""
+    runs: list[tuple[str, list[tuple[int, int]]]] = []
+    kinds = (tags + 1) // 2
+    edges = np.flatnonzero((np.diff(kinds) != 0) | ((tags[1:] % 2 == 1) & (kinds[1:] > 0))) + 1
+    for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(tags)]):
+        if not kinds[start]:
+            continue
+        kind = KINDS[kinds[start] - 1]
+        if runs and runs[-1][0] == kind and start - runs[-1][1][-1][1] <= 2:
+            runs[-1][1].append((start, end))
+        else:
+            runs.append((kind, [(start, end)]))
+    return runs
+
+
 def added_spans(text: str, tagger: Tagger, base: list[Span]) -> list[Span]:
-    """Tagged spans that are plausible, stand apart from letters and digits, and meet no base span."""
+    """Tagged spans that are plausible, stand apart from letters and digits, and meet no base span.
+
+    A run with a span that is not plausible is cut anew, so neighbours are found
+    although the tagger took them for one.
+    """
     out: list[Span] = []
     taken = [(s, e) for _, s, e in base]
     for low, high in stretches(text):
-        tags = tagger.tag(text[low:high])
-        edges = np.flatnonzero(np.diff(tags)) + 1
-        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(tags)]):
-            if not tags[start]:
-                continue
-            kind, a, b = KINDS[tags[start] - 1], low + start, low + end
-            while a < b and text[a] in " .,;:\n":
-                a += 1
-            while b > a and text[b - 1] in " .,;:\n":
-                b -= 1
-            alone = not (a and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())
-            if a < b and alone and plausible(kind, text[a:b]) and not any(s < b and a < e for s, e in taken):
-                out.append((kind, a, b))
-                taken.append((a, b))
+        for kind, spans in tagged_runs(tagger.tag(text[low:high])):
+            cut = [_trimmed(text, low + a, low + b) for a, b in spans]
+            cut = [(a, b) for a, b in cut if a < b]
+            if not all(plausible(kind, text[a:b]) for a, b in cut):
+                first, last = cut[0][0], cut[-1][1]
+                cut = [(first + a, first + b) for a, b in pieces(kind, text[first:last])]
+            for a, b in cut:
+                alone = not (a and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())
+                if alone and not any(s < b and a < e for s, e in taken):
+                    out.append((kind, a, b))
+                    taken.append((a, b))
     return out
 
 
@@ -307,7 +363,8 @@ def labelled_spans(count: int = 900, seed: int = 17) -> list[tuple[str, list[Spa
     def email() -> str:
         name, place = pick(word(), f"{word()}.{digits(2)}", f"{word()}_{word()}"), f"{word()}{pick('', digits(1))}"
         top = pick("com", "org", "example.com", "co.uk", "net")
-        return pick(f"{name}@{place}.{top}", f"{name}@{place}.{top}", f"{name} (at) {place} (dot) {top}", f"{name}[at]{place}.{top}")
+        return pick(f"{name}@{place}.{top}", f"{name}@{place}.{top}", f"{name} (at) {place} (dot) {top}", f"{name}[at]{place}.{top}",
+                    *[f"{name} at {place} dot {pick('com', 'org', 'net', 'co dot uk')}"] * 2)
 
     def ip() -> str:
         parts = [str(int(rng.integers(0, 256))) for _ in range(4)]
@@ -326,7 +383,7 @@ def labelled_spans(count: int = 900, seed: int = 17) -> list[tuple[str, list[Spa
     def other() -> str:
         return pick(f"{digits(1)}.{digits(1)}.", f"version {digits(1)}.{digits(1)}.{digits(2)}", digits(int(rng.integers(1, 9))), f"{digits(4)}-{digits(2)}-{digits(2)}",
                     f"key={word()}{digits(4)}{word()}{digits(9)}", f"\"{digits(3)}{word()}{digits(5)}{word()}{digits(8)}\"", f"{word()}{digits(2)}{word()}", f"@{word()}",
-                    f"{digits(2)}:{digits(2)}", f"£{digits(3)},{digits(3)}", f"({digits(4)})", f"{digits(20)}", f"{digits(2)}%", f"#{digits(5)}", f"({word()} at {word()})")
+                    f"{digits(2)}:{digits(2)}", f"£{digits(3)},{digits(3)}", f"({digits(4)})", f"{digits(20)}", f"{digits(2)}%", f"#{digits(5)}", f"({word()} at {word()})", f"{word()} at {word()} {word()}", f"dot {word()} at")
 
     makers = {"email": email, "ip": ip, "card": card, "phone": phone}
     out = []
@@ -337,6 +394,10 @@ def labelled_spans(count: int = 900, seed: int = 17) -> list[tuple[str, list[Spa
             if draw < 0.16:
                 kind = KINDS[int(rng.integers(len(KINDS)))]
                 made = makers[kind]()
+                for again in range(pick(0, 0, 1, 2)):  # neighbours of one kind, the same or another
+                    spans.append((kind, len(text), len(text) + len(made)))
+                    text += made + pick(" ", " ", ", ", "\n")
+                    made = pick(made, makers[kind]())
                 spans.append((kind, len(text), len(text) + len(made)))
             else:
                 made = other() if draw < 0.3 else pick(word(), word(), word().capitalize())
