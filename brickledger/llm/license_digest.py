@@ -1,17 +1,24 @@
 """Licence lookup by canonical digests.
 
 A text is brought to a canonical form (case, punctuation, copyright lines and
-equivalent spellings folded), and the digest of the entire form is hash-joined
-to the digests of known licences. Units are the whole document and each of its
-lines, so a licence that is the document and a notice on one line are both
+equivalent spellings folded), and the digest of the entire form is joined by
+hash to the digests of known licences. Units are the whole document and each of
+its lines, so a licence that is the document and a notice on one line are both
 found, and nothing that merely resembles one is. Only DataFrame functions run.
+
+The known digests of a table of measured size go to all tasks as one map, so a
+document's canonical form is made once and its units are looked up where they
+are; a larger table is joined.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from brickledger.llm.support import whole_text
+from brickledger.llm.support import stored, whole_text
+
+#: Known digests up to which they are sent along as a map.
+MAP_ENTRIES = 5_000
 
 # Spellings read as one, the second form of each pair is kept.
 SPELLINGS = [
@@ -132,25 +139,34 @@ def scan(df: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str
     """Per row: ``canonical_sha256``, ``license_id`` of the entire text (null: not a licence),
     ``line_licenses`` (distinct ids of its notice lines, sorted, comma-joined, empty: none) and ``n_license_lines``.
 
-    Null reads as empty; an empty canonical text is never a licence. Rows of the
-    same id and canonical text share one result row each; an empty table gives
-    an empty result. Other columns are not read. ``known`` carries no broadcast
-    hint: Spark broadcasts it while it is under its threshold.
+    Null reads as empty; an empty canonical text is never a licence. Repeated
+    rows come back as often as they went in, each with its own count; an empty
+    table gives an empty result. Other columns are not read.
     """
-    licences = known_digests(known).where(F.col("digest") != F.sha2(F.lit(""), 256))
+    licences = stored(known_digests(known).where(F.col("digest") != F.sha2(F.lit(""), 256)), "licences")
     texts = df.select(F.col(id_col).alias("doc_id"), canonical_lines(whole_text(text_col)).alias("lines"))
-    whole = texts.select("doc_id", "lines", F.sha2(canonical_whole(F.col("lines")), 256).alias("canonical_sha256"))
-    units = whole.select("doc_id", "canonical_sha256", F.explode(F.split("lines", "\n")).alias("line"))
-    hits = (units.select("doc_id", "canonical_sha256", F.sha2(F.trim("line"), 256).alias("digest"))
-            .join(licences, "digest")
-            .groupBy("doc_id", "canonical_sha256", "license_id").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("doc_id", "canonical_sha256").agg(
-                F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("line_licenses"),
-                F.sum("n").alias("n_license_lines")))
-    rows = whole.select("doc_id", "canonical_sha256")
-    named = rows.join(licences.withColumnRenamed("digest", "canonical_sha256"), "canonical_sha256", "left")
-    match = [named["doc_id"].eqNullSafe(hits["doc_id"]), named["canonical_sha256"] == hits["canonical_sha256"]]
+    digest = lambda unit: F.sha2(F.trim(unit), 256)
+    if licences.count() > MAP_ENTRIES:
+        return _joined(texts, licences, digest, id_col)
+    entries = F.collect_list(F.struct("digest", "license_id"))
+    table = licences.agg(F.map_from_entries(entries).alias("known"))  # one row of bounded size
+    whole = texts.crossJoin(F.broadcast(table)).select(
+        "doc_id", "known", F.sha2(canonical_whole(F.col("lines")), 256).alias("canonical_sha256"), F.split("lines", "\n").alias("units"))
+    found = whole.withColumn("found", F.filter(F.transform("units", lambda u: F.try_element_at(F.col("known"), digest(u))), lambda x: x.isNotNull()))
+    return found.select(
+        F.col("doc_id").alias(id_col), "canonical_sha256", F.try_element_at(F.col("known"), F.col("canonical_sha256")).alias("license_id"),
+        F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("line_licenses"), F.size("found").cast("bigint").alias("n_license_lines"))
+
+
+def _joined(texts: DataFrame, licences: DataFrame, digest, id_col: str) -> DataFrame:
+    """The same by joins, for any number of known licences. Rows of one id and equal lines share what is found in them."""
+    keys = ["doc_id", "lines_sha256"]
+    whole = texts.select("doc_id", F.sha2("lines", 256).alias("lines_sha256"), "lines", F.sha2(canonical_whole(F.col("lines")), 256).alias("canonical_sha256"))
+    units = whole.dropDuplicates(keys).select(*keys, F.explode(F.split("lines", "\n")).alias("line"))
+    hits = (units.select(*keys, digest(F.col("line")).alias("digest")).join(licences, "digest").groupBy(*keys).agg(
+        F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("line_licenses"), F.count(F.lit(1)).alias("n_license_lines")))
+    named = whole.select(*keys, "canonical_sha256").join(licences.withColumnRenamed("digest", "canonical_sha256"), "canonical_sha256", "left")
+    match = [named["doc_id"].eqNullSafe(hits["doc_id"]), named["lines_sha256"] == hits["lines_sha256"]]
     return named.join(hits, match, "left").select(
-        named["doc_id"].alias(id_col), named["canonical_sha256"], "license_id",
-        F.coalesce("line_licenses", F.lit("")).alias("line_licenses"),
+        named["doc_id"].alias(id_col), "canonical_sha256", "license_id", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"),
         F.coalesce("n_license_lines", F.lit(0).cast("bigint")).alias("n_license_lines"))

@@ -130,15 +130,15 @@ def _op9_sql() -> str:
     return f"""
 WITH known AS (SELECT sha256({whole(lines('text'))}) AS digest, min(license_id) AS license_id
                FROM (VALUES {known}) AS k(license_id, text) GROUP BY 1),
-texts AS (SELECT doc_id, {lines('text')} AS lines FROM documents),
-whole AS (SELECT doc_id, lines, sha256({whole('lines')}) AS canonical_sha256 FROM texts),
-units AS (SELECT doc_id, canonical_sha256, sha256(trim(unnest(string_split(lines, chr(10))))) AS digest FROM whole),
-hits AS (SELECT doc_id, canonical_sha256, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS line_licenses, count(*) AS n
-         FROM units JOIN known USING (digest) GROUP BY 1, 2)
+texts AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {lines('text')} AS lines FROM documents),
+whole AS (SELECT row, doc_id, lines, sha256({whole('lines')}) AS canonical_sha256 FROM texts),
+units AS (SELECT row, sha256(trim(unnest(string_split(lines, chr(10))))) AS digest FROM whole),
+hits AS (SELECT row, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS line_licenses, count(*) AS n
+         FROM units JOIN known USING (digest) GROUP BY 1)
 SELECT w.doc_id, w.canonical_sha256, k.license_id, coalesce(h.line_licenses, '') AS line_licenses,
   CAST(coalesce(h.n, 0) AS BIGINT) AS n_license_lines
 FROM whole w LEFT JOIN known k ON k.digest = w.canonical_sha256 AND k.digest <> sha256('')
-LEFT JOIN hits h ON h.doc_id IS NOT DISTINCT FROM w.doc_id AND h.canonical_sha256 = w.canonical_sha256
+LEFT JOIN hits h ON h.row = w.row
 """
 
 

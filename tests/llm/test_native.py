@@ -150,14 +150,19 @@ def test_one_group_holding_most_rows(spark):
 
 # licences
 
-def test_licence_forms(spark):
+@pytest.mark.parametrize("entries", [license_digest.MAP_ENTRIES, 0])
+def test_licence_forms(spark, monkeypatch, entries):
+    """Looked up in a map, and joined."""
+    monkeypatch.setattr(license_digest, "MAP_ENTRIES", entries)
     mit = dict(license_digest.FULL_TEXTS)["MIT"]
     shouted = "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ,").replace("NONINFRINGEMENT", "non-infringement")
     data = [(1, mit), (2, shouted), (3, mit + " extra"), (4, "Text.\nreleased under the MIT LICENCE\nmore"), (5, None), (6, ""),
             (7, "© 2019 only"), (8, "Licensed under CC BY-NC 4.0."), (9, "x licensed under CC BY-NC 4.0."), (8, "Licensed under CC BY-NC 4.0."),
             (None, "Released under the MIT License.\nReleased under the MIT License!\nLicensed under the Apache License, Version 2.0.")]
     df = spark.createDataFrame([(*r, "l", "d", "s") for r in data], DOCS)
-    got = {r.doc_id: (r.license_id, r.line_licenses, r.n_license_lines) for r in license_digest.scan(df, license_digest.known_table(spark)).collect()}
+    rows = license_digest.scan(df, license_digest.known_table(spark)).collect()
+    assert len(rows) == len(data) and [r.n_license_lines for r in rows if r.doc_id == 8] == [1, 1]
+    got = {r.doc_id: (r.license_id, r.line_licenses, r.n_license_lines) for r in rows}
     assert got[1][0] == got[2][0] == "MIT" and got[3][0] is None
     assert got[4] == (None, "MIT", 1)
     assert got[5] == got[6] == got[7] == (None, "", 0)
