@@ -24,8 +24,9 @@ import codecs
 import hashlib
 import json
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ from brickledger.llm.support import map_batches, rows_batch
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECES, PAIRS = 160_000, 400_000
 STRIDE = 1024
+CHUNK = 1 << 16
+UNKNOWN = "\ufffd".encode()
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -101,6 +104,7 @@ class Transducer:
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.split = regex.compile(PATTERN)
+        self.edge = regex.compile(r"(?<=\S)\s")
         marks = sorted(map(regex.escape, self.special), key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(marks) + ")") if marks else None
 
@@ -207,27 +211,48 @@ class Transducer:
             self.young[piece] = ids
         return ids
 
-    def encode(self, text: str) -> array.array:
-        """Ids of a whole text. Split pieces met lately are looked up, others go through the transducer."""
-        out: list[int] = []
-        for i, part in enumerate(self.marks.split(text) if self.marks else [text]):
+    def chunks(self, text: str, size: int = CHUNK) -> Iterator[list[int]]:
+        """Ids of a text, a list for every ``size`` characters or so: neither all split pieces nor all ids are held.
+
+        No split piece holds white space behind another character, so a text may be
+        cut in front of white space that follows one. Pieces met lately are looked
+        up, others go through the transducer.
+        """
+        for i, part in enumerate(self.marks.split(text) if self.marks and self.marks.search(text) else (text,)):
             if i % 2:
-                out.append(self.special[part])
+                yield [self.special[part]]
                 continue
-            for piece in self.split.findall(part):
-                out += self.young.get(piece) or self._piece(piece)
-        return array.array("I", out)
+            low = 0
+            while low < len(part):
+                cut = self.edge.search(part, low + size) if low + size < len(part) else None
+                high = cut.start() if cut else len(part)
+                out: list[int] = []
+                for piece in self.split.findall(part, low, high):
+                    out += self.young.get(piece) or self._piece(piece)
+                yield out
+                low = high
+
+    def encode(self, text: str) -> array.array:
+        """Ids of a whole text."""
+        ids = array.array("I")
+        for some in self.chunks(text):
+            ids.extend(some)
+        return ids
+
+    def decoder(self) -> Callable[[Iterable[int], bool], str]:
+        """A state machine from ids to text: the bytes of a character that is not complete wait for the next call.
+
+        ``last`` ends the stream. An id that is null or not in the vocabulary becomes the replacement character.
+        """
+        machine, get = codecs.getincrementaldecoder("utf-8")("replace"), self.tokens.get
+        return lambda ids, last=False: machine.decode(b"".join([get(i, UNKNOWN) for i in ids]), last)
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text pieces of a stream of ids; bytes of a character that is not complete wait for the next piece."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        block = []
-        for i in ids:
-            block.append(self.tokens[i])
-            if len(block) == 4096:
-                yield machine.decode(b"".join(block))
-                block = []
-        yield machine.decode(b"".join(block), True)
+        """Text pieces of a stream of ids."""
+        push, ids = self.decoder(), iter(ids)
+        while block := list(islice(ids, 4096)):
+            yield push(block)
+        yield push([], True)
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -267,7 +292,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Per row: its id and ``text``. Null ids read as none; a null or unknown id in the list fails the row's task."""
+    """Per row: its id and ``text``. Null ids read as none; a null or unknown id in the list becomes the replacement character."""
     shipped = _Shipped(df.sparkSession, vocabulary)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
@@ -290,13 +315,15 @@ def round_trip(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", te
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own, counts, digests, texts = _transducer(shipped), [], [], []
         for text in batch.column(1).to_pylist():
-            ids = own.encode(text)
-            counts.append(len(ids))
-            digests.append(hashlib.sha256(np.frombuffer(ids, np.uintc).astype("<u4").tobytes()).hexdigest())
-            digest = hashlib.sha256()
-            for piece in own.decode(ids):
-                digest.update(piece.encode())
-            texts.append(digest.hexdigest())
+            count, of_ids, of_text, push = 0, hashlib.sha256(), hashlib.sha256(), own.decoder()
+            for ids in own.chunks(text):
+                count += len(ids)
+                of_ids.update(np.array(ids, "<u4").tobytes())
+                of_text.update(push(ids).encode())
+            of_text.update(push([], True).encode())
+            counts.append(count)
+            digests.append(of_ids.hexdigest())
+            texts.append(of_text.hexdigest())
         yield rows_batch(_SCHEMA, [batch.column(0), counts, digests, texts])
 
     out = map_batches(_texts(df, id_col, text_col), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

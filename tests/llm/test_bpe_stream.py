@@ -88,3 +88,23 @@ def test_edge_rows(spark, library):
     assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(((i, t or "") for i, t, _ in data), key=str)
     assert bpe_stream.round_trip(df.limit(0), vocabulary).count() == 0
     assert bpe_stream.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), vocabulary).collect()[0].text == ""
+    odd = spark.createDataFrame([(1, [97, None, -5, 10**9, 98])], "doc_id long, ids array<long>")
+    text = bpe_stream.decode(odd, vocabulary).collect()[0].text
+    assert text == library_text([97]) + "\ufffd" * 3 + library_text([98])
+
+
+def library_text(ids):
+    return Tokenizer.from_file(PATH).decode(ids, skip_special_tokens=False)
+
+
+def test_chunks_are_the_whole_and_bounded(own, library):
+    rng = random.Random(4)
+    texts = [" ".join(f"word{i} <|endoftext|> é日" for i in range(2000)), "".join(rng.choice(PARTS) for _ in range(4000)),
+             "".join(rng.choice(["a", " ", "\n", "\t", "'s", "1", "!", "\x85", "\u3000"]) for _ in range(4000))]
+    for text in texts:
+        for size in (1, 7, 500):
+            parts = list(own.chunks(text, size))
+            assert sum(parts, []) == library(text)
+            push = own.decoder()
+            assert "".join(push(p) for p in parts) + push([], True) == text
+    assert max(map(len, own.chunks("word " * 50_000, 500))) <= 200
