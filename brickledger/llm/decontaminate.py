@@ -41,6 +41,7 @@ BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 PIECE_CHARS = 8_000_000
 SPAN = 20_000
+CELLS = 4_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,22 +88,31 @@ class Sized:
         sums = np.stack([_signs(list(w)).T @ np.array(list(w.values())) for w in self.weights])
         self.prints = _packed(sums)
         near = [sum(1 << b for b in bits) for n in range(BLOCK_RADIUS + 1) for bits in combinations(range(BLOCK_BITS), n)]
-        self.table = np.zeros((BLOCKS, 1 << BLOCK_BITS, len(self.ids)), bool)
+        # a bit an item: 256 bytes an item in all
+        self.table = np.zeros((BLOCKS, 1 << BLOCK_BITS, -(-len(self.ids) // 8)), np.uint8)
         blocks = self.prints.view(np.uint8).reshape(-1, BLOCKS)
-        for item, row in enumerate(blocks):
-            for block, value in enumerate(row):
-                self.table[block, [int(value) ^ d for d in near], item] = True
+        for block in range(BLOCKS):
+            met = np.zeros((1 << BLOCK_BITS, len(self.ids)), bool)
+            for d in near:
+                met[blocks[:, block] ^ d, np.arange(len(self.ids))] = True
+            self.table[block] = np.packbits(met, axis=1)
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, distance) of all items within the radius of each window's fingerprint."""
+        """(window, item, distance) of all items within the radius of each window's fingerprint; ``CELLS`` pairs are looked at at a time."""
         blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
-        met = np.zeros((len(prints), len(self.ids)), bool)
-        for block in range(BLOCKS):
-            met |= self.table[block, blocks[:, block]]
-        window, item = np.nonzero(met)
-        distance = np.bitwise_count(prints[window] ^ self.prints[item])
-        near = distance <= RADIUS
-        return window[near], item[near], distance[near]
+        out = []
+        step = max(1, CELLS // len(self.ids))
+        for start in range(0, len(prints), step):
+            part = blocks[start:start + step]
+            met = self.table[0, part[:, 0]]
+            for block in range(1, BLOCKS):
+                met = met | self.table[block, part[:, block]]
+            window, item = np.nonzero(np.unpackbits(met, axis=1, count=len(self.ids)))
+            window += start
+            distance = np.bitwise_count(prints[window] ^ self.prints[item])
+            near = distance <= RADIUS
+            out.append((window[near], item[near], distance[near]))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 class Index:

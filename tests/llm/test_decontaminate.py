@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from brickledger.llm import decontaminate as dc
 from brickledger.llm import queries
@@ -73,7 +74,9 @@ def test_a_text_shorter_than_the_item_is_one_window():
     assert index.search(" ".join(words[:34])) and not index.search(" ".join(words[:32]))
 
 
-def test_blocks_return_everything_within_the_radius():
+@pytest.mark.parametrize("cells", [dc.CELLS, 1])
+def test_blocks_return_everything_within_the_radius(monkeypatch, cells):
+    monkeypatch.setattr(dc, "CELLS", cells)
     rng = np.random.default_rng(3)
     own = dc.Sized(ids=list(range(40)), weights=[Counter({f"s{i}": 1}) for i in range(40)])
     own.close(5)
