@@ -59,6 +59,7 @@ def main() -> None:
     timed("m_training_table", lambda: box.update(table=training.training_table(inputs.valued(spark, SF_DIR))))
     train, test = training.split_parts(box["table"])
     timed("m3_ridge_fit", lambda: box.update(model=training.fit(training.ridge_pipeline(train), train)))
+    timed("m3_ridge_closed_form", lambda: training.ridge_closed_form(train))
     timed("m6_ridge_evaluate", lambda: run(training.evaluate(box["model"], test, training.RIDGE)))
     timed("m5_boosting_fit_20_rounds", lambda: training.fit(
         training.boosting_pipeline(training.Settings(boosting_rounds=20)), train))
