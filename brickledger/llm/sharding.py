@@ -6,8 +6,10 @@ row sums are the block sizes, column sums the wanted target sizes. Each block
 permutes its rows and cuts them by its matrix row, the rows are exchanged, and
 each target permutes what it got. Every arrangement is equally likely, and sizes
 are exact without a global sort. A shard consists of several targets, so neither
-step puts a shard into one task. Only DataFrame functions run on the rows; the
-driver sees block counts and the matrix, both bounded by parameters.
+step puts a shard into one task. Blocks and targets grow with the counted rows,
+so that tasks keep their size, up to a matrix the driver can draw and broadcast.
+Only DataFrame functions run on the rows; the driver sees block counts and the
+matrix, both bounded by parameters.
 """
 
 from __future__ import annotations
@@ -16,8 +18,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window
 
+#: Least source blocks, and targets a shard; powers of two, as is every larger number of them.
 BLOCKS = 512
 PARTS = 16
+#: Rows a block or target should hold at most, while the matrix stays within its limits.
+TASK_ROWS = 4_000_000
+#: Most source blocks, and most targets of all shards together beyond ``PARTS`` a shard: bounds the matrix.
+MOST_BLOCKS = 2048
+MOST_TARGETS = 1024
 SEED = 20_261
 
 
@@ -36,7 +44,7 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) ->
         return int(rng.hypergeometric(good, bad, draws))
     total, low, high = good + bad, max(0, draws - bad), min(draws, good)
     share = draws / total
-    spread = int(14 * np.sqrt(good * share * (1 - share) * (bad / total)) + 50)
+    spread = int(10 * np.sqrt(good * share * (1 - share) * (bad / total)) + 50)
     mode = int((draws + 1) * (good + 1) / (total + 2))
     k = np.arange(max(low, mode - spread), min(high, mode + spread) + 1, dtype=np.float64)
     steps = np.log(good - k[:-1]) + np.log(draws - k[:-1]) - np.log(k[:-1] + 1) - np.log(bad - draws + k[:-1] + 1)
@@ -63,18 +71,35 @@ def communication_matrix(block_sizes: list[int], target_sizes: list[int], seed:
     return matrix
 
 
+def _doubled(least: int, most: int, wanted: int) -> int:
+    """``least``, doubled while it is below ``wanted`` and does not pass ``most``."""
+    while least < wanted and 2 * least <= most:
+        least *= 2
+    return least
+
+
+def widths(rows: int, shards: int) -> tuple[int, int]:
+    """Blocks, and targets a shard, for a number of rows.
+
+    Beyond ``MOST_BLOCKS * TASK_ROWS`` rows blocks grow instead of multiplying; their sorts spill.
+    """
+    tasks = -(-rows // TASK_ROWS)
+    return _doubled(BLOCKS, MOST_BLOCKS, tasks), _doubled(PARTS, max(PARTS, MOST_TARGETS // shards), -(-tasks // shards))
+
+
 def _cut(starts: Column, rank: Column) -> Column:
     """Index of the last start that is not above the rank."""
     return F.size(F.filter(starts, lambda s: s <= rank)) - 1
 
 
-def shard(df: DataFrame, keys: list[str], shards: int = 16, seed: int = SEED, blocks: int = BLOCKS,
-          parts: int = PARTS) -> DataFrame:
+def shard(df: DataFrame, keys: list[str], shards: int = 16, seed: int = SEED, blocks: int | None = None,
+          parts: int | None = None) -> DataFrame:
     """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 inside the shard).
 
     Shard sizes differ by one row at most, larger ones first. ``keys`` name the
     columns that tell rows apart; together with the seed they decide the result,
-    whatever the partitioning. Rows equal in all keys are interchangeable: each
+    whatever the partitioning; ``blocks`` and ``parts`` follow from the row count
+    unless given. Rows equal in all keys are interchangeable: each
     gets a slot of its own. Nulls are values like any other. Fewer rows than
     shards leave the last shards empty, an empty table gives no rows. ``df``
     must not have columns named ``shard`` or ``slot``; names of its own with a
@@ -85,9 +110,14 @@ def shard(df: DataFrame, keys: list[str], shards: int = 16, seed: int = SEED, bl
         raise ValueError(f"columns already present: {sorted(clash)}")
     spark = df.sparkSession
     names = [F.col(k) for k in keys]
-    block = F.pmod(F.xxhash64(F.lit(seed), *names), F.lit(blocks)).cast("int")
-    counted = {r["block"]: r["n"] for r in df.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    sizes = [counted.get(b, 0) for b in range(blocks)]
+    placed = F.xxhash64(F.lit(seed), *names)
+    fine = blocks or MOST_BLOCKS
+    counts = df.groupBy(F.pmod(placed, F.lit(fine)).cast("int").alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    counted = {r["block"]: r["n"] for r in counts.collect()}
+    found = widths(sum(counted.values()), shards)
+    blocks, parts = blocks or found[0], parts or found[1]
+    block = F.pmod(placed, F.lit(blocks)).cast("int")
+    sizes = [sum(counted.get(b, 0) for b in range(first, fine, blocks)) for first in range(blocks)]
     per_shard = even_sizes(sum(sizes), shards)
     targets = [n for size in per_shard for n in even_sizes(size, parts)]
     cuts = []

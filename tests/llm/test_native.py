@@ -2,10 +2,12 @@
 
 import math
 import re
+import struct
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from brickledger.llm import chat_format, exact_dedup, license_digest, queries, sharding
@@ -103,6 +105,58 @@ def test_placement_does_not_depend_on_partitions(spark):
     assert take(df.repartition(3)) == take(df.repartition(7, F.col("doc_id") % 5))
 
 
+def _placed_plainly(ids, seed, shards, blocks, parts):
+    """Places of distinct ids by lists: blocks cut by the matrix, targets sorted again. Hashes chain as the engine's do: seed first, then id."""
+    def code(seed, value):
+        first = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+        found = xxhash.xxh64_intdigest(struct.pack("<q", value), first)
+        return found - 2**64 if found >= 2**63 else found
+
+    held = [sorted((code(seed + 1, i), i) for i in ids if code(seed, i) % blocks == b) for b in range(blocks)]
+    sizes = [n for size in sharding.even_sizes(len(ids), shards) for n in sharding.even_sizes(size, parts)]
+    sent = [[] for _ in sizes]
+    for rows, cuts in zip(held, sharding.communication_matrix([len(h) for h in held], sizes, seed)):
+        for target, n in enumerate(cuts):
+            sent[target] += [i for _, i in rows[:n]]
+            rows = rows[n:]
+    places = {}
+    for s in range(shards):
+        arrived = [i for target in sent[s * parts:(s + 1) * parts] for i in sorted(target, key=lambda i: (code(seed + 2, i), i))]
+        places |= {i: (s, slot) for slot, i in enumerate(arrived)}
+    return places
+
+
+@pytest.mark.parametrize("n, shards, blocks, parts", [(2, 3, 4, 2), (37, 4, 8, 3), (500, 16, 8, 2), (211, 1, 4, 5)])
+def test_places_equal_brute_force(spark, n, shards, blocks, parts):
+    ids = [7 * i - 50 for i in range(n)]
+    df = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string")
+    rows = sharding.shard(df, ["doc_id"], shards, blocks=blocks, parts=parts).collect()
+    assert {r.doc_id: (r["shard"], r.slot) for r in rows} == _placed_plainly(ids, sharding.SEED, shards, blocks, parts)
+
+
+def test_every_arrangement_is_equally_likely():
+    trials = 6000
+    seen = Counter(tuple(sorted(_placed_plainly([1, 2, 3, 4], seed, 2, 3, 2).items())) for seed in range(trials))
+    assert len(seen) == math.factorial(4)
+    expected = trials / 24
+    assert sum((k - expected) ** 2 / expected for k in seen.values()) < 49.7  # 23 degrees of freedom, one in a thousand
+
+
+def test_widths_follow_the_rows(spark, monkeypatch):
+    assert sharding.widths(0, 16) == (sharding.BLOCKS, sharding.PARTS)
+    tasks = sharding.TASK_ROWS * sharding.MOST_TARGETS
+    for shards in (1, 5, 16, 1000):
+        blocks, parts = sharding.widths(tasks, shards)
+        assert sharding.MOST_BLOCKS % blocks == 0 and blocks >= sharding.MOST_TARGETS
+        assert parts * shards <= max(sharding.MOST_TARGETS, sharding.PARTS * shards)
+    assert sharding.widths(10**13, 16) == (sharding.MOST_BLOCKS, sharding.MOST_TARGETS // 16)
+    for name, value in [("BLOCKS", 4), ("PARTS", 2), ("MOST_BLOCKS", 32), ("MOST_TARGETS", 16), ("TASK_ROWS", 50)]:
+        monkeypatch.setattr(sharding, name, value)
+    assert sharding.widths(500, 2) == (16, 8)
+    rows = sharding.shard(spark.range(500).withColumnRenamed("id", "doc_id"), ["doc_id"], 2).collect()
+    assert {r.doc_id: (r["shard"], r.slot) for r in rows} == _placed_plainly(range(500), sharding.SEED, 2, 16, 8)
+
+
 def test_matrix_margins_and_law():
     sizes, targets = [0, 7, 30, 13], [20, 0, 25, 5]
     draws = [sharding.communication_matrix(sizes, targets, seed) for seed in range(3000)]
