@@ -125,8 +125,13 @@ def with_split(df: DataFrame, key: str = "property_id", test_fraction: float = 0
         ends.append(tests + F.lit(i) * F.floor(rest / folds).cast("bigint") + F.least(F.lit(i).cast("bigint"), rest % folds))
     cuts = _cut_rows(tagged, key, F.array(*ends))
     placed = tagged.crossJoin(F.broadcast(cuts))  # one row
-    part = F.size(F.filter("_cuts", lambda x: x <= F.struct("_digest", c(key).alias("_key"))))
-    marked = placed.withColumn("_part", part).withColumn(name, c("_part") == 0)
+    # cuts rise, and (digest, key) pairs are in order with a NULL key first; plain comparisons, since a lambda over structs is interpreted row by row
+    passed = []
+    for i in range(len(ends)):
+        cut = F.get("_cuts", F.lit(i))
+        same = (cut["_digest"] == c("_digest")) & (cut["_key"].isNull() | F.coalesce(cut["_key"] <= c(key), F.lit(False)))
+        passed.append(F.coalesce((cut["_digest"] < c("_digest")) | same, F.lit(False)).cast("int"))
+    marked = placed.withColumn("_part", sum(passed[1:], passed[0])).withColumn(name, c("_part") == 0)
     if folds:
         marked = marked.withColumn(fold, F.when(c("_part") > 0, c("_part") - 1))
     return marked.drop("_digest", "_bucket", "_cuts", "_part")

@@ -148,3 +148,19 @@ def test_histogram_matches_numpy(spark):
 def test_histogram_of_equal_prices(spark):
     counts = np.histogram([100, 100], bins=60)[0].tolist()
     assert sum(counts) == 2 and [r["properties"] for r in charts.price_histogram(_homes(spark, {}, {})).collect()] == counts
+
+
+def test_split_of_repeated_and_missing_keys_follows_the_order(spark):
+    """Parts are ranges of the (digest, key) order, compared natively; equal keys stay together."""
+    keys = [None, None, "", "a", "a", "a"] + [f"k{i % 40}" for i in range(95)]
+    df = spark.createDataFrame([(k,) for k in keys], "property_id string")
+    split = ranking.with_split(df, test_fraction=0.2, seed=42, folds=3)
+    got = {(r.property_id, r.is_test, r.fold) for r in split.collect()}
+    order = sorted(keys, key=lambda k: (hashlib.md5("-".join(["split42", *([] if k is None else [k])]).encode()).hexdigest(), k or ""))
+    tests, rest = 21, 80
+    ends = [tests] + [tests + i * (rest // 3) + min(i, rest % 3) for i in (1, 2)]
+    first = {k: order.index(k) for k in set(keys)}
+    starts = [first[order[e]] for e in ends]
+    part = {k: sum(at >= s for s in starts) for k, at in first.items()}
+    assert got == {(k, p == 0, p - 1 if p else None) for k, p in part.items()}
+    assert "lambdafunction" not in split._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
