@@ -11,7 +11,7 @@ from brickledger.operators.prediction_errors import regional_accuracy
 from brickledger.operators import features as fe
 from brickledger.plans import results, training as tr
 from brickledger.session import Scratch
-from checks import inputs
+from checks import inputs, registry
 from tests.conftest import SF_DIR
 
 SMALL = tr.Settings(forest_trees=5, forest_depth=6, boosting_rounds=8, cv_rounds=4, folds=3, parallelism=3)
@@ -160,3 +160,39 @@ def test_scratch_tables_go_when_they_are_spent(spark, tmp_path, monkeypatch):
     assert held() == []
     tr.training_table(inputs.valued(spark, SF_DIR), SMALL)
     assert held() == ["features"]
+
+
+def test_a_query_fits_only_the_models_it_names(spark, sf_dir, monkeypatch):
+    fitted, whole = [], tr.fit_models
+    monkeypatch.setattr(tr, "fit_models", lambda table, settings, names: fitted.extend(names) or whole(table, settings, names))
+    registry._fit_once.cache_clear()
+    assert registry.registered()["m3_ridge"](spark, sf_dir).first()["model"] == tr.RIDGE
+    assert fitted == [tr.RIDGE]
+    registry._fit_once.cache_clear()
+
+
+def test_folds_are_fitted_side_by_side_while_they_fit_in_memory(spark):
+    settings = tr.Settings(parallelism=5)
+    assert tr.folds_at_once(1_000, 10**9, settings) == 5
+    assert tr.folds_at_once(10**7, 10**10, settings) == 10**10 // (10**7 * tr.HELD_ROW_BYTES) == 2
+    assert tr.folds_at_once(10**9, 10**10, settings) == tr.folds_at_once(0, 0, settings) == 1
+    assert session.storage_bytes(spark) > 0
+
+
+def test_the_joins_behind_the_valued_rows_run_once(spark, sf_dir, monkeypatch):
+    planned, whole = [], inputs.valued
+    monkeypatch.setattr(inputs, "valued", lambda *given: planned.append(1) or whole(*given))
+    inputs._valued_once.cache_clear()
+    for name in ("q12_importance_ranking", "p17_logs_and_time", "m14_one_split_scores"):
+        registry.registered()[name](spark, sf_dir).count()
+    assert len(planned) == 1
+    columns = ["property_id", "price_gbp", "region"]
+    stored, fresh = inputs.valued_stored(spark, sf_dir).select(columns), whole(spark, sf_dir).select(columns)
+    assert stored.exceptAll(fresh).isEmpty() and fresh.exceptAll(stored).isEmpty()
+
+
+def test_a_stored_table_is_not_written_again(spark, sf_dir, monkeypatch):
+    names, whole = [], Scratch.store
+    monkeypatch.setattr(Scratch, "store", lambda self, df, name, *spent: names.append(name) or whole(self, df, name, *spent))
+    tr.training_table(inputs.valued_stored(spark, sf_dir), SMALL, stored=True)
+    assert "training-rows" not in names and names[-1] == "features"
