@@ -1,16 +1,19 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are instances of a template. The template is a tree grown from
-several reference pages of the host: each further reference is aligned with it by
-simple tree matching (the heaviest order- and ancestor-preserving match of nodes
-with equal labels), and what has no partner is added. Equal labels under one
-parent are one slot, so a repeated element is a single slot however often it
-stands there, a slot's children have different labels, and the best match of two
-child lists is a heaviest rising sequence: it takes n log n time and linear
-memory for any number of siblings.
-
-Every page is then aligned with its host's template, and each slot is measured
-over all pages: how much text it holds, how much of that is links, and whether
+Pages of a host are instances of a template. The template is a tree counted over
+all pages of the host: equal labels under one parent are one slot, so a repeated
+element is a single slot however often it stands there, and a slot is known by
+the labels above it. The pages that have a slot are counted, and those that have
+it next to the same left neighbour. Slots on at least one page in ``SHARED_BY``
+make the template, so it holds at most that many times the slots of a mean page
+however many pages there are; the neighbours give the order of its children.
+
+Every page is then aligned with its host's template by simple tree matching (the
+heaviest order- and ancestor-preserving match of nodes with equal labels). A
+slot's children have different labels, so the best match of two child lists is a
+heaviest rising sequence: it takes n log n time and linear memory for any number
+of siblings. What has no partner belongs to the nearest slot above. Each slot is
+measured over all pages: how much text it holds, how much of that is links, and whether
 the text is one throughout. A slot with one text is template, links are menus;
 the rest is content. The wrapper's content root is the innermost container that
 holds nearly all of the content. A page's text is what stands there, less what
@@ -18,12 +21,13 @@ navigation, header, footer, sidebar, advert, notice, form and comment elements
 hold; a page on which the root holds nothing is read by its article element, or
 as a whole.
 
-Pages are parsed and aligned in tasks; the measures are sums that combine before
-the shuffle, so a host of any size meets no task as a whole.
+Pages are parsed and aligned in tasks; counts and measures are sums that combine
+before the shuffle, so a host of any size meets no task as a whole.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -35,7 +39,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brickledger.llm.support import broadcast_if_small, map_batches, rows_batch, stored
 
-REFERENCES = 4
+#: A slot belongs to its host's template if at least one page in so many has it; up to that many pages, every slot does.
+SHARED_BY = 50
 DOMINANT = 0.8
 
 # Element names and words of class, id and role attributes that decide what an element is for.
@@ -271,24 +276,71 @@ def match(page: Slot, template: Slot) -> tuple[int, dict[int, Slot]]:
     return weight[id(page)], found
 
 
-def grow(template: Slot, page: Slot) -> None:
-    """Add to the template what the page has besides: a child without a partner goes behind its left neighbour."""
-    _, partner = match(page, template)
-    stack = [page]
+def slot_counts(pages: list[str]) -> dict[tuple[int, int], list]:
+    """Of a host's pages: [parent, label, tag, pages, sum of the places among its siblings] by (slot, left neighbour).
+
+    A slot is the hash of the labels from the root, which is 0, as is the left neighbour of a first child.
+    """
+    out: dict[tuple[int, int], list] = {}
+    for html in pages:
+        stack = [(0, drawn_together(parse(html))[0])]
+        while stack:
+            parent, slot = stack.pop()
+            left = 0
+            for place, (label, child) in enumerate(slot.children.items()):
+                own = xxhash.xxh64_intdigest(f"{parent}/{label}".encode()) - (1 << 63)
+                held = out.setdefault((own, left), [parent, label, child.tag, 0, 0])
+                held[3] += 1
+                held[4] += place
+                stack.append((own, child))
+                left = own
+    return out
+
+
+def in_order(children: dict[int, tuple[float, dict[int, int]]]) -> list[int]:
+    """Slots of one parent, given by (mean place, pages by left neighbour), in the order of the pages.
+
+    Next is the slot with the fewest pages on which its left neighbour is still
+    to come: 0 as long as no two pages contradict each other.
+    """
+    right: dict[int, list[tuple[int, int]]] = {}
+    waiting: dict[int, int] = {}
+    for slot, (_, lefts) in children.items():
+        known = [(left, n) for left, n in lefts.items() if left in children]
+        waiting[slot] = sum(n for _, n in known)
+        for left, n in known:
+            right.setdefault(left, []).append((slot, n))
+    heap = [(n, children[slot][0], slot) for slot, n in waiting.items()]
+    heapq.heapify(heap)
+    out = []
+    while heap:
+        n, _, slot = heapq.heappop(heap)
+        if waiting.get(slot) != n:
+            continue  # placed already, or waits for fewer pages by now
+        del waiting[slot]
+        out.append(slot)
+        for after, pages in right.get(slot, ()):
+            if after in waiting:
+                waiting[after] -= pages
+                heapq.heappush(heap, (waiting[after], children[after][0], after))
+    return out
+
+
+def built(slots: list[tuple[int, int, str, str, float, dict[int, int]]]) -> Slot:
+    """The template of (slot, parent, label, tag, mean place, pages by left neighbour) rows in any order."""
+    below: dict[int, dict[int, tuple]] = {}
+    for own, parent, label, tag, place, lefts in slots:
+        below.setdefault(parent, {})[own] = (label, tag, place, lefts)
+    top = Slot("", "")
+    stack = [(0, top)]
     while stack:
-        node = stack.pop()
-        mine = partner[id(node)]
-        behind: dict[str, list[str]] = {}
-        last = ""
-        for label, child in node.children.items():
-            if id(child) in partner:
-                stack.append(child)
-                last = label
-            elif label not in mine.children:
-                behind.setdefault(last, []).append(label)
-        if behind:
-            order = behind.get("", []) + [x for label in mine.children for x in (label, *behind.get(label, []))]
-            mine.children = {label: mine.children[label] if label in mine.children else node.children[label] for label in order}
+        above, slot = stack.pop()
+        known = below.get(above, {})
+        for own in in_order({i: (place, lefts) for i, (_, _, place, lefts) in known.items()}):
+            label, tag, _, _ = known[own]
+            slot.children[label] = Slot(label, tag)
+            stack.append((own, slot.children[label]))
+    return top
 
 
 def numbered(template: Slot) -> list[tuple[int, Slot]]:
@@ -315,15 +367,14 @@ def unpacked(text: str) -> tuple[Slot, list[int]]:
 
 
 def template_of(pages: list[str]) -> Slot:
-    """The template grown from reference pages, in the order of their texts."""
-    template = None
-    for html in sorted(set(pages)):
-        page, _ = drawn_together(parse(html))
-        if template is None:
-            template = page
-        else:
-            grow(template, page)
-    return template or Slot("", "")
+    """The template of all slots of the pages."""
+    found: dict[int, list] = {}
+    for (own, left), (parent, label, tag, n, place) in slot_counts(pages).items():
+        held = found.setdefault(own, [parent, label, tag, 0, 0, {}])
+        held[3] += n
+        held[4] += place
+        held[5][left] = n
+    return built([(own, parent, label, tag, place / n, lefts) for own, (parent, label, tag, n, place, lefts) in found.items()])
 
 
 def blocks_of(page: Node, template: Slot, number: dict[int, int]) -> list[tuple[int, str, int, bool, bool]]:
@@ -385,28 +436,47 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1), F.lit("")))
 
 
+_COUNTED = pa.schema([("host", pa.string()), ("slot", pa.int64()), ("left", pa.int64()), ("parent", pa.int64()), ("label", pa.string()),
+                      ("tag", pa.string()), ("pages", pa.int64()), ("places", pa.int64())])
+_COUNTED_SQL = "host string, slot long, left long, parent long, label string, tag string, pages long, places long"
+
+
+def _slot_counts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    own: dict[str, list[str]] = {}
+    for host, html in zip(*(c.to_pylist() for c in batch.columns)):
+        own.setdefault(host, []).append(html)
+    rows = [(host, *key, *held) for host, pages in own.items() for key, held in slot_counts(pages).items()]
+    yield rows_batch(_COUNTED, list(map(list, zip(*rows))) or [[] for _ in _COUNTED])
+
+
 _TEMPLATE = pa.schema([("host", pa.string()), ("template", pa.string())])
 
 
 def _templates(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    hosts, pages = (c.to_pylist() for c in batch.columns)
-    yield rows_batch(_TEMPLATE, [hosts, [packed(template_of(p)) for p in pages]])
+    hosts, slots = (c.to_pylist() for c in batch.columns)
+    yield rows_batch(_TEMPLATE, [hosts, [packed(built([
+        (s["slot"], s["parent"], s["label"], s["tag"], s["places"] / s["pages"], {x["left"]: x["pages"] for x in s["lefts"]})
+        for s in own or []])) for own in slots]])
 
 
-def templates(rows: DataFrame, references: int = REFERENCES) -> DataFrame:
-    """``host`` and ``template`` of every host of ``rows`` (host, html), grown from up to ``references`` of its pages.
+def templates(rows: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
+    """``host`` and ``template`` of every host of ``rows`` (host, html), counted over all its pages.
 
-    A host's pages are dealt into as many salts by a hash, and of each salt the
-    page with the smallest hash is taken: minima combine before the shuffle.
+    A slot, or a left neighbour of one, counts if at least one page in
+    ``shared_by`` has it: a slot's parent then counts too, a slot has at most
+    ``shared_by`` neighbours and a template that many times the slots of a mean page.
     """
-    salt = F.pmod(F.xxhash64(F.lit("salt"), "html"), F.lit(references)).cast("int")
-    ranked = rows.select("host", "html", salt.alias("salt"), F.xxhash64("html").alias("rank"))
-    least = stored(ranked.groupBy("host", "salt").agg(F.min("rank").alias("rank")), "reference-ranks")
-    near = broadcast_if_small(least, F.octet_length("host") + 20)
-    # copies of a reference have its rank as well: one of them is taken
-    chosen = ranked.join(near, ["host", "salt", "rank"]).groupBy("host", "salt").agg(F.min("html").alias("html"))
-    pages = chosen.groupBy("host").agg(F.collect_list("html").alias("pages"))  # `references` pages a host
-    return map_batches(pages, _templates, "host string, template string")
+    hosts = stored(rows.groupBy("host").agg(F.count(F.lit(1)).alias("all_pages")), "hosts")
+    near = broadcast_if_small(hosts, F.octet_length("host") + 8)
+    enough = F.sum("pages") * shared_by >= F.first("all_pages")
+    said = [F.min(c).alias(c) for c in ("parent", "label", "tag")]  # the same on all rows of a slot
+    sums = [F.sum(c).alias(c) for c in ("pages", "places")]
+    sided = map_batches(rows.select("host", "html"), _slot_counts, _COUNTED_SQL).groupBy("host", "slot", "left").agg(*said, *sums)
+    often = F.when((F.col("left") != 0) & (F.col("pages") * shared_by >= F.col("all_pages")), F.struct("left", "pages"))
+    slots = sided.join(near, "host").groupBy("host", "slot").agg(*said, *sums, F.collect_list(often).alias("lefts"), enough.alias("enough"))
+    held = F.struct("slot", "parent", "label", "tag", "pages", "places", "lefts")
+    of_host = slots.where("enough").groupBy("host").agg(F.collect_list(held).alias("slots"))  # bounded as said
+    return map_batches(hosts.join(of_host, "host", "left").select("host", "slots"), _templates, "host string, template string")
 
 
 _ALIGNED = pa.schema([

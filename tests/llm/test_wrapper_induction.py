@@ -170,3 +170,43 @@ def test_edge_pages(spark):
     df = spark.createDataFrame([(*r, "t", "h") for r in rows], SCHEMA)
     assert wi.main_text(df).count() == len(rows)
     assert wi.main_text(df.limit(0)).count() == 0
+
+
+def test_template_is_counted_over_all_pages(spark):
+    """Twelve layouts of one host are all in its template, in the order of the pages, however the rows are dealt."""
+    kinds = [f"k{i:02d}" for i in range(12)]
+    pages = [(f"<body><div class=top>t</div>{f'<div class={kinds[i % 12]}><p>{i}</p></div>' * (i % 3 + 1)}<div class=end>e</div></body>")
+             for i in range(240)]
+    df = spark.createDataFrame([("h", html) for html in pages] + [("plain", "no element"), ("h", "<body><div class=rare>once</div></body>")],
+                               "host string, html string")
+    found = {}
+    for parts in (1, 7):
+        for r in wi.templates(df.repartition(parts)).collect():
+            found.setdefault(r.host, set()).add(r.template)
+    assert all(len(texts) == 1 for texts in found.values())  # the same for both dealings
+    body = wi.unpacked(found["h"].pop())[0].children["body."]
+    labels = list(body.children)
+    assert labels[0] == "div.top" and labels[-1] == "div.end" and sorted(labels[1:-1]) == [f"div.{k}" for k in kinds]  # 1 page of 241 is no layout
+    assert all(list(body.children[f"div.{k}"].children) == ["p."] for k in kinds)
+    assert wi.numbered(wi.unpacked(found["plain"].pop())[0])[0][0] == -1
+    assert set(wi.templates(df.where("html like '%rare%'")).collect()[0].template.split('"')) >= {"div.rare"}
+
+
+def test_text_of_rare_layouts_is_kept(spark):
+    rows = [(i, "http://r.example/", f"<body><div class={'rare' if i == 5 else 'story'}><p>Text {i}</p></div></body>") for i in range(80)]
+    got = run(spark, rows)
+    assert all(got[i] == f"Text {i}" for i in range(80))
+
+
+def test_order_of_slots_follows_the_pages():
+    rng = random.Random(4)
+    for _ in range(200):
+        order = rng.sample(range(1, 30), rng.randint(1, 12))
+        pages = [[x for x in order if rng.random() < 0.6] for _ in range(6)] + [order]
+        lefts = {x: {} for x in order}
+        for page in pages:
+            for left, x in zip([0, *page], page):
+                lefts[x][left] = lefts[x].get(left, 0) + 1
+        assert wi.in_order({x: (rng.random(), lefts[x]) for x in order}) == order
+    assert sorted(wi.in_order({1: (0.0, {2: 1}), 2: (0.5, {1: 3})})) == [1, 2]  # pages that contradict each other
+    assert wi.in_order({1: (0.0, {2: 1}), 2: (0.5, {1: 3})}) == [1, 2]
