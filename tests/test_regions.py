@@ -42,3 +42,15 @@ def test_area_mode_reads_whole_areas(spark):
     }
     rows = [(i, None, None, code) for i, code in enumerate(expected)]
     assert _resolve(spark, rows, "area") == dict(enumerate(expected.values()))
+
+
+def test_white_space_around_names(spark):
+    rows = [(i, f"{w}kent{w}", None, None) for i, w in enumerate((" ", "\t", "\n", "\x0b", "\x0c", "\r", " \r\n"))]
+    rows += [(7, None, "\tcroydon \n", None), (8, " kent", None, None), (9, "ke nt", None, None)]
+    assert _resolve(spark, rows, "area") == {**dict.fromkeys(range(7), "South East"), 7: "London - Outer", 8: "Other", 9: "Other"}
+
+
+def test_lookups_add_no_join(spark):
+    df = spark.createDataFrame([(1, "KENT", None, "M1 1AA")], "id int, county string, district string, postcode string")
+    for mode in ("area", "prefix"):
+        assert "Join" not in with_region(df, mode)._jdf.queryExecution().optimizedPlan().toString()
