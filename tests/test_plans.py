@@ -105,3 +105,27 @@ def test_the_same_rows_under_any_shuffle_width(spark, sf_dir):
             spark.conf.set("spark.sql.shuffle.partitions", before)
 
     assert rows("3") == rows("17")
+
+
+def test_valuation_adds_no_join_and_knows_its_tables(spark):
+    from brickledger import schemas
+    from brickledger.functions.valuation import price_level_sql, with_valuation
+
+    empty = spark.createDataFrame([], schemas.CLEANED)
+    assert "Join" not in with_valuation(empty, "price_gbp")._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.sql("SELECT * FROM VALUES ('Wales', 2019), ('Wales', 2018), ('Atlantis', 2019), (NULL, 2019), ('Wales', NULL) AS t(region, sale_year)")
+    assert [r[0] for r in rows.selectExpr(price_level_sql()).collect()] == [210000.0, None, None, None, None]
+
+
+def test_fixed_document_plans_the_properties_once(spark, monkeypatch):
+    from brickledger import schemas
+    from checks import inputs, registry
+
+    own = {"property_id": "concat('LR', id)", "region": "element_at(array('Wales', 'Scotland'), CAST(id % 2 AS INT) + 1)",
+           "sale_year": "2019 + id % 6", "price_gbp": "100000 + 1000 * id"}
+    rows = spark.range(60).selectExpr(*[f"CAST({own.get(f.name, 'id % 3')} AS {f.dataType.simpleString()}) AS {f.name}" for f in schemas.CLEANED.fields])
+    planned = []
+    monkeypatch.setattr(inputs, "_planned", lambda *_: planned.append(1) or rows)
+    leaves = registry.fixed_document(spark, "own rows").collect()
+    assert len(planned) == 1
+    assert sum(r["path"].startswith("sample_predictions") and r["path"].endswith("actual_price") for r in leaves) == 60
