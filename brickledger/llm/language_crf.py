@@ -19,7 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ CACHE_CHARS = 4_000_000
 GRAMS = 200_000
 CHAIN = 400_000
 BLOCK = 64
+#: Characters of words whose grams are hashed side by side; a word with more of them is read by ``features``.
+HASHED_CHARS = 200_000
 #: Mean probability of each word's best language below which a text is in none of the learned ones, see ``accepted``.
 LEAST_CERTAINTY = 0.75
 
@@ -74,6 +76,68 @@ def features(word: str, lexicon: dict[str, int], numbers: dict[str, int]) -> lis
     return ids
 
 
+def _checksum_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CHECKSUMS = _checksum_table()
+
+
+def _step(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """CRC-32 states one byte further."""
+    return _CHECKSUMS[(state ^ byte) & 0xFF] ^ (state >> 8)
+
+
+def _checksums(data: np.ndarray, start: np.ndarray, end: np.ndarray, ahead: str = "", behind: str = "") -> np.ndarray:
+    """CRC-32 of each ``data[start:end]``, with an ASCII character before and behind it if given."""
+    state = np.full(len(start), 0xFFFFFFFF, np.uint32)
+    if ahead:
+        state = _step(state, np.uint32(ord(ahead)))
+    size = end - start
+    least = int(size.min())
+    for at in range(least):
+        state = _step(state, data[start + at])
+    for at in range(least, int(size.max())):  # characters of more than one byte
+        left = np.flatnonzero(size > at)
+        state[left] = _step(state[left], data[start[left] + at])
+    if behind:
+        state = _step(state, np.uint32(ord(behind)))
+    return state ^ np.uint32(0xFFFFFFFF)
+
+
+def features_of(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """``features`` of many words at once: their ids one after another, and where each word's begin.
+
+    All grams are hashed side by side. Grams of one length in one word are told apart by their CRC-32.
+    """
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    data = np.frombuffer(("^" + "$^".join(words) + "$").encode(), np.uint8).astype(np.uint32)
+    chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where characters begin
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    owner = np.repeat(np.arange(len(words)), lengths)
+    left = np.repeat(ends, lengths) - np.arange(int(ends[-1]))  # characters from here to the word's end
+    keys = []
+    for size in (2, 3):
+        at = np.flatnonzero(left >= size)
+        found = _checksums(data, chars[at], chars[at + size])
+        keys.append((owner[at] << 33) | ((found.astype(np.int64) & (BUCKETS - 1)) << 18) | ((found >> 15).astype(np.int64) << 1) | (size == 3))
+    grams = np.sort(np.concatenate(keys))
+    grams = grams[np.append(True, grams[1:] != grams[:-1])]
+    # the ends of a word, marked by + on their inner side, are no other gram: a word holds letters only
+    several = np.arange(len(words))
+    whole = np.minimum(lengths, 4)
+    edges = [_checksums(data, chars[starts], chars[starts + whole], behind="+"), _checksums(data, chars[ends - whole], chars[ends], ahead="+")]
+    known = [(i, BUCKETS + lexicon[w]) for i, w in enumerate(words) if w in lexicon]
+    found = [((grams >> 33) << 32) | ((grams >> 18) & (BUCKETS - 1)), *[(several << 32) | (e & np.uint32(BUCKETS - 1)) for e in edges],
+             np.array([(i << 32) | z for i, z in known], np.int64)]
+    ids = np.sort(np.concatenate(found))
+    return ids & 0xFFFFFFFF, np.searchsorted(ids, several << 32)
+
+
 @dataclass
 class Field:
     """A fitted field: ``weights`` by feature and language, ``start`` and ``step`` as log scores."""
@@ -86,10 +150,27 @@ class Field:
 
     def emission(self, words: list[str], numbers: dict[str, int]) -> np.ndarray:
         """Scores by word and language; capped so that no single word can outweigh a text."""
-        found = [features(w, self.lexicon, numbers) for w in words]
-        starts = np.cumsum([0, *map(len, found[:-1])])
-        flat = np.fromiter(chain.from_iterable(found), np.int64)
-        return np.clip(np.add.reduceat(self.weights[flat], starts, axis=0), -12, 12)
+        scores = np.empty((len(words), len(self.languages)))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        long = np.flatnonzero(sizes > HASHED_CHARS).tolist()
+        for i in long:
+            scores[i] = self.weights[features(words[i], self.lexicon, numbers)].sum(axis=0)
+        short = np.flatnonzero(sizes <= HASHED_CHARS)
+        total = np.cumsum(sizes[short])
+        for part in np.split(short, np.flatnonzero(np.diff(total // HASHED_CHARS)) + 1):
+            if len(part):
+                flat, starts = features_of([words[i] for i in part.tolist()], self.lexicon)
+                scores[part] = np.add.reduceat(self.weights[flat], starts, axis=0)
+        return np.clip(scores, -12, 12)
+
+
+def _most(values: np.ndarray) -> np.ndarray:
+    """The largest of each row, column by column: rows are short."""
+    return reduce(np.maximum, values.T)
+
+
+def _total(values: np.ndarray) -> np.ndarray:
+    return reduce(np.add, values.T)
 
 
 def marginals(emission: np.ndarray, first: np.ndarray, field: Field, block: int = BLOCK) -> np.ndarray:
@@ -103,19 +184,19 @@ def marginals(emission: np.ndarray, first: np.ndarray, field: Field, block: int
     n, k = emission.shape
     rows = -(-n // block)
     gain = np.ones((rows * block, k))
-    gain[:n] = np.exp(emission - emission.max(axis=1, keepdims=True))
+    gain[:n] = np.exp(emission - _most(emission)[:, None])
     reset = np.zeros(rows * block, bool)
     reset[:n], reset[n:] = first, True
     gain, reset = gain.reshape(rows, block, k), reset.reshape(rows, block)
+    fresh = [np.flatnonzero(reset[:, i]) for i in range(block)]  # rows that begin a text at a place
     step, start = np.exp(field.step), np.exp(field.start)
-    begin = np.broadcast_to(start, (k, k))
     # forward: what a row does to whatever comes in
     through = np.broadcast_to(np.eye(k), (rows, k, k)).copy()
     for i in range(block):
-        moved = through @ step
-        fresh = through.sum(axis=2, keepdims=True) * begin[None]
-        through = np.where(reset[:, i, None, None], fresh, moved) * gain[:, i, None, :]
-        through /= through.max(axis=(1, 2), keepdims=True)
+        moved = (through.reshape(-1, k) @ step).reshape(rows, k, k)
+        moved[fresh[i]] = through[fresh[i]].sum(axis=2, keepdims=True) * start
+        through = moved * gain[:, i, None, :]
+        through /= _most(through.reshape(rows, k * k))[:, None, None]
     into, out = np.empty((rows, k)), np.empty((rows, k))
     state = np.full(k, 1 / k)
     for r in range(rows):
@@ -130,17 +211,20 @@ def marginals(emission: np.ndarray, first: np.ndarray, field: Field, block: int
     alpha = np.empty((rows, block, k))
     state = into
     for i in range(block):
-        state = np.where(reset[:, i, None], start[None], state @ step) * gain[:, i]
-        state /= state.sum(axis=1, keepdims=True)
+        state = state @ step
+        state[fresh[i]] = start
+        state *= gain[:, i]
+        state /= _total(state)[:, None]
         alpha[:, i] = state
     state = out
     for i in range(block - 1, -1, -1):
         alpha[:, i] *= state
         ahead = gain[:, i] * state
-        state = np.where(reset[:, i, None], (ahead @ start)[:, None], ahead @ step.T)
-        state /= state.sum(axis=1, keepdims=True)
+        state = ahead @ step.T
+        state[fresh[i]] = (ahead[fresh[i]] @ start)[:, None]
+        state /= _total(state)[:, None]
     flat = alpha.reshape(-1, k)[:n]
-    return flat / flat.sum(axis=1, keepdims=True)
+    return flat / _total(flat)[:, None]
 
 
 def fit(samples: dict[str, list[str]], seed: int = 5, sequences: int = 1500, length: int = 40, rounds: int = 8) -> Field:
@@ -300,7 +384,7 @@ class Labeller:
         share = marginals(emission, first, self.field)
         sums = np.add.reduceat(share, starts, axis=0)
         best = share.argmax(axis=1)
-        sure = np.add.reduceat(share.max(axis=1), starts)
+        sure = np.add.reduceat(_most(share), starts)
         change = np.concatenate([[0], best[1:] != best[:-1]]).astype(np.int64)
         change[starts] = 0
         switches = np.add.reduceat(change, starts)

@@ -130,3 +130,21 @@ def test_the_stage_keeps_learned_and_mixed_text_only(spark, sf_dir):
     assert len(tested) > 20 and len(set(tested) - got) <= 0.002 * len(tested)
     assert not {d for d, _ in mixed if len(_.split()) >= 20} - got
     assert not {d for d, _ in alien} & got
+
+
+def test_new_words_are_hashed_side_by_side(monkeypatch):
+    """Prediction reads a batch's new words at once; their features and scores are those of each word by itself."""
+    rng = random.Random(7)
+    words = ["a", "é", "banana" * 9, "日本語語日本", "𐐷𐐷𐐷𐐷𐐷", "straße", "niño"]
+    words += sorted({"".join(rng.choices("abcdeéßя日", k=rng.randint(1, 14))) for _ in range(400)})
+    lexicon = {w: i for i, w in enumerate(words[::5])}
+    flat, starts = lc.features_of(words, lexicon)
+    alone = [lc.features(w, lexicon, {}) for w in words]
+    assert [x.tolist() for x in np.split(flat, starts[1:])] == alone
+    field = lc.Field(["x", "y"], lexicon, np.random.default_rng(1).normal(size=(lc.BUCKETS + len(lexicon), 2)), np.zeros(2), np.zeros((2, 2)))
+    want = np.clip([field.weights[ids].sum(axis=0) for ids in alone], -12, 12)
+    monkeypatch.setattr(lc, "HASHED_CHARS", 40)  # several parts, and words above the limit
+    np.testing.assert_allclose(field.emission(words, {}), want, atol=1e-12)
+    monkeypatch.setattr(lc, "HASHED_CHARS", 10_000)
+    monkeypatch.delattr(lc, "features")
+    np.testing.assert_allclose(field.emission(words, {}), want, atol=1e-12)
