@@ -196,3 +196,18 @@ def test_a_stored_table_is_not_written_again(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(Scratch, "store", lambda self, df, name, *spent: names.append(name) or whole(self, df, name, *spent))
     tr.training_table(inputs.valued_stored(spark, sf_dir), SMALL, stored=True)
     assert "training-rows" not in names and names[-1] == "features"
+
+
+def test_folds_are_fitted_at_the_published_sizes(spark, sf_dir, monkeypatch):
+    seen = []
+
+    def few(train, pipeline, measure, settings):
+        seen.append((measure, pipeline.getStages()[-1].getMaxIter(), pipeline.getStages()[-1].getMaxDepth(), settings.folds))
+        return spark.createDataFrame([(k, 0.5 + k) for k in range(settings.folds)], "fold int, score double")
+
+    monkeypatch.setattr(tr, "cross_validate", few)
+    registry._folds_once.cache_clear()
+    rows = registry.registered()["m9_cv_summary"](spark, sf_dir).collect()
+    registry._folds_once.cache_clear()
+    assert seen == [("r2", 400, 5, 5), ("rmse", 200, 5, 5)]
+    assert [(r["measure"], r["mean"]) for r in rows] == [("r2", 2.5), ("rmse", 2.5)]
