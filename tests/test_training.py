@@ -1,5 +1,6 @@
 import json
 import os
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -211,3 +212,28 @@ def test_folds_are_fitted_at_the_published_sizes(spark, sf_dir, monkeypatch):
     registry._folds_once.cache_clear()
     assert seen == [("r2", 400, 5, 5), ("rmse", 200, 5, 5)]
     assert [(r["measure"], r["mean"]) for r in rows] == [("r2", 2.5), ("rmse", 2.5)]
+
+
+def test_the_results_document_holds_models_of_the_published_sizes(spark, sf_dir, monkeypatch):
+    seen, whole = [], tr.fit_models
+
+    def fit_small(table, settings, names):
+        seen.extend((name, settings) for name in names)
+        return whole(table, SMALL, names)
+
+    def few(train, pipeline, measure, settings):
+        seen.append((measure, settings))
+        return spark.createDataFrame([(k, 0.5) for k in range(settings.folds)], "fold int, score double")
+
+    monkeypatch.setattr(tr, "fit_models", fit_small)
+    monkeypatch.setattr(tr, "cross_validate", few)
+    for held in (registry._fit_once, registry._folds_once):
+        held.cache_clear()
+    document = registry.registered()["s7_results_document"](spark, sf_dir).first()
+    for held in (registry._fit_once, registry._folds_once):
+        held.cache_clear()
+    assert len(document["cv_scores"]["r2"]) == len(document["cv_scores"]["rmse"]) == 5
+    assert {name for name, _ in seen} == {tr.RIDGE, tr.FOREST, tr.BOOSTING, "r2", "rmse"}
+    published = tr.Settings()
+    assert all(replace(settings, parallelism=published.parallelism) == published for _, settings in seen)
+    assert (published.forest_trees, published.forest_depth, published.boosting_rounds, published.cv_rounds) == (200, 18, 400, 200)
